@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import bpe, decontaminate, exact_dedup, ngram_join
 from .common import read
 
 
@@ -51,6 +51,16 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), bpe_file())
+
+
+def bpe_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -71,6 +81,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, least(node,
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op9_bpe": (op9_bpe, None),
     "op10_ngram_jaccard": (op10_ngram_jaccard, OP10_SQL),
 }
 
