@@ -244,27 +244,34 @@ def _slices(texts: list[bytes]) -> Iterable[list[bytes]]:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids (array of int). path: a tokenizer file that every executor has."""
-
-    def run(doc_ids: list, texts: list[bytes]) -> dict[str, list]:
-        bpe = tokenizer(path)
-        out = [x for part in _slices(texts) for x in bpe.encode_all([t.decode() for t in part])]
-        return {"doc_id": doc_ids, "ids": out}
-
-    return map_texts(docs, id_col, text_col, run, "doc_id long, ids array<int>")
+    """One row per input row: doc_id, n_tokens, ids. path: a tokenizer file that every executor has."""
+    return _encoded(docs, path, id_col, text_col, True, False)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
+    return _encoded(docs, path, id_col, text_col, False, True)
 
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+    return _encoded(docs, path, id_col, text_col, True, True)
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, with_ids: bool, with_digests: bool) -> DataFrame:
     def run(doc_ids: list, texts: list[bytes]) -> dict[str, list]:
         bpe = tokenizer(path)
-        n, a, b = [], [], []
+        out: dict[str, list] = {"doc_id": doc_ids, "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
         for part in _slices(texts):
             for ids in bpe.encode_all([t.decode() for t in part]):
-                n.append(len(ids))
-                a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        return {"doc_id": doc_ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+                packed = np.array(ids, "<u4")
+                out["n_tokens"].append(len(ids))
+                if with_ids:
+                    out["ids"].append(packed.astype(np.int32))
+                if with_digests:
+                    out["ids_sha256"].append(hashlib.sha256(packed.tobytes()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+        return out
 
-    return map_texts(docs, id_col, text_col, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
+    return map_texts(docs, id_col, text_col, run, schema)
