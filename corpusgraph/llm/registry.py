@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, learning, ngram_join, toxicity
+from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, sharding, toxicity
 from .common import read
 
 
@@ -57,6 +57,17 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), folds=4, fold=2)
+    return quality.score(docs, model).select("doc_id", learning.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe_file())
 
@@ -88,6 +99,8 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op3_toxicity": (op3_toxicity, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_sharding": (op5_sharding, None),
+    "op7_quality": (op7_quality, None),
     "op9_bpe": (op9_bpe, None),
     "op10_ngram_jaccard": (op10_ngram_jaccard, OP10_SQL),
 }
