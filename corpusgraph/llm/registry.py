@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, secrets, sharding, toxicity, url_rules
 from .common import read
 
 
@@ -62,12 +62,38 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans")
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), folds=4, fold=2)
     return quality.score(docs, model).select("doc_id", learning.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judge(read(spark, sf_dir, "pages"), rules)
+
+
+OP8_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path, row_number() OVER () AS n FROM q),
+r(h, pa, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (SELECT n, h || pa AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || pa) DESC) AS k FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pa))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), bpe_file())
 
@@ -100,7 +126,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_toxicity": (op3_toxicity, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_sharding": (op5_sharding, None),
+    "op6_secrets": (op6_secrets, None),
     "op7_quality": (op7_quality, None),
+    "op8_url_rules": (op8_url_rules, OP8_SQL),
     "op9_bpe": (op9_bpe, None),
     "op10_ngram_jaccard": (op10_ngram_jaccard, OP10_SQL),
 }
