@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, secrets, sharding, toxicity, url_rules
+from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, secrets, sharding, surrogates, toxicity, url_rules
 from .common import read
 
 
@@ -40,6 +40,14 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, key = read(spark, sf_dir, "documents"), "example-key"
+    made = surrogates.replace(docs, key, surrogates.safe_round(surrogates.entities(docs), key))
+    number = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
+    return made.select("doc_id", "text", *[number(k) for k in surrogates.TYPES], spans.alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), folds=5, fold=0)
@@ -123,6 +131,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, least(node,
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
+    "op2_pii_surrogates": (op2_pii_surrogates, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_sharding": (op5_sharding, None),
