@@ -25,10 +25,12 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of ASCII characters, A-Z folded; windows with other characters are skipped."""
-    folded = F.translate(text, _UPPER, _LOWER)
-    n = F.length(text)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(folded, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(windows), lambda g: g.rlike(r"^[\x00-\x7F]{3}$"))
+    # Zipping shifted arrays of characters is linear; substrings by position would not be.
+    letters = F.split(F.translate(text, _UPPER, _LOWER), "")
+    after = lambda i: F.slice(letters, F.lit(i), F.greatest(F.size(letters), F.lit(1)))
+    pairs = F.zip_with(letters, after(2), lambda a, b: F.concat(a, b))
+    triples = F.zip_with(pairs, after(3), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(triples, lambda g: g.isNotNull() & (F.octet_length(g) == 3) & (F.length(g) == 3)))
 
 
 def clean_path(path: Column) -> Column:

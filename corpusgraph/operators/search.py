@@ -41,9 +41,10 @@ def lexical(docs: DataFrame, query: str, name: str | None, path: str | None, bod
     words = [r["term"] for r in terms.collect()]  # the question's words
     qtf = {r["term"]: r["qtf"] for r in terms.collect()}
     fields = {"name": name, "path": path, "body": body}
+    times = lambda field, word: F.size(F.filter(field, lambda t: t == F.lit(word)))
     hot = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     rows = docs.select("id", *[tokens(F.col(c)).alias(f) if c else F.array().cast("array<string>").alias(f) for f, c in fields.items()], (factor if factor is not None else F.lit(1.0)).alias("factor"))
-    counts = rows.select("id", "factor", F.size("body").alias("len"), *[F.array(*[F.size(F.filter(f, lambda t, w=w: t == w)) for w in words]).alias(f) for f in fields] if words else [hot.alias(f) for f in fields])
+    counts = rows.select("id", "factor", F.size("body").alias("len"), *[F.array(*[times(f, w) for w in words]).alias(f) for f in fields] if words else [hot.alias(f) for f in fields])
     if not words:
         return counts.select("id", F.lit(0.0).alias("lexical")).filter(F.lit(False))
     seen = [F.sum(F.when((F.get("name", F.lit(i)) + F.get("path", F.lit(i)) + F.get("body", F.lit(i))) > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(words))]
