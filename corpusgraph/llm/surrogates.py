@@ -66,13 +66,15 @@ def _scramble(key: str, round_: int, what: str, step: int, half: Column, modulus
 def feistel(left: Column, right: Column, m_left: Column, m_right: Column, key: str, round_: int, what: str) -> tuple[Column, Column]:
     """A keyed bijection of pairs below (m_left, m_right): each half in turn is shifted by a hash of the other."""
     pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+
+    def shifted(step: int):
+        if step % 2 == 0:
+            return lambda p: F.struct(F.pmod(p["l"] + _scramble(key, round_, what, step, p["r"], m_left), m_left).alias("l"), p["r"].alias("r"))
+        return lambda p: F.struct(p["l"].alias("l"), F.pmod(p["r"] + _scramble(key, round_, what, step, p["l"], m_right), m_right).alias("r"))
+
     for step in range(ROUNDS):
         # F.transform over one element binds the pair, so that each step is computed once.
-        if step % 2 == 0:
-            shift = lambda p, s=step: F.struct(F.pmod(p["l"] + _scramble(key, round_, what, s, p["r"], m_left), m_left).alias("l"), p["r"].alias("r"))
-        else:
-            shift = lambda p, s=step: F.struct(p["l"].alias("l"), F.pmod(p["r"] + _scramble(key, round_, what, s, p["l"], m_right), m_right).alias("r"))
-        pair = F.get(F.transform(F.array(pair), shift), F.lit(0))
+        pair = F.get(F.transform(F.array(pair), shifted(step)), F.lit(0))
     return pair["l"], pair["r"]
 
 
