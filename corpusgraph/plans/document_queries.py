@@ -97,8 +97,8 @@ UNION ALL SELECT path, 'source-incomplete', 'warning', CAST(i AS VARCHAR) || ':
 UNION ALL SELECT path, 'no-trust-family', 'note', '' FROM pg WHERE generated_by IS NULL AND verified IS NULL
 UNION ALL SELECT path, 'stale', 'warning', '' FROM pg WHERE age > 31 UNION ALL SELECT path, 'untouched', 'note', '' FROM pg WHERE age > 20
 UNION ALL SELECT path, 'implemented-without-commit', 'error', '' FROM pg WHERE state = 'implemented' AND commit IS NULL UNION ALL SELECT path, 'conflict-count', 'error', '' FROM pg WHERE conflicts <> conflicts_found
-UNION ALL SELECT path, 'dead-link', 'error', '' FROM t_links JOIN t_docs ON doc_id = source WHERE target NOT IN (SELECT doc_id FROM documents) AND target % 3 <> 0
-UNION ALL SELECT path, 'outside-area', 'warning', '' FROM t_links JOIN t_docs ON doc_id = source WHERE target % 3 = 0)"""
+UNION ALL SELECT path, 'dead-link', 'error', '' FROM t_links JOIN t_docs ON doc_id = t_links.source WHERE target NOT IN (SELECT doc_id FROM documents) AND target % 3 <> 0
+UNION ALL SELECT path, 'outside-area', 'warning', '' FROM t_links JOIN t_docs ON doc_id = t_links.source WHERE target % 3 = 0)"""
 
 
 def page_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
