@@ -3,18 +3,24 @@
 Two documents link when den * |A n B| >= num * |A u B| over their distinct k-word shingles (hashed to 64 bits
 for candidates, compared as words in the last step). The result is the connected components of the links.
 
-1. *Sketch* (one pass over the texts): shingle hashes fall into ranges of the hash space. A link allows a
+1. *Sketch* (one pass over the texts). Sets of more than SHORT shingles: hashes fall into ranges of the hash space. A link allows a
    symmetric difference of at most D shingles, so of D + 1 + e ranges at least 1 + e are untouched, and equal
    on both sides. Each document emits one key per range: the sum of the range's mixed hashes. Ranges without
    shingles emit nothing, save for documents with more than e of them. So no link is lost, and only documents
-   that agree in a whole range meet. The sketch also holds 32 group counts, the document's point.
+   that agree in a whole range meet. Shingles that many documents share, by a sample, are left out of all ranges:
+   the rest of two linked sets differs no more than the whole. Short sets, whose ranges would be too alike, meet by prefixes instead: with
+   shingles in order of frequency among short sets, linked sets share one of their first n - ceil(num n / den) + 1.
+   Very long sets have so many ranges that linked ones share hundreds; of these, keys are sampled by their hash,
+   SHARED of each link's or more on average, so that a link is missed with a chance below exp(-40).
+   The sketch also holds GROUPS group counts (more for long documents), the document's point.
 2. *Blocks*: the documents of one key. Copies of one set, and keys seen before in the same batch, are
    collapsed before the shuffle. Each document is compared with the smallest document of its blocks: first by
    summed coordinate minima, which bound the overlap from above, then by their texts.
 3. *R-tree*: blocks that still hold several components are searched exhaustively. The points of a block form
    an R-tree, packed by size and counts; every document outside the block's largest component descends into
    those nodes whose summed minima allow a link. Large blocks are dealt as tiles of CHUNK x CHUNK documents.
-   Surviving pairs of different components are verified by their texts.
+   In the first SCOUTS searches each document names its likeliest pair only; their links join most of the
+   components, and the last search takes every pair still apart. All these are verified by their texts.
 4. Components: contraction to the neighbour of least hash, round by round, until no edge is left.
 
 A document without words has no shingles and links with nothing; with fewer than k words the whole sequence
@@ -29,14 +35,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, join_groups, map_texts, materialise, partitions, utf8
 
-GROUPS = 32
-CHUNK = 2048
+#: A document's point has GROUPS coordinates; long ones get more, up to MOST_GROUPS, and are summed to GROUPS in the tree.
+GROUPS, MOST_GROUPS = 256, 2048
+#: The tree's nodes use sums of groups.
+COARSE = 32
+#: Sets that may differ in so many shingles keep half as many ranges spare, of which SHARED are sampled.
+MANY, SHARED = 512, 48
+CHUNK = 512
+#: Shingles in COMMON_SHARE of about SAMPLE sampled documents are left out of ranges: at most MOST_COMMON.
+SAMPLE, COMMON_SHARE, MOST_COMMON = 4000, 0.005, 50_000
 LEAF = 32
+#: Sets of at most so many shingles meet by prefixes; so do those that link with one.
+SHORT = 64
+SCOUTS = 1
 #: Upper ends of the size bands grow by this factor.
 BAND = 1.5
 
@@ -100,46 +117,52 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
         if n < hi:
             differ = 2 * (hi - 1) * (den - num) // (den + num)
             if differ:  # else only equal sets link
-                spare = 2 + differ // 32
+                spare = differ // 2 if differ >= MANY else 6 + differ // 8
                 out.append((k, differ + 1 + spare, spare))
         lo, k = hi, k + 1
     return out
 
 
-def range_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a document's ranges of the hash space, over all its bands."""
+def range_keys(hashes: np.ndarray, num: int, den: int, common: np.ndarray) -> np.ndarray:
+    """The keys of a document's ranges of the hash space, over all its bands; common shingles are left out of the ranges."""
+    n = len(hashes)
+    if len(common):
+        hashes = hashes[common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes]
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
     out = []
-    for band, ranges, spare in bands(len(hashes), num, den):
+    for band, ranges, spare in bands(n, num, den):
         cuts = np.searchsorted(hashes, np.arange(ranges, dtype=_U) * _U(2**64 // ranges))
         cuts = np.append(cuts, len(hashes))
         keys = mix((sums[cuts[1:]] - sums[cuts[:-1]]) + mix(np.arange(ranges, dtype=_U) + _U(band << 32)))
         full = cuts[1:] > cuts[:-1]
-        out.append(keys if ranges - full.sum() > spare else keys[full])
+        keys = keys if ranges - full.sum() > spare else keys[full]
+        rate = spare // SHARED if spare * 2 >= MANY else 1
+        out.append(keys[keys % _U(rate) == 0] if rate > 1 else keys)
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-def _sketch(k: int, num: int, den: int):
+def _sketch(k: int, num: int, den: int, common: Broadcast):
     """Per document: n, digest, vec, and for the first with this set in the batch: keys not seen before in the batch, and the others with the document that had them first."""
 
     def of(ids: list, texts: list[bytes]) -> dict[str, list]:
         n = len(ids)
-        out: dict[str, list] = {"doc_id": ids, "n": [0] * n, "digest": [None] * n, "vec": [None] * n, "keys": [None] * n, "met": [None] * n}
+        out: dict[str, list] = {"doc_id": ids, "n": [0] * n, "digest": [None] * n, "vec": [None] * n, "keys": [None] * n, "met": [None] * n, "small": [None] * n}
         seen: set[bytes] = set()
         owner: dict[int, int] = {}
-        edges = np.arange(1, GROUPS, dtype=_U) * _U(2**64 // GROUPS)
         for i in sorted(range(n), key=lambda i: (ids[i] is None, ids[i] or 0)):
             hashes = shingle_hashes(texts[i], k)
             out["n"][i] = len(hashes)
             if not len(hashes) or ids[i] is None:
                 continue
             out["digest"][i] = digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-            out["vec"][i] = np.diff(np.searchsorted(hashes, edges), prepend=0, append=len(hashes)).tolist()
+            out["vec"][i] = point_bytes(hashes)
             if digest in seen:
                 continue
             seen.add(digest)
+            if num * len(hashes) <= den * SHORT:
+                out["small"][i] = hashes.view(np.int64).tolist()
             keys, met = [], []
-            for key in range_keys(hashes, num, den).view(np.int64).tolist():
+            for key in range_keys(hashes, num, den, common.value).view(np.int64).tolist() if len(hashes) > SHORT else ():
                 had = owner.setdefault(key, ids[i])
                 if had == ids[i]:
                     keys.append(key)
@@ -170,11 +193,6 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[other], pa.int64()) for x in (keys, docs, pivots)], schema=schema)
 
 
-def need(a: F.Column, b: F.Column, num: int, den: int) -> F.Column:
-    """The least overlap of two sets of these sizes that link."""
-    return F.ceil((num * (a + b)).cast("double") / F.lit(float(num + den)))
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -184,13 +202,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, have = None, set()
+        last, have = None, np.empty(0, _U)
         for batch in batches:
             found: tuple[list, list] = ([], [])
             for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 if last != tb:
-                    last, have = tb, shingles(tb, k)
-                if linked(shingles(ta, k), have, num, den):
+                    last, have = tb, shingle_hashes(tb, k)
+                mine = shingle_hashes(ta, k)
+                both = len(np.intersect1d(mine, have, assume_unique=True))
+                # Equal shingles have equal hashes, so what fails here can't link.
+                if den * both >= num * (len(mine) + len(have) - both) and linked(shingles(ta, k), shingles(tb, k), num, den):
                     found[0].append(a)
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
@@ -198,14 +219,41 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-class RTree:
-    """Points packed bottom-up: sorted by size, then by their counts, LEAF to a node; a node keeps the largest and least values."""
+def point_bytes(hashes: np.ndarray) -> bytes:
+    """The group counts of a document: a byte for the width of a count, then the counts. Groups are ranges of the hash space."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups * 16 < len(hashes):
+        groups *= 2
+    counts = np.diff(np.searchsorted(hashes, np.arange(1, groups, dtype=_U) * _U(2**64 // groups)), prepend=0, append=len(hashes))
+    return b"\x01" + counts.astype("u1").tobytes() if counts.max() < 256 else b"\x04" + counts.astype("<u4").tobytes()
+
+
+def point_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(groups, -1).sum(axis=1)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed coordinate minima, in the finest groups that both points have."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
+
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.order = np.lexsort((*points.T[:4], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+class RTree:
+    """Points packed bottom-up: sorted by size, then by their counts, LEAF to a node; a node keeps the largest counts, and the least and largest size."""
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        level = np.array([folded(p, GROUPS) for p in points])
+        sizes = level.sum(axis=1)
+        coarse = level.reshape(len(level), COARSE, -1).sum(axis=2)
+        self.order = np.lexsort((*coarse.T[:4], sizes)) if len(points) > LEAF else np.arange(len(points))
+        self.points = [points[i] for i in self.order]
+        self.level, self.coarse, self.sizes = level[self.order], coarse[self.order], sizes[self.order]
         self.levels = []
-        top, low, high = self.points, self.sizes, self.sizes
+        top, low, high = self.coarse, self.sizes, self.sizes
         while True:
             cuts = np.arange(0, len(top), LEAF)
             top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
@@ -213,36 +261,96 @@ class RTree:
             if len(top) <= LEAF:
                 break
 
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Positions (of the points given) whose summed minima with point allow a link."""
+    def search(self, point: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (of the points given) whose summed minima with point allow a link, and those sums."""
+        size, level = point.sum(), folded(point, GROUPS)
+        coarse = level.reshape(COARSE, -1).sum(axis=1)
         nodes = np.arange(len(self.levels[-1][0]))
         for top, low, high in self.levels[::-1]:
             nodes = nodes[nodes < len(top)]
-            bound = np.minimum(top[nodes], point).sum(axis=1)
+            bound = np.minimum(top[nodes], coarse).sum(axis=1)
             fits = ((num + den) * bound >= num * (size + low[nodes])) & (den * size >= num * low[nodes]) & (den * high[nodes] >= num * size)
             nodes = (nodes[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
         nodes = nodes[nodes < len(self.points)]
-        bound = np.minimum(self.points[nodes], point).sum(axis=1)
-        return self.order[nodes[(num + den) * bound >= num * (size + self.sizes[nodes])]]
-
-
-def _tree_pairs(num: int, den: int):
-    def of(table: pa.Table) -> pa.Table:
-        vec = np.array(table.column("vec").to_pylist(), np.int64).reshape(-1, GROUPS)
-        doc, comp, asks = (table.column(c).to_numpy() for c in ("doc_id", "comp", "asks"))
-        sizes = vec.sum(axis=1)
-        there, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
-        a, b = [], []
-        if len(there) and len(ask):
-            tree = RTree(vec[there], sizes[there])
-            for i in ask:
-                hits = there[tree.search(vec[i], sizes[i], num, den)]
-                hits = hits[comp[hits] != comp[i]]
-                a += np.maximum(doc[hits], doc[i]).tolist()
-                b += np.minimum(doc[hits], doc[i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for of, mine in ((self.coarse, coarse), (self.level, level)):
+            bound = np.minimum(of[nodes], mine).sum(axis=1)
+            fits = (num + den) * bound >= num * (size + self.sizes[nodes])
+            nodes, bound = nodes[fits], bound[fits]
+        if len(point) > GROUPS and len(nodes):
+            bound = np.array([overlap_bound(self.points[i], point) for i in nodes])
+            fits = (num + den) * bound >= num * (size + self.sizes[nodes])
+            nodes, bound = nodes[fits], bound[fits]
+        return self.order[nodes], bound
 
-    return of
+
+def tile_pairs(doc: np.ndarray, comp: np.ndarray, asks: np.ndarray, vec: list[bytes], num: int, den: int, best: bool) -> tuple[list[int], list[int], bool]:
+    """Pairs of a tile that may link and have different components; best: for each asking document only the likeliest.
+
+    The third value says if a document had more than that one.
+    """
+    there, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
+    a, b, more = [], [], False
+    if len(there) and len(ask):
+        points = {i: point_of(vec[i]) for i in range(len(vec))}
+        tree = RTree([points[i] for i in there])
+        for i in ask:
+            hits, bound = tree.search(points[i], num, den)
+            hits = there[hits]
+            other = comp[hits] != comp[i]
+            hits, bound = hits[other], bound[other]
+            if best and len(hits) > 1:
+                hits, more = hits[[np.argmax(bound)]], True
+            a += np.maximum(doc[hits], doc[i]).tolist()
+            b += np.minimum(doc[hits], doc[i]).tolist()
+    return a, b, more
+
+
+def _tree_pairs(num: int, den: int, best: bool):
+    """Rows (key, x, y, doc_id, comp, asks, vec), sorted by tile, to the pairs (a, b) of each tile, with its key where more are left; a tile has few rows and may go on in the next batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+
+        def work(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            tile = np.stack([table.column(c).to_numpy() for c in ("key", "x", "y")])
+            starts = np.flatnonzero(np.concatenate([[True], (tile[:, 1:] != tile[:, :-1]).any(axis=0)])) if table.num_rows else np.empty(0, np.int64)
+            ends = np.append(starts[1:], table.num_rows)
+            if not last and len(starts):
+                starts, ends, rest = starts[:-1], ends[:-1], table.slice(starts[-1])
+            else:
+                rest = table.slice(table.num_rows)
+            doc, comp, asks = (table.column(c).to_numpy() for c in ("doc_id", "comp", "asks"))
+            vec = table.column("vec").to_pylist()
+            a, b, again = [], [], []
+            for s, e in zip(starts, ends, strict=True):
+                found = tile_pairs(doc[s:e], comp[s:e], asks[s:e], vec[s:e], num, den, best)
+                a += found[0]
+                b += found[1]
+                again += [tile[0, s] if found[2] else None] * len(found[0])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, again)], names=["a", "b", "again"]), rest
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            out, left = work(pa.concat_tables([left, table]) if left is not None else table, False)
+            yield out
+        if left is not None and left.num_rows:
+            yield work(left, True)[0]
+
+    return run
+
+
+def _may_link(num: int, den: int):
+    """Pairs (a, b, va, vb) whose summed minima allow a link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for va, vb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = point_of(va), point_of(vb)
+                fits.append(bool((num + den) * overlap_bound(x, y) >= num * (x.sum() + y.sum())))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,46 +376,78 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = materialise(map_texts(docs, "doc_id", "text", _sketch(k, num, den), "doc_id long, n int, digest binary, vec array<smallint>, keys array<long>, met array<struct<key:long,pivot:long>>".replace(":long", ":bigint")), "sketch")
+    common = spark.sparkContext.broadcast(_common(docs, k))  # MOST_COMMON hashes at most
+    sketch = materialise(map_texts(docs, "doc_id", "text", _sketch(k, num, den, common), "doc_id long, n int, digest binary, vec binary, keys array<long>, met array<struct<key:bigint,pivot:bigint>>, small array<bigint>"), "sketch")
     total = sketch.count()
     known = sketch.filter("digest IS NOT NULL")
     classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    rows = known.select(F.explode("keys").alias("key"), "doc_id").repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id")
+    short = _prefixes(known.filter("small IS NOT NULL").select("doc_id", "small"), num, den)
+    rows = known.select(F.explode("keys").alias("key"), "doc_id").unionByName(short).repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id")
     met = known.select("doc_id", F.explode("met").alias("m")).select(F.col("m.key").alias("key"), "doc_id", F.col("m.pivot").alias("pivot"))
     blocks = materialise(rows.mapInArrow(_runs, "key long, doc_id long, pivot long").unionByName(met), "blocks")
 
-    firsts = known.filter("keys IS NOT NULL").select("doc_id", "n", "digest", "vec").dropDuplicates(["doc_id"])
+    firsts = known.filter("keys IS NOT NULL").select("doc_id", "digest", "vec").dropDuplicates(["doc_id"])
     pairs = blocks.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-    other = firsts.toDF("pivot", "n_b", "digest_b", "vec_b")
-    pairs = materialise(
-        pairs.join(firsts, "doc_id").join(other, "pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.expr("digest = digest_b").alias("equal"), _overlap("vec", "vec_b").alias("bound"), need(F.col("n"), F.col("n_b"), num, den).alias("need")), "pairs"
-    )
+    other = firsts.toDF("pivot", "digest_b", "vec_b")
+    pairs = materialise(pairs.join(firsts, "doc_id").join(other, "pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "vec", "vec_b", F.expr("digest = digest_b").alias("equal")), "pairs")
     same = firsts.join(classes, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    star = _verify(pairs.filter("NOT equal AND bound >= need").select("a", "b"), docs, k, num, den)
+    star = _verify(pairs.filter("NOT equal").select("a", "b", "vec", "vec_b").mapInArrow(_may_link(num, den), "a long, b long"), docs, k, num, den)
     edges = materialise(star.unionByName(pairs.filter("equal").select("a", "b")).unionByName(same), "links")
-    comps = components(edges)
 
-    # Blocks that still hold several components.
+    # Blocks with the same documents are searched once.
     members = blocks.select("key", "doc_id").unionByName(blocks.select("key", F.col("pivot").alias("doc_id"))).distinct()
+    marks = members.groupBy("key").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("m1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("m2"))
+    members = materialise(members.join(marks.groupBy("docs", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "key"), "members")
+    for best in (True,) * SCOUTS + (False,):
+        found = _search(members, components(edges), firsts, num, den, best)
+        if found is not None:
+            edges = materialise(edges.unionByName(_verify(found.select("a", "b").distinct(), docs, k, num, den)), "links")
+            # Components only grow, so pairs still apart were among the hits of these blocks before.
+            members = members.join(found.filter("again IS NOT NULL").select(F.col("again").alias("key")).distinct(), "key", "left_semi")
+    return _result(sketch, classes, components(edges), total)
+
+
+def _common(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents share, from a sample. The choice bears on speed alone: any set gives the same links."""
+    total = docs.count()
+    every = max(1, total // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(every)) == 0)
+
+    def hashes(ids: list, texts: list[bytes]) -> dict[str, list]:
+        return {"h": [x for t in texts for x in shingle_hashes(t, k).view(np.int64).tolist()]}
+
+    counts = map_texts(some, "doc_id", "text", hashes, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    least = max(3.0, COMMON_SHARE * total / every)
+    rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(_U))
+
+
+def _prefixes(short: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, doc_id): the rarest shingles of each short set, as many as linked sets need to share one; those of one set alone are left out."""
+    rows = materialise(short.select("doc_id", F.explode("small").alias("key")), "short")
+    often = rows.groupBy("key").agg(F.count("*").alias("df"))
+    ranked = join_groups(rows, often, "key", "df", rows.count())
+    of = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))  # SHORT * den / num at most
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), (n - F.ceil((n * num).cast("double") / F.lit(float(den))) + 1).cast("int"))
+    return of.select("doc_id", F.explode(first).alias("x")).filter("x.df > 1").select(F.xxhash64("x.key", F.lit("prefix")).alias("key"), "doc_id")
+
+
+def _search(members: DataFrame, comps: DataFrame, firsts: DataFrame, num: int, den: int, best: bool) -> DataFrame | None:
+    """Pairs (a, b) of the same block and different components that may link; None if no block has several components."""
     members = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    members = materialise(members, "members")
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("docs")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("docs").alias("docs"), F.max_by("comp", F.struct("docs", "comp")).alias("main"), F.max("docs").alias("most")).filter("comps > 1")
     sizes = sizes.select("key", "main", F.expr(f"bigint(ceil(docs / {CHUNK}))").alias("chunks"), F.expr(f"bigint(ceil((docs - most) / {CHUNK}))").alias("ask_chunks"))
     open_ = materialise(members.join(sizes, "key").join(firsts.select("doc_id", "vec"), "doc_id"), "open")
     if open_.isEmpty():
-        return _result(sketch, classes, comps, total)
+        return None
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     there = open_.select("key", deal("chunks").alias("x"), F.explode(F.expr("sequence(0L, ask_chunks - 1L)")).alias("y"), "doc_id", "comp", "vec", F.lit(False).alias("asks"))
     ask = open_.filter("comp <> main").select("key", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("x"), deal("ask_chunks").alias("y"), "doc_id", "comp", "vec", F.lit(True).alias("asks"))
-    found = there.unionByName(ask).groupBy("key", "x", "y").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    more = _verify(materialise(found, "found"), docs, k, num, den)
-    edges = edges.unionByName(more)
-    return _result(sketch, classes, components(edges), total)
-
-
-def _overlap(a: str, b: str) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    dealt = there.unionByName(ask).repartition(partitions(members.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    tiles = dealt.mapInArrow(_tree_pairs(num, den, best), "a long, b long, again long")
+    return materialise(tiles.distinct(), "found")
 
 
 def _result(sketch: DataFrame, classes: DataFrame, comps: DataFrame, total: int) -> DataFrame:
