@@ -18,6 +18,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Most words and token pairs that a Python worker remembers.
-CACHE = 400_000
+#: A Python worker remembers up to twice as many words, pieces between spaces and token pairs.
+CACHE = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,6 +38,23 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class Recent:
+    """A dict of two generations: when the young one is full it becomes the old one, so that what is in use stays."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys not known; known ones are all in the young generation afterwards."""
+        if len(self.young) + len(keys) > CACHE:
+            self.old, self.young = self.young, {}
+        out = keys - self.young.keys()
+        kept = out & self.old.keys()
+        self.young.update({k: self.old[k] for k in kept})
+        return out - kept
+
+
 class Bpe:
     """One tokenizer file with word ends, read once per Python worker."""
 
@@ -59,7 +77,6 @@ class Bpe:
         self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(merges)}
         self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
-        self.bytes = {c: b for b, c in self.letters.items()}
         self.longest = max(map(len, self.vocab))
         # Split trees: the two parts of each token that merging makes; a token's rank is that of its merge, -1 for a symbol.
         size = max(self.text) + 1
@@ -70,25 +87,26 @@ class Bpe:
         keys = np.array([(a << 20) | b for a, b in self.rank], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([i for i, _ in self.rank.values()], np.int64)[order]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words, self.chunks, self.pairs = Recent(), Recent(), Recent()
         self.proposed = self.merged = 0
 
-    def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        return _lower(regex.sub(r"\s+", " ", text))
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a piece of text; the pattern drops white space, so its form needs no normalising."""
+        return self.pattern.findall(_lower(piece if piece.isascii() else unicodedata.normalize("NFC", piece)))
 
-    def symbols(self, word: str) -> list[str]:
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.end
-        return letters
+    def spell(self, word: str) -> str:
+        """The word in the vocabulary's letters, without the word end."""
+        return word.encode().decode("latin-1").translate(self.letters)
 
-    def propose(self, symbols: list[str]) -> list[int] | None:
+    def propose(self, letters: str) -> list[int] | None:
         """Greedy longest match; None if no token fits somewhere."""
-        out, at, n, text = [], 0, len(symbols), "".join(symbols)
+        out, at, n, get, longest = [], 0, len(letters), self.vocab.get, self.longest
         while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
-                token = self.vocab.get(text[at:] if to == n else text[at:to])
+            if n - at <= longest and (token := get(letters[at:] + self.end)) is not None:
+                out.append(token)
+                return out
+            for to in range(min(n - 1, at + longest), at, -1):
+                token = get(letters[at:to])
                 if token is not None:
                     out.append(token)
                     at = to
@@ -97,17 +115,21 @@ class Bpe:
                 return None
         return out
 
-    def merge(self, symbols: list[str]) -> list[int]:
+    def merge(self, letters: str) -> list[int]:
         """Exact merging: the pair of least rank first, the leftmost of equals; unknown symbols are left out."""
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        ids = [self.vocab[s] for s in (*letters[:-1], letters[-1] + self.end) if s in self.vocab]
         if len(ids) > 200:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(((self.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.rank[ids[i], ids[i + 1]][1]]
+        rank, none = self.rank, (len(self.rank), -1)
+        next_ = [rank.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while next_ and (best := min(next_)) is not none:
+            i = next_.index(best)
+            ids[i : i + 2] = [best[1]]
+            del next_[i]
+            if i:
+                next_[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+            if i < len(next_):
+                next_[i] = rank.get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -162,49 +184,38 @@ class Bpe:
         return good
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words not known yet."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pairs) > 4 * CACHE:
-            self.pairs.clear()
-        symbols = {w: self.symbols(w) for w in words if w not in self.words}
-        proposals = {w: self.propose(s) for w, s in symbols.items()}
-        new = list({p for ids in proposals.values() if ids for p in zip(ids, ids[1:], strict=False)} - self.pairs.keys())
+        """Encode words that are not known yet."""
+        proposals = [(w, letters := self.spell(w), self.propose(letters)) for w in words]
+        new = list(self.pairs.missing({p for _, _, ids in proposals if ids for p in zip(ids, ids[1:], strict=False)}))
+        pairs, known = self.pairs.young, self.words.young
         if new:
-            self.pairs.update(zip(new, self.compatible(np.array(new, np.int64)).tolist(), strict=True))
+            pairs.update(zip(new, self.compatible(np.array(new, np.int64)).tolist(), strict=True))
         self.proposed += len(proposals)
-        for w, ids in proposals.items():
-            if ids is None or not all(self.pairs[p] for p in zip(ids, ids[1:], strict=False)):
-                ids = self.merge(symbols[w])
+        for w, letters, ids in proposals:
+            if ids is None or len(ids) > 1 and not all([pairs[p] for p in zip(ids, ids[1:], strict=False)]):
+                ids = self.merge(letters)
                 self.merged += 1
-            self.words[w] = tuple(ids)
+            known[w] = ids
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        cut: list[list[str | int]] = []
+        """The ids of each text. What stands between spaces is looked up whole before it is cut into words."""
+        cut: list[list[str]] = []
         for text in texts:
-            parts: list[str | int] = []
-            for piece in self.cut_special.split(text) if self.cut_special and "<|" in text else [text]:
-                if piece in self.special:
-                    parts.append(self.special[piece])
-                elif piece:
-                    parts += self.pattern.findall(self.normalise(piece))
+            if self.cut_special and any(s in text for s in self.special):
+                parts = []
+                for piece in self.cut_special.split(text):
+                    parts += [piece] if piece in self.special else piece.replace("\n", " ").split(" ")
+            else:
+                parts = text.replace("\n", " ").split(" ")
             cut.append(parts)
-        fresh = {w for parts in cut for w in parts if w not in self.words and isinstance(w, str)}
-        if len(self.words) + len(fresh) > CACHE:
-            self.words.clear()
-            fresh = {w for parts in cut for w in parts if isinstance(w, str)}
-        self.learn(fresh)
-        words, out = self.words, []
-        for parts in cut:
-            ids: list[int] = []
-            for w in parts:
-                if isinstance(w, str):
-                    ids += words[w]
-                else:
-                    ids.append(w)
-            out.append(ids)
-        return out
+        fresh = self.chunks.missing(set().union(*cut))
+        of = {c: self.words_of(c) for c in fresh if c not in self.special}
+        self.learn(self.words.missing(set().union(*of.values())))
+        known, words = self.chunks.young, self.words.young
+        for c, parts in of.items():
+            known[c] = words[parts[0]] if len(parts) == 1 else [t for w in parts for t in words[w]]
+        known.update({c: [self.special[c]] for c in fresh if c in self.special})
+        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library does without a decoder: the tokens' texts with a space between them."""
