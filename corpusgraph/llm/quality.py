@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .common import map_texts, utf8
+from .common import map_texts, materialise, utf8
 
 PIECE = 2048
 MAX_PIECES = 4000
@@ -76,7 +76,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_class: int = learning.MAX_PER_CLASS) -> Model:
     """Learn from labelled rows outside the held-out fold; without labels of both classes every score is the share of label 1."""
-    sample = learning.sample(docs, labels, "quality", folds, fold, per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).cache()
+    sample = materialise(learning.sample(docs, labels, "quality", folds, fold, per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))), "sample")
     spark = docs.sparkSession
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,21 +88,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_c
                     parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(parts, pa.binary())], names=["label", "piece"])
 
-    try:
-        parts = sample.filter("half = 0").select("label", "text").mapInArrow(cut, "label int, piece binary")
-        by = [[bytes(r["piece"]) for r in parts.filter(F.col("label") == y).orderBy(F.xxhash64("piece")).limit(MAX_PIECES).collect()] for y in (0, 1)]
-        compressors = Compressors(train(by[1]), train(by[0]))
-        sent = spark.sparkContext.broadcast(compressors)  # two dictionaries of DICT_BYTES
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [sent.value.features(t) for t in utf8(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
-
-        rows = sample.filter("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # per_class rows a class at most
-        share = labels.filter("quality IN (0, 1)").agg(F.avg("quality")).first()[0]
-    finally:
-        sample.unpersist()
+    parts = sample.filter("half = 0").select("label", "text").mapInArrow(cut, "label int, piece binary")
+    by = [[bytes(r["piece"]) for r in parts.filter(F.col("label") == y).orderBy(F.xxhash64("piece")).limit(MAX_PIECES).collect()] for y in (0, 1)]
+    compressors = Compressors(train(by[1]), train(by[0]))
+    sent = spark.sparkContext.broadcast(compressors)  # two dictionaries of DICT_BYTES
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sent.value.features(t) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+
+    rows = sample.filter("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # per_class rows a class at most
+    share = labels.filter("quality IN (0, 1)").agg(F.avg("quality")).first()[0]
     y = np.array([r[0] for r in rows], float)
     x = np.array([r[1] for r in rows]).reshape(-1, 5)
     return Model(compressors, learning.fit_logistic(x, y, 1e-4, float(share or 0.5) if len(y) and 0 < y.mean() < 1 else None))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .common import arrow_schema, map_texts, utf8
+from .common import arrow_schema, map_texts, materialise, utf8
 
 # Words of each role.
 INSULTS = "idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting dumb imbecile vermin trottel arschloch dreckskerl connard salaud abruti imbécile idiota estúpido imbécil basura".split()
@@ -43,7 +43,7 @@ STEMS = range(3, 9)
 NEGATION_SPAN, TARGET_SPAN = 3, 5
 NEGATED, REPORTED, TARGETED, THREAT = 0.2, 0.5, 1.5, 3.0
 #: Words that a Python worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+|,(?=\s)")
@@ -190,18 +190,15 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_class: int = learning.MAX_PER_CLASS) -> Model:
     """Learn from labelled rows outside the held-out fold. Without labels of both classes only the fixed words count."""
-    sample = learning.sample(docs, labels, "toxic", folds, fold, per_class).cache()
-    try:
-        lexicon = Lexicon(learn_lexicon(sample))
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [features(t.decode(), lexicon) for t in utf8(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
-
-        rows = sample.select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # 2 * per_class at most
-    finally:
-        sample.unpersist()
+    sample = materialise(learning.sample(docs, labels, "toxic", folds, fold, per_class), "sample")
+    lexicon = Lexicon(learn_lexicon(sample))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(t.decode(), lexicon) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+
+    rows = sample.select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # 2 * per_class at most
     y = np.array([r[0] for r in rows], float)
     x = np.array([r[1] for r in rows]).reshape(-1, 4)
     if not len(y) or y.min() == y.max():
