@@ -49,10 +49,11 @@ def radius(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2)
 def test_signal(hunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, signal) per changed file: na for tests, none without a test that reaches it, changed if such a test is in the change, else stale."""
     files = hunks.select("path").distinct()
-    own = nodes.join(files, "path", "left_semi").select(F.col("path").alias("origin"), "id")
-    tests = nodes.filter("is_test").select("id", F.col("path").alias("test_path"))
-    got = reach(edges, own, True).join(tests, "id").join(files.select(F.col("path").alias("test_path"), F.lit(True).alias("moved")), "test_path", "left")
-    per = got.groupBy(F.col("origin").alias("path")).agg(F.bool_or(F.coalesce("moved", F.lit(False))).alias("changed"))
+    # Walked from the tests, not from the files: two walks over the graph, however many files have changed.
+    tests = nodes.filter("is_test").select("id", "path").join(files.withColumn("moved", F.lit(True)), "path", "left")
+    starts = tests.select(F.lit("any").alias("origin"), "id").unionByName(tests.filter("moved").select(F.lit("moved").alias("origin"), "id"))
+    got = reach(edges, starts, False).join(nodes.select("id", "path"), "id")
+    per = got.groupBy("path").agg(F.bool_or(F.col("origin") == "moved").alias("changed"))
     is_test = nodes.groupBy("path").agg(F.bool_or("is_test").alias("is_test"))
     return files.join(is_test, "path", "left").join(per, "path", "left").select("path", F.when(F.col("is_test"), "na").when(F.col("changed").isNull(), "none").when(F.col("changed"), "changed").otherwise("stale").alias("signal"))
 

@@ -45,10 +45,10 @@ SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, do
 SELECT doc_id AS source, (doc_id * 7 + 3) % n AS target FROM documents, t_count
 UNION ALL SELECT doc_id, (doc_id * 13 + 1) % n FROM documents, t_count WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, doc_id + 2000000 FROM documents WHERE doc_id % 4 = 0""",
-    # Changed line ranges: a few orders' line items, around the order's span.
+    # Changed line ranges: every order's line items, around the order's span.
     "d_hunks": """
 SELECT path, span_from + l_linenumber AS line_from, span_from + l_linenumber + CAST(l_quantity AS INT) % 7 AS line_to, l_linenumber AS hunk
-FROM lineitem JOIN g_symbols ON orderkey = l_orderkey WHERE l_orderkey % 97 = 0""",
+FROM lineitem JOIN g_symbols ON orderkey = l_orderkey""",
     # Coverage reports.
     "c_cov": "SELECT 'src/' || p_brand || '/p' || CAST(l_partkey AS STRING) || '.py' AS path, l_linenumber AS line, CAST(greatest(l_quantity - 25, 0) AS BIGINT) AS hits, l_returnflag AS report FROM lineitem JOIN part ON l_partkey = p_partkey",
     # A run journal, sessions and timings.
