@@ -71,6 +71,6 @@ def refs_drift(before: DataFrame, after: DataFrame, skip: DataFrame) -> DataFram
 
 def overlay(base: DataFrame, moved: DataFrame, delta: DataFrame, key: str, limit: int = 200) -> DataFrame:
     """Rows of an index with those of moved keys replaced; beyond the limit the index must be built anew."""
-    if moved.limit(limit + 1).count() > limit:
+    if moved.count() > limit:
         raise ValueError("too many moved files for an overlay")
-    return base.join(F.broadcast(moved), key, "left_anti").unionByName(delta)
+    return base.join(moved, key, "left_anti").unionByName(delta)

@@ -148,7 +148,7 @@ def paths(t: Tables) -> DataFrame:
     return t.t_docs.select("doc_id", clean_path(F.concat(F.lit("./"), "source", F.lit("//../"), F.regexp_replace("path", "^[^/]*/", ""))).alias("clean"))
 
 
-@query("g12_catalog_gap", "SELECT path FROM t_docs WHERE doc_id NOT IN (SELECT target FROM t_links WHERE source % 2 = 0)")
+@query("g12_catalog_gap", "SELECT path FROM t_docs WHERE doc_id NOT IN (SELECT target FROM t_links)")
 def gap(t: Tables) -> DataFrame:
-    listed = t.t_links.filter("source % 2 = 0").select(F.col("target").alias("doc_id")).distinct()
+    listed = t.t_links.select(F.col("target").alias("doc_id")).distinct()
     return t.t_docs.join(listed, "doc_id", "left_anti").select("path")

@@ -141,19 +141,19 @@ def neighbours(t: Tables) -> DataFrame:
     return graph.neighbours(t.t_links)
 
 
-@query("g12_orphans", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT target FROM t_links WHERE source <> target AND source % 3 = 0)")
+@query("g12_orphans", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT target FROM t_links WHERE source <> target)")
 def orphans(t: Tables) -> DataFrame:
-    return graph.orphans(t.documents.select(F.col("doc_id").alias("id")), t.t_links.filter("source % 3 = 0"))
+    return graph.orphans(t.documents.select(F.col("doc_id").alias("id")), t.t_links)
 
 
 @query(
     "g13_cycles",
-    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT source, target FROM t_links WHERE source % 3 = 0 AND target % 3 = 0 OR source % 41 = 0),
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT source, target FROM t_links),
 r AS (SELECT source AS a, target AS b FROM e UNION SELECT r.a, e.target FROM r JOIN e ON e.source = r.b)
 SELECT x.a AS id, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
 )
 def cycles(t: Tables) -> DataFrame:
-    return graph.cycles(t.t_links.filter("source % 3 = 0 AND target % 3 = 0 OR source % 41 = 0"))
+    return graph.cycles(t.t_links)
 
 
 @query("j48_same_name", "SELECT name, count(*) AS n FROM g_nodes GROUP BY name HAVING count(*) > 1")
@@ -266,10 +266,10 @@ def tombstones(t: Tables) -> DataFrame:
     return drift.tombstoned(t.events, dropped, ["user_id", "event_type"], "event_id")
 
 
-@query("u8_overlay", "SELECT path, content_hash FROM snap_a WHERE doc_id % 31 <> 0 UNION ALL SELECT path, content_hash FROM snap_b WHERE doc_id % 31 = 0 AND doc_id < 3000")
+@query("u8_overlay", f"WITH moved AS MATERIALIZED ({DRIFT}) SELECT path, content_hash FROM snap_a WHERE path NOT IN (SELECT path FROM moved) UNION ALL SELECT path, content_hash FROM snap_b WHERE path IN (SELECT path FROM moved)")
 def overlay(t: Tables) -> DataFrame:
-    moved = t.snap_a.filter("doc_id % 31 = 0").select("path")
-    return drift.overlay(t.snap_a.select("path", "content_hash"), moved, t.snap_b.filter("doc_id % 31 = 0 AND doc_id < 3000").select("path", "content_hash"), "path", 10_000_000)
+    moved = drift.content_drift(t.snap_a, t.snap_b).select("path")
+    return drift.overlay(t.snap_a.select("path", "content_hash"), moved, t.snap_b.join(moved, "path", "left_semi").select("path", "content_hash"), "path", 10_000_000)
 
 
 # Impact.

@@ -84,7 +84,7 @@ def probed(t: Tables) -> DataFrame:
 
 @query(
     "j11_bridges",
-    """WITH use_ AS (SELECT id AS source, kind AS namespace, name, path AS file, orderkey % 7 AS line FROM g_symbols WHERE orderkey % 3 = 0), offer AS (SELECT id AS target, kind AS namespace, name, path FROM g_symbols WHERE orderkey % 3 = 1),
+    """WITH use_ AS (SELECT id AS source, kind AS namespace, name, path AS file, orderkey % 7 AS line FROM g_symbols WHERE orderkey % 3 = 0), offer AS (SELECT id AS target, kind AS namespace, name, path FROM g_symbols WHERE orderkey % 3 <> 0),
 hit AS (SELECT source, target, namespace, name, line FROM use_ JOIN offer USING (namespace, name) WHERE split_part(file, '/', 2) = split_part(path, '/', 2) OR length(path) % 2 = 0),
 one AS (SELECT source, namespace, name FROM hit GROUP BY ALL HAVING count(DISTINCT target) = 1)
 SELECT source, target, min(line) AS line FROM hit JOIN one USING (source, namespace, name) WHERE (source, target) NOT IN (SELECT (source, target) FROM g_calls) GROUP BY source, target""",
@@ -92,5 +92,5 @@ SELECT source, target, min(line) AS line FROM hit JOIN one USING (source, namesp
 def bridges(t: Tables) -> DataFrame:
     dir_ = F.split("path", "/")[1]
     uses = t.g_symbols.filter("orderkey % 3 = 0").select(F.col("id").alias("source"), F.col("kind").alias("namespace"), "name", dir_.alias("file"), (F.col("orderkey") % 7).alias("line"))
-    offers = t.g_symbols.filter("orderkey % 3 = 1").select(F.col("id").alias("target"), F.col("kind").alias("namespace"), "name", F.when(F.length("path") % 2 != 0, F.array(dir_)).alias("scope"))
+    offers = t.g_symbols.filter("orderkey % 3 <> 0").select(F.col("id").alias("target"), F.col("kind").alias("namespace"), "name", F.when(F.length("path") % 2 != 0, F.array(dir_)).alias("scope"))
     return resolution.bridge(uses, offers, t.g_calls)

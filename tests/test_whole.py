@@ -3,6 +3,7 @@
 import random
 
 from corpusgraph.operators import impact
+from corpusgraph.plans import registry
 from corpusgraph.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,46 @@ def test_signals_by_brute_force_over_long_chains(spark):
         want[p] = "na" if is_test[p] else "none" if not tests else "changed" if tests & changed else "stale"
     got = {r.path: r.signal for r in impact.test_signal(spark.createDataFrame([(p,) for p in changed], "path string"), nodes, edges).collect()}
     assert got == want and set(want.values()) == {"na", "none", "changed", "stale"}
+
+
+def rows_of(spark, name):
+    return {tuple(r) for r in registry.queries()[name](spark, SF).collect()}
+
+
+def test_cycles_and_orphans_see_every_link(spark):
+    links = {tuple(r) for r in view(spark, SF, "t_links").collect()}
+    after = {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    reached = {}
+    for a in after:
+        seen, todo = set(), [a]
+        while todo:
+            new = after.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        reached[a] = seen
+    want = {(a, min(b for b in reached[a] if a in reached.get(b, ()))) for a in reached if a in reached[a]}
+    assert rows_of(spark, "g13_cycles") == want
+    ids = {r.doc_id for r in view(spark, SF, "t_docs").collect()}
+    assert rows_of(spark, "g12_orphans") == {(x,) for x in ids - {b for a, b in links if a != b}}
+    assert rows_of(spark, "g12_catalog_gap") == {(r.path,) for r in view(spark, SF, "t_docs").collect() if r.doc_id not in {b for _, b in links}}
+
+
+def test_bridges_leave_out_no_symbol(spark):
+    rows = [(r.id, r.kind, r.name, r.path, r.orderkey) for r in view(spark, SF, "g_symbols").collect()]
+    known = {(r.source, r.target) for r in view(spark, SF, "g_calls").collect()}
+    offers = {}
+    for id_, kind, name, path, key in rows:
+        if key % 3 != 0:
+            offers.setdefault((kind, name), []).append((id_, path))
+    want = set()
+    for id_, kind, name, path, key in rows:
+        if key % 3 == 0:
+            hit = {o for o, p in offers.get((kind, name), []) if p.split("/")[1] == path.split("/")[1] or len(p) % 2 == 0}
+            want |= {(id_, o, key % 7) for o in hit if len(hit) == 1 and (id_, o) not in known}
+    assert rows_of(spark, "j11_bridges") == want and any(int(o.split("#o")[1]) % 3 == 2 for _, o, _ in want)
+
+
+def test_overlay_ends_at_the_new_snapshot(spark):
+    assert rows_of(spark, "u8_overlay") == {(r.path, r.content_hash) for r in view(spark, SF, "snap_b").collect()}
