@@ -15,13 +15,23 @@ def held_out(doc_id: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """(doc_id, label) of the labelled rows outside the held-out fold, one a document."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id", folds, fold))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def share(labels: DataFrame, label: str, folds: int, fold: int) -> float | None:
+    """The share of label 1 over all labelled rows outside the held-out fold, to weigh a sample's classes by."""
+    return known_labels(labels, label, folds, fold).agg(F.avg("label")).first()[0]
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int = MAX_PER_CLASS) -> DataFrame:
     """(doc_id, text, label) of at most per_class labelled rows of each class outside the held-out fold.
 
     The rows with the smallest hashes of their ids are taken. At most 2 * per_class ids are broadcast.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id", folds, fold))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label, folds, fold)
     took = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.join(F.broadcast(took[0].unionByName(took[1])), "doc_id")

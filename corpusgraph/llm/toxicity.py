@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_c
     x = np.array([r[1] for r in rows]).reshape(-1, 4)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, np.array([1.0, 0.3, 0.5, 2.0, -3.0]))
-    return Model(lexicon, learning.fit_logistic(x, y, 1e-3))
+    return Model(lexicon, learning.fit_logistic(x, y, 1e-3, learning.share(labels, "toxic", folds, fold)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
