@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, lines, tokens
+from ..plans.checkpoint import in_blocks
 from .graph import pagerank
 
 # Fixed values of the scores.
@@ -124,11 +125,15 @@ def search_counters(docs: DataFrame, ids: DataFrame, hits: DataFrame) -> DataFra
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank) by cosine, the query itself excluded: a stated query set against all vectors, in one broadcast block."""
+    """(query, id, score, rank) by cosine, the query itself excluded: a stated query set against all vectors, in broadcast blocks."""
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
     q = queries.select(F.col("id").alias("query"), unit(F.col("vec")).alias("q"))
     v = vectors.select("id", unit(F.col("vec")).alias("v"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", F.round(dot, 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = v.join(F.broadcast(block), F.col("id") != F.col("query")).select("query", "id", F.round(dot, 6).alias("score"))
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    return in_blocks(q, "query", best)

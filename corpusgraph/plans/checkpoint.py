@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a broadcast block, about.
+BLOCK = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +29,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_blocks(rows: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fn over blocks of about BLOCK rows, one after the other; rows of one key share a block."""
+    n, out = -(-rows.count() // BLOCK), None
+    if n <= 1:
+        return fn(rows)
+    for i in range(n):
+        part = cut(fn(rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)), "block")
+        out = part if out is None else out.unionByName(part)
+    return out
