@@ -13,9 +13,11 @@ def content_drift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stat_drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The same, but hashes are compared only where the size differs or the row is unknown."""
-    both = old.select("path", F.col("size").alias("s0"), F.col("content_hash").alias("h0")).join(new.select("path", F.col("size").alias("s1"), F.col("content_hash").alias("h1")), "path", "full_outer")
-    return both.filter("NOT s0 <=> s1").filter("NOT h0 <=> h1").select("path", F.when(F.col("h0").isNull(), "added").when(F.col("h1").isNull(), "removed").otherwise("changed").alias("state"))
+    """The same, but hashes are compared only where size or mtime differs or is unknown, as mtime is in snapshots without it."""
+    part = lambda f, i: f.select("path", F.struct("size", F.col("mtime") if "mtime" in f.columns else F.lit(None).cast("long").alias("mtime")).alias(f"s{i}"), F.col("content_hash").alias(f"h{i}"))
+    both = part(old, 0).join(part(new, 1), "path", "full_outer")
+    same = "coalesce(s0.size = s1.size AND s0.mtime = s1.mtime, false)"
+    return both.filter(f"NOT {same}").filter("NOT h0 <=> h1").select("path", F.when(F.col("h0").isNull(), "added").when(F.col("h1").isNull(), "removed").otherwise("changed").alias("state"))
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -36,10 +36,10 @@ UNION ALL SELECT path, id, 'contains', 'extracted', 0 FROM g_symbols
 UNION ALL SELECT path, 'ext:' || nation, 'imports', 'extracted', 1 FROM g_files""",
     # Documents with paths, and two snapshots of them.
     "t_docs": "SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.md' AS path, source, lang, text FROM documents",
-    "snap_a": "SELECT path, doc_id, md5(text) AS content_hash, length(text) AS size FROM t_docs WHERE doc_id % 10 <> 0",
+    "snap_a": "SELECT path, doc_id, md5(text) AS content_hash, length(text) AS size, doc_id AS mtime FROM t_docs WHERE doc_id % 10 <> 0",
     "snap_b": """
 SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash,
-  length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM t_docs WHERE doc_id % 7 <> 0""",
+  length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, doc_id + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS mtime FROM t_docs WHERE doc_id % 7 <> 0""",
     "t_count": "SELECT count(*) AS n FROM documents",
     "t_links": """
 SELECT doc_id AS source, (doc_id * 7 + 3) % n AS target FROM documents, t_count
