@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_c
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = sample.filter("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # per_class rows a class at most
-    share = labels.filter("quality IN (0, 1)").agg(F.avg("quality")).first()[0]
+    share = learning.share(labels, "quality", folds, fold)
     y = np.array([r[0] for r in rows], float)
     x = np.array([r[1] for r in rows]).reshape(-1, 5)
     return Model(compressors, learning.fit_logistic(x, y, 1e-4, float(share or 0.5) if len(y) and 0 < y.mean() < 1 else None))
