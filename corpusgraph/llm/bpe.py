@@ -1,10 +1,11 @@
 """BPE encoding by speculation and verification, and decoding.
 
-For each distinct word of a batch, greedy longest-match proposes tokens. The proposal is what merging would
+For each distinct word of a batch, greedy longest-match (one automaton of all tokens) proposes tokens. The proposal is what merging would
 give exactly when every adjacent pair of its tokens is compatible, that is when merging the two tokens'
 symbols alone gives those two tokens again. All new pairs of a batch are tested together: numpy walks both
 split trees of every pair towards the common border and looks for a merge that would have come first. Only
-words with an incompatible pair, or with symbols that no token starts with, undergo exact merging.
+words with an incompatible pair, or with a token that its own symbols don't merge to, undergo exact merging,
+which runs in rounds over all of them.
 
 The tokenizer file gives normaliser, split pattern, vocabulary and merges; no tokenizer is trained. Null text
 is empty text and gives no ids. Repeated rows give repeated results; columns other than id and text are not read.
@@ -16,18 +17,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: A Python worker remembers up to twice as many words, pieces between spaces and token pairs.
-CACHE = 200_000
+#: A Python worker remembers the pieces between spaces of up to twice as many bytes, overheads included.
+CACHE_BYTES = 48 << 20
+#: The rank of a pair that is never merged.
+NONE = np.iinfo(np.int64).max
+#: Words of more bytes are merged with a heap, the others together.
+LONG = 200
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,24 +45,33 @@ def byte_letters() -> dict[int, str]:
 
 
 class Recent:
-    """A dict of two generations: when the young one is full it becomes the old one, so that what is in use stays."""
+    """What pieces of text encode to, as (packed ids, decoded text), in two generations: when the young one is full it becomes the old one, so that what is in use stays."""
 
     def __init__(self) -> None:
-        self.young: dict = {}
-        self.old: dict = {}
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
+        self.used = 0
 
-    def missing(self, keys: set) -> set:
+    def missing(self, keys: set[str]) -> set[str]:
         """The keys not known; known ones are all in the young generation afterwards."""
-        if len(self.young) + len(keys) > CACHE:
-            self.old, self.young = self.young, {}
-        out = keys - self.young.keys()
-        kept = out & self.old.keys()
-        self.young.update({k: self.old[k] for k in kept})
-        return out - kept
+        if self.used > CACHE_BYTES:
+            self.old, self.ids, self.texts, self.used = (self.ids, self.texts), {}, {}, 0
+        out = keys - self.ids.keys()
+        for k in out & self.old[0].keys():
+            self.put(k, self.old[0][k], self.old[1][k])
+        return out - self.ids.keys()
+
+    def put(self, key: str, ids: bytes, text: str) -> None:
+        self.ids[key], self.texts[key] = ids, text
+        self.used += 300 + 3 * len(ids) + 4 * len(key)
 
 
 class Bpe:
-    """One tokenizer file with word ends, read once per Python worker."""
+    """One tokenizer file with word ends, read once per Python worker.
+
+    A word is a row of symbols: its UTF-8 bytes, the last one plus 256. Tokens are strings of such symbols.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -68,72 +83,121 @@ class Bpe:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["use_regex"] or level["add_prefix_space"]:
             raise ValueError("this kind of tokenizer file is not supported")
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end: str = model["end_of_word_suffix"]
+        vocab: dict[str, int] = model["vocab"]
+        end: str = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(merges)}
-        self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.letters = byte_letters()
-        self.longest = max(map(len, self.vocab))
+        self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         # Split trees: the two parts of each token that merging makes; a token's rank is that of its merge, -1 for a symbol.
         size = max(self.text) + 1
         self.left, self.right, self.made = np.full(size, -1), np.full(size, -1), np.full(size, -1)
-        for (a, b), (i, t) in self.rank.items():
+        rank = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(merges)}
+        for (a, b), (i, t) in rank.items():
             if self.made[t] < 0:
                 self.left[t], self.right[t], self.made[t] = a, b, i
-        keys = np.array([(a << 20) | b for a, b in self.rank], np.int64)
+        keys = np.array([(a << 20) | b for a, b in rank], np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([i for i, _ in self.rank.values()], np.int64)[order]
-        self.words, self.chunks, self.pairs = Recent(), Recent(), Recent()
+        self.keys, self.ranks, self.merged_to = keys[order], np.array([i for i, _ in rank.values()], np.int64)[order], np.array([t for _, t in rank.values()], np.int64)[order]
+        self.rank = rank
+        letters = byte_letters()
+        self.symbol = np.array([vocab.get(letters[b % 256] + end * (b >= 256), -1) for b in range(512)])
+        byte_of = {c: b for b, c in letters.items()}
+        self.length = np.zeros(size, np.int64)
+        self.greedy = ahocorasick.Automaton()
+        for token, i in vocab.items():
+            bare, last = (token[: -len(end)], 256) if token.endswith(end) else (token, 0)
+            if bare and all(c in byte_of for c in bare):
+                codes = [byte_of[c] for c in bare]
+                codes[-1] += last
+                self.length[i] = len(codes)
+                self.greedy.add_word("".join(map(chr, codes)), i)
+        self.greedy.make_automaton()
+        # Tokens that merging their own symbols does not give are never right.
+        mine = [i for i in range(size) if self.length[i]]
+        ids, ends = self.merge_all([self._symbols_of(i) for i in mine])
+        first = ids[np.concatenate([[0], ends[:-1]])]
+        self.stable = np.zeros(size, bool)
+        self.stable[mine] = (np.diff(ends, prepend=0) == 1) & (first == mine)
+        self.pieces = Recent()
         self.proposed = self.merged = 0
 
+    def _symbols_of(self, token: int) -> np.ndarray:
+        """The symbols that a token is made of."""
+        out, todo = [], [token]
+        while todo:
+            t = todo.pop()
+            if self.made[t] < 0:
+                out.append(t)
+            else:
+                todo += [self.right[t], self.left[t]]
+        return np.array(out)
+
     def words_of(self, piece: str) -> list[str]:
         """The words of a piece of text; the pattern drops white space, so its form needs no normalising."""
-        return self.pattern.findall(_lower(piece if piece.isascii() else unicodedata.normalize("NFC", piece)))
-
-    def spell(self, word: str) -> str:
-        """The word in the vocabulary's letters, without the word end."""
-        return word.encode().decode("latin-1").translate(self.letters)
-
-    def propose(self, letters: str) -> list[int] | None:
-        """Greedy longest match; None if no token fits somewhere."""
-        out, at, n, get, longest = [], 0, len(letters), self.vocab.get, self.longest
-        while at < n:
-            if n - at <= longest and (token := get(letters[at:] + self.end)) is not None:
-                out.append(token)
-                return out
-            for to in range(min(n - 1, at + longest), at, -1):
-                token = get(letters[at:to])
-                if token is not None:
-                    out.append(token)
-                    at = to
-                    break
+        if piece.isascii():
+            low = piece.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in string.punctuation:
+                return [low[:-1], low[-1]]
+            return self.pattern.findall(low)
+        return self.pattern.findall(_lower(unicodedata.normalize("NFC", piece)))
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair's merge (NONE for no merge) and its place among the keys."""
+        key = (a << 20) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), at
+
+    def propose(self, symbols: np.ndarray) -> np.ndarray:
+        """Greedy longest match over the symbols of many words in a row; no token goes beyond a word's last symbol."""
+        line = symbols.astype("<u4").tobytes().decode("utf-32-le")
+        return np.fromiter((t for _, t in self.greedy.iter_long(line)), np.int64)
+
+    def merge_all(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words (rows of symbol ids): in each round every word merges its pair of least rank, the leftmost of equals.
+
+        Returns the ids of all words in a row, and where each word ends.
+        """
+        done: list[np.ndarray | None] = [None] * len(words)
+        short = []
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                done[i] = np.array(self._merge_long(w.tolist()))
             else:
-                return None
-        return out
-
-    def merge(self, letters: str) -> list[int]:
-        """Exact merging: the pair of least rank first, the leftmost of equals; unknown symbols are left out."""
-        ids = [self.vocab[s] for s in (*letters[:-1], letters[-1] + self.end) if s in self.vocab]
-        if len(ids) > 200:
-            return self._merge_long(ids)
-        rank, none = self.rank, (len(self.rank), -1)
-        next_ = [rank.get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while next_ and (best := min(next_)) is not none:
-            i = next_.index(best)
-            ids[i : i + 2] = [best[1]]
-            del next_[i]
-            if i:
-                next_[i - 1] = rank.get((ids[i - 1], ids[i]), none)
-            if i < len(next_):
-                next_[i] = rank.get((ids[i], ids[i + 1]), none)
-        return ids
+                short.append(i)
+        sizes = np.array([len(words[i]) for i in short], np.int64)
+        ids = np.concatenate([words[i] for i in short]) if short else np.empty(0, np.int64)
+        of = np.repeat(np.array(short, np.int64), sizes)
+        ready_ids, ready_of = [], []
+        while len(ids):
+            last = np.append(of[1:] != of[:-1], True)
+            rank = np.full(len(ids), NONE)
+            rank[:-1] = self.pair_ranks(ids[:-1], ids[1:])[0]
+            rank[last] = NONE
+            starts = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+            # Rank and place in one number: the least is the leftmost pair of least rank.
+            best = np.minimum.reduceat(np.where(rank == NONE, NONE, rank * len(ids) + np.arange(len(ids))), starts)
+            over = best == NONE
+            ended = np.repeat(over, np.diff(np.append(starts, len(ids))))
+            ready_ids.append(ids[ended])
+            ready_of.append(of[ended])
+            place = best[~over] % len(ids)
+            ids[place] = self.merged_to[self.pair_ranks(ids[place], ids[place + 1])[1]]
+            ended[place + 1] = True
+            ids, of = ids[~ended], of[~ended]
+        for i, w in enumerate(done):
+            if w is not None:
+                ready_ids.append(w)
+                ready_of.append(np.full(len(w), i))
+        all_of = np.concatenate(ready_of) if ready_of else np.empty(0, np.int64)
+        order = np.argsort(all_of, kind="stable")
+        return (np.concatenate(ready_ids)[order] if ready_ids else np.empty(0, np.int64)), np.cumsum(np.bincount(all_of, minlength=len(words)))
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and linked neighbours, for very long words."""
+        """The same with a heap and linked neighbours, for a very long word."""
         import heapq
 
         n = len(ids)
@@ -163,14 +227,13 @@ class Bpe:
         what was undone on its side would have come first, so the pair could not have arisen.
         """
         a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
-        limit = np.full(len(a), np.iinfo(np.int64).max)
+        limit = np.full(len(a), NONE)
         good = np.ones(len(a), bool)
         live = np.arange(len(a))
         while len(live):
             x, y, cap = a[live], b[live], limit[live]
-            key = (x << 20) | y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, 2 * self.ranks[at] + 1, np.iinfo(np.int64).max)
+            rank = self.pair_ranks(x, y)[0]
+            rank = np.where(rank == NONE, NONE, 2 * rank + 1)
             ends = rank < cap
             good[live[ends]] = False
             mx, my = self.made[x], self.made[y]
@@ -183,22 +246,56 @@ class Bpe:
             live = live[~ends & ((mx >= 0) | (my >= 0))]
         return good
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode words that are not known yet."""
-        proposals = [(w, letters := self.spell(w), self.propose(letters)) for w in words]
-        new = list(self.pairs.missing({p for _, _, ids in proposals if ids for p in zip(ids, ids[1:], strict=False)}))
-        pairs, known = self.pairs.young, self.words.young
-        if new:
-            pairs.update(zip(new, self.compatible(np.array(new, np.int64)).tolist(), strict=True))
-        self.proposed += len(proposals)
-        for w, letters, ids in proposals:
-            if ids is None or len(ids) > 1 and not all([pairs[p] for p in zip(ids, ids[1:], strict=False)]):
-                ids = self.merge(letters)
-                self.merged += 1
-            known[w] = ids
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. What stands between spaces is looked up whole before it is cut into words."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's ids end."""
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        raw = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        starts = np.concatenate([[0], ends[:-1]])
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        symbols[ends - 1] += 256
+        ids = self.propose(symbols)
+        borders = np.cumsum(self.length[ids])
+        if len(borders) == 0 or borders[-1] != ends[-1] or (self.symbol < 0).any():
+            bad, tokens, of = np.ones(len(words), bool), np.empty(0, np.int64), np.empty(0, np.int64)
+        else:
+            of = np.searchsorted(ends, borders)  # the word that each token ends in
+            bad = np.zeros(len(words), bool)
+            bad[of[~self.stable[ids]]] = True
+            inner = np.flatnonzero(of[1:] == of[:-1])
+            pairs, which = np.unique((ids[inner] << 20) | ids[inner + 1], return_inverse=True)
+            good = self.compatible(np.stack([pairs >> 20, pairs & 0xFFFFF], axis=1))
+            bad[of[inner[~good[which]]]] = True
+            tokens = ids
+        redo = np.flatnonzero(bad)
+        self.proposed += len(words)
+        self.merged += len(redo)
+        rows = [self.symbol[symbols[starts[i] : ends[i]]] for i in redo]
+        exact, exact_ends = self.merge_all([r[r >= 0] for r in rows])  # unknown symbols are left out
+        exact_of = np.repeat(redo, np.diff(exact_ends, prepend=0))
+        keep = ~bad[of]
+        all_ids, all_of = np.concatenate([tokens[keep], exact]), np.concatenate([of[keep], exact_of])
+        order = np.argsort(all_of, kind="stable")
+        return all_ids[order], np.cumsum(np.bincount(all_of, minlength=len(words)))
+
+    def learn(self, fresh: set[str]) -> None:
+        """Encode pieces that are not known yet."""
+        of = {c: self.words_of(c) for c in fresh if c not in self.special}
+        place = {w: i for i, w in enumerate(set().union(*of.values()))}
+        ids, ends = self.encode_words(list(place))
+        packed, name = ids.astype("<u4").tobytes(), self.text
+        names = [name[t] for t in ids.tolist()]
+        stops = [0, *ends.tolist()]
+        for c, words in of.items():
+            at = [place[w] for w in words]
+            self.pieces.put(c, b"".join([packed[4 * stops[i] : 4 * stops[i + 1]] for i in at]), " ".join([t for i in at for t in names[stops[i] : stops[i + 1]]]))
+        for c in fresh & self.special.keys():
+            self.pieces.put(c, np.array([self.special[c]], "<u4").tobytes(), name[self.special[c]])
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """The packed ids and the decoded form of each text: the tokens' texts with a space between them, as the library
+        decodes without a decoder. What stands between spaces is looked up whole before it is cut into words."""
         cut: list[list[str]] = []
         for text in texts:
             if self.cut_special and any(s in text for s in self.special):
@@ -208,19 +305,10 @@ class Bpe:
             else:
                 parts = text.replace("\n", " ").split(" ")
             cut.append(parts)
-        fresh = self.chunks.missing(set().union(*cut))
-        of = {c: self.words_of(c) for c in fresh if c not in self.special}
-        self.learn(self.words.missing(set().union(*of.values())))
-        known, words = self.chunks.young, self.words.young
-        for c, parts in of.items():
-            known[c] = words[parts[0]] if len(parts) == 1 else [t for w in parts for t in words[w]]
-        known.update({c: [self.special[c]] for c in fresh if c in self.special})
-        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """As the library does without a decoder: the tokens' texts with a space between them."""
-        text = self.text
-        return " ".join([text[i] for i in ids if i in text])
+        self.learn(self.pieces.missing(set().union(*cut)))
+        ids, decoded = self.pieces.ids.__getitem__, self.pieces.texts.__getitem__
+        for parts in cut:
+            yield b"".join(map(ids, parts)), " ".join(filter(None, map(decoded, parts)))
 
 
 def _lower(text: str) -> str:
@@ -274,14 +362,13 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, with_ids: b
         bpe = tokenizer(path)
         out: dict[str, list] = {"doc_id": doc_ids, "n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
         for part in _slices(texts):
-            for ids in bpe.encode_all([t.decode() for t in part]):
-                packed = np.array(ids, "<u4")
-                out["n_tokens"].append(len(ids))
+            for packed, decoded in bpe.encode_all([t.decode(errors="replace") for t in part]):
+                out["n_tokens"].append(len(packed) // 4)
                 if with_ids:
-                    out["ids"].append(packed.astype(np.int32))
+                    out["ids"].append(np.frombuffer(packed, "<i4"))
                 if with_digests:
-                    out["ids_sha256"].append(hashlib.sha256(packed.tobytes()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                    out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         return out
 
     schema = "doc_id long, n_tokens long" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests

@@ -41,8 +41,7 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, key = read(spark, sf_dir, "documents"), "example-key"
-    made = surrogates.replace(docs, key, surrogates.safe_round(surrogates.entities(docs), key))
+    made = surrogates.replace(read(spark, sf_dir, "documents"), "example-key")
     number = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
     return made.select("doc_id", "text", *[number(k) for k in surrogates.TYPES], spans.alias("spans"))

