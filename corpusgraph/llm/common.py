@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Most rows of a key list (8 bytes each) that is broadcast after its size was counted.
 BROADCAST_KEYS = 2_000_000
+#: Bytes of an Arrow batch, about; one text may be longer.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +51,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most about BATCH_BYTES, so that neither side holds many long texts at once.
+
+    The session keeps that bound; a smaller one that it has already is left as it is.
+    """
+    spark = df.sparkSession
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()).groups()
+    now = int(number) << 10 * " kmgt".index(unit or " ")
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, list[bytes]], dict[str, list]], schema: str) -> DataFrame:
     """Run fn(ids, texts) on each Arrow batch of two columns; it returns the columns of schema.
 
@@ -61,7 +77,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, lis
             got = fn(batch.column(0).to_pylist(), utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, utf8
+from .common import arrow_schema, map_arrow, utf8
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -142,7 +142,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
                 kept = [c.cast(f.type) for c, f in zip(batch.columns[: len(names)], out, strict=False)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(made, out[-1].type)], schema=out)
 
-        return df.mapInArrow(run, f"{ddl}, hit struct<{hit.replace(' long', ':bigint').replace(' array', ':array').replace(', ', ',')}>")
+        return map_arrow(df, run, f"{ddl}, hit struct<{hit.replace(' long', ':bigint').replace(' array', ':array').replace(', ', ',')}>")
 
     done = 0
     for block in blocks(items, item_id, item_text, size):

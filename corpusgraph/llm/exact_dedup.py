@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_texts, partitions, utf8
+from .common import arrow_schema, join_groups, map_arrow, map_texts, materialise, partitions, utf8
 
 #: Bytes of contents that a table holds before it spills, and spill files per level.
-TABLE_BYTES = 128 << 20
-LOCAL_BYTES = 48 << 20
+TABLE_BYTES = 96 << 20
+LOCAL_BYTES = 32 << 20
 FANOUT = 16
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -161,13 +161,9 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, content, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield content, [n, doc, None]
 
-    rows, seen = [], set()
+    rows = []
     for content, (n, doc, _) in grace(records()):
-        sha = hashlib.sha256(content).digest()
-        if sha in seen:  # the members find their group by this digest
-            raise ValueError("two different texts have the same SHA-256")
-        seen.add(sha)
-        rows.append((sha, doc, n))
+        rows.append((hashlib.sha256(content).digest(), doc, n))  # by which the members find their group
         if len(rows) == 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             rows = []
@@ -189,11 +185,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     An empty table gives an empty result. Other columns of docs are not read.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    collapsed = two.mapInArrow(_collapse, "doc_id long, text binary, count long, bucket binary")
-    groups = collapsed.repartition(partitions(docs.sparkSession), "bucket").select("doc_id", "text", "count").mapInArrow(_groups, "sha binary, keep_id long, group_size long")
-    members = map_texts(docs, id_col, text_col, _members, "sha binary, members array<long>")
+    collapsed = map_arrow(two, _collapse, "doc_id long, text binary, count long, bucket binary")
+    dealt = collapsed.repartition(partitions(docs.sparkSession), "bucket").select("doc_id", "text", "count")
+    groups = materialise(map_arrow(dealt, _groups, "sha binary, keep_id long, group_size long"), "groups")
+    members = materialise(map_texts(docs, id_col, text_col, _members, "sha binary, members array<long>"), "members")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     return (
-        members.join(groups, "sha")
+        join_groups(members, groups, "sha", "group_size", total)
         .select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
@@ -210,13 +208,27 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     local = arrow_schema(spark, ddl + ", bucket binary")
 
     def winners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A text that the task has passed on goes again only with a smaller id; the table starts anew when it is full.
+        table = Table()
         for batch in batches:
-            best: dict[bytes, list] = {}
+            took, marks = [], []
             for i, (doc, text) in enumerate(zip(batch.column(id_at).to_pylist(), utf8(batch.column(text_at)), strict=True)):
                 content = normalise(text)
-                best[content] = first(best[content], [1, doc, i]) if content in best else [1, doc, i]
-            took = batch.take(pa.array([v[2] for v in best.values()], pa.int64()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(took.columns, out, strict=True)] + [pa.array([hashlib.sha256(c).digest() for c in best], pa.binary())], schema=local)
+                key = xxhash.xxh3_64_intdigest(content)
+                entry, slot = table.find(key, content)
+                if entry < 0:
+                    if table.used >= LOCAL_BYTES:
+                        table = Table()
+                        slot = table.find(key, content)[1]
+                    table.insert(key, content, [1, doc, None], slot)
+                elif first(table.values[entry], [1, doc, None])[1] == table.values[entry][1]:
+                    continue
+                else:
+                    table.values[entry] = [1, doc, None]
+                took.append(i)
+                marks.append(hashlib.sha256(content).digest())
+            rows = batch.take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(rows.columns, out, strict=True)] + [pa.array(marks, pa.binary())], schema=local)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[tuple[bytes, list]]:
@@ -233,5 +245,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    kept = plain.mapInArrow(winners, ddl + ", bucket binary").repartition(partitions(spark), "bucket").drop("bucket").mapInArrow(keep, ddl)
-    return kept.toDF(*names)
+    sent = map_arrow(plain, winners, ddl + ", bucket binary").repartition(partitions(spark), "bucket").drop("bucket")
+    return map_arrow(sent, keep, ddl).toDF(*names)

@@ -10,8 +10,6 @@ for candidates, compared as words in the last step). The result is the connected
    that agree in a whole range meet. Shingles that many documents share, by a sample, are left out of all ranges:
    the rest of two linked sets differs no more than the whole. Short sets, whose ranges would be too alike, meet by prefixes instead: with
    shingles in order of frequency among short sets, linked sets share one of their first n - ceil(num n / den) + 1.
-   Very long sets have so many ranges that linked ones share hundreds; of these, keys are sampled by their hash,
-   SHARED of each link's or more on average, so that a link is missed with a chance below exp(-40).
    The sketch also holds GROUPS group counts (more for long documents), the document's point.
 2. *Blocks*: the documents of one key. Copies of one set, and keys seen before in the same batch, are
    collapsed before the shuffle. Each document is compared with the smallest document of its blocks: first by
@@ -25,7 +23,7 @@ for candidates, compared as words in the last step). The result is the connected
 
 A document without words has no shingles and links with nothing; with fewer than k words the whole sequence
 is its one shingle; null text is empty text. Rows without an id link with nothing and have no component.
-Rows that repeat an id are one node. Columns other than id and text are not read.
+Rows that repeat an id are one node with several texts: it links by any of them. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,14 +37,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, join_groups, map_texts, materialise, partitions, utf8
+from .common import BROADCAST_KEYS, join_groups, map_arrow, map_texts, materialise, partitions, utf8
 
 #: A document's point has GROUPS coordinates; long ones get more, up to MOST_GROUPS, and are summed to GROUPS in the tree.
 GROUPS, MOST_GROUPS = 256, 2048
 #: The tree's nodes use sums of groups.
 COARSE = 32
-#: Sets that may differ in so many shingles keep half as many ranges spare, of which SHARED are sampled.
-MANY, SHARED = 512, 48
+#: Keys that a task remembers because it met them in several documents.
+REMEMBERED = 200_000
 CHUNK = 512
 #: Shingles in COMMON_SHARE of about SAMPLE sampled documents are left out of ranges: at most MOST_COMMON.
 SAMPLE, COMMON_SHARE, MOST_COMMON = 4000, 0.005, 50_000
@@ -117,7 +115,7 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
         if n < hi:
             differ = 2 * (hi - 1) * (den - num) // (den + num)
             if differ:  # else only equal sets link
-                spare = differ // 2 if differ >= MANY else 6 + differ // 8
+                spare = 6 + differ // 8
                 out.append((k, differ + 1 + spare, spare))
         lo, k = hi, k + 1
     return out
@@ -135,43 +133,61 @@ def range_keys(hashes: np.ndarray, num: int, den: int, common: np.ndarray) -> np
         cuts = np.append(cuts, len(hashes))
         keys = mix((sums[cuts[1:]] - sums[cuts[:-1]]) + mix(np.arange(ranges, dtype=_U) + _U(band << 32)))
         full = cuts[1:] > cuts[:-1]
-        keys = keys if ranges - full.sum() > spare else keys[full]
-        rate = spare // SHARED if spare * 2 >= MANY else 1
-        out.append(keys[keys % _U(rate) == 0] if rate > 1 else keys)
+        out.append(keys if ranges - full.sum() > spare else keys[full])
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
 def _sketch(k: int, num: int, den: int, common: Broadcast):
-    """Per document: n, digest, vec, and for the first with this set in the batch: keys not seen before in the batch, and the others with the document that had them first."""
+    """Per document: n, digest, vec; leads for the first with this set in the task, which also gives its keys and, apart
+    from them, those that the task has met before, each with a document that gave it."""
 
-    def of(ids: list, texts: list[bytes]) -> dict[str, list]:
-        n = len(ids)
-        out: dict[str, list] = {"doc_id": ids, "n": [0] * n, "digest": [None] * n, "vec": [None] * n, "keys": [None] * n, "met": [None] * n, "small": [None] * n}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        owner: dict[int, int] = {}
-        for i in sorted(range(n), key=lambda i: (ids[i] is None, ids[i] or 0)):
-            hashes = shingle_hashes(texts[i], k)
-            out["n"][i] = len(hashes)
-            if not len(hashes) or ids[i] is None:
-                continue
-            out["digest"][i] = digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-            out["vec"][i] = point_bytes(hashes)
-            if digest in seen:
-                continue
-            seen.add(digest)
-            if num * len(hashes) <= den * SHORT:
-                out["small"][i] = hashes.view(np.int64).tolist()
-            keys, met = [], []
-            for key in range_keys(hashes, num, den, common.value).view(np.int64).tolist() if len(hashes) > SHORT else ():
-                had = owner.setdefault(key, ids[i])
-                if had == ids[i]:
-                    keys.append(key)
+        known, owners = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+            if len(seen) > REMEMBERED:
+                seen = set()
+            n, digests, vecs, leads, keys, small = [], [], [], [], [], []
+            none = np.empty(0, np.int64)
+            for i in order:
+                hashes = shingle_hashes(texts[i], k)
+                n.append(len(hashes))
+                if not len(hashes) or ids[i] is None:
+                    digests.append(None)
+                    vecs.append(None)
+                    leads.append(False)
                 else:
-                    met.append({"key": key, "pivot": had})
-            out["keys"][i], out["met"][i] = keys, met
-        return out
+                    digests.append(digest := hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                    vecs.append(point_bytes(hashes))
+                    leads.append(digest not in seen)
+                    seen.add(digest)
+                keys.append(range_keys(hashes, num, den, common.value).view(np.int64) if leads[-1] and len(hashes) > SHORT else none)
+                small.append(hashes.view(np.int64) if leads[-1] and num * len(hashes) <= den * SHORT else none)
+            docs = np.array([ids[i] or 0 for i in order], np.int64)
+            row = np.repeat(np.arange(len(order)), [len(x) for x in keys])
+            key = np.concatenate([none, *keys])
+            distinct, at, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            owner, fresh = docs[row[at]] if len(at) else none, np.ones(len(distinct), bool)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                fresh = known[place] != distinct
+                owner = np.where(fresh, owner, owners[place])
+            new = fresh[which] & (at[which] == np.arange(len(key)))
+            again = fresh & (times > 1)
+            if len(known) + again.sum() > REMEMBERED:
+                known, owners = none, none
+            known, owners = np.concatenate([known, distinct[again]]), np.concatenate([owners, owner[again]])
+            sort = np.argsort(known)
+            known, owners = known[sort], owners[sort]
+            met = pa.StructArray.from_arrays([pa.array(key[~new]), pa.array(owner[which][~new])], names=["key", "pivot"])
+            lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(order) + 1)), pa.int32()), values)
+            of_small = np.repeat(np.arange(len(order)), [len(x) for x in small])
+            arrays = [pa.array([ids[i] for i in order], pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary()), pa.array(leads)]
+            yield pa.RecordBatch.from_arrays([*arrays, lists(row[new], pa.array(key[new])), lists(row[~new], met), lists(of_small, pa.array(np.concatenate([none, *small])))], names=["doc_id", "n", "digest", "vec", "leads", "keys", "met", "small"])
 
-    return of
+    return run
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +214,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if ids.count() <= BROADCAST_KEYS:  # counted: 16 MB at most
         ids = F.broadcast(ids)
-    texts = materialise(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = materialise(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +232,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
 def point_bytes(hashes: np.ndarray) -> bytes:
@@ -377,28 +393,29 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(_common(docs, k))  # MOST_COMMON hashes at most
-    sketch = materialise(map_texts(docs, "doc_id", "text", _sketch(k, num, den, common), "doc_id long, n int, digest binary, vec binary, keys array<long>, met array<struct<key:bigint,pivot:bigint>>, small array<bigint>"), "sketch")
+    sketch = materialise(map_arrow(docs, _sketch(k, num, den, common), "doc_id long, n int, digest binary, vec binary, leads boolean, keys array<bigint>, met array<struct<key:bigint,pivot:bigint>>, small array<bigint>"), "sketch")
     total = sketch.count()
     known = sketch.filter("digest IS NOT NULL")
     classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    short = _prefixes(known.filter("small IS NOT NULL").select("doc_id", "small"), num, den)
+    short = _prefixes(known.filter("size(small) > 0").select("doc_id", "digest", "small"), num, den)
     rows = known.select(F.explode("keys").alias("key"), "doc_id").unionByName(short).repartition(partitions(spark), "key").sortWithinPartitions("key", "doc_id")
     met = known.select("doc_id", F.explode("met").alias("m")).select(F.col("m.key").alias("key"), "doc_id", F.col("m.pivot").alias("pivot"))
-    blocks = materialise(rows.mapInArrow(_runs, "key long, doc_id long, pivot long").unionByName(met), "blocks")
+    blocks = materialise(map_arrow(rows, _runs, "key long, doc_id long, pivot long").unionByName(met), "blocks")
 
-    firsts = known.filter("keys IS NOT NULL").select("doc_id", "digest", "vec").dropDuplicates(["doc_id"])
+    firsts = known.filter("leads").select("doc_id", "digest", "vec").dropDuplicates(["doc_id", "digest"])
     pairs = blocks.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
     other = firsts.toDF("pivot", "digest_b", "vec_b")
     pairs = materialise(pairs.join(firsts, "doc_id").join(other, "pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), "vec", "vec_b", F.expr("digest = digest_b").alias("equal")), "pairs")
     same = firsts.join(classes, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    star = _verify(pairs.filter("NOT equal").select("a", "b", "vec", "vec_b").mapInArrow(_may_link(num, den), "a long, b long"), docs, k, num, den)
+    star = _verify(map_arrow(pairs.filter("NOT equal").select("a", "b", "vec", "vec_b"), _may_link(num, den), "a long, b long"), docs, k, num, den)
     edges = materialise(star.unionByName(pairs.filter("equal").select("a", "b")).unionByName(same), "links")
 
     # Blocks with the same documents are searched once.
     members = blocks.select("key", "doc_id").unionByName(blocks.select("key", F.col("pivot").alias("doc_id"))).distinct()
     marks = members.groupBy("key").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("m1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("m2"))
-    members = materialise(members.join(marks.groupBy("docs", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "key"), "members")
+    chosen = materialise(marks.groupBy("docs", "m1", "m2").agg(F.min("key").alias("key")), "chosen")
+    members = materialise(join_groups(members, chosen.select("key", "docs"), "key", "docs", chosen.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]).select("key", "doc_id"), "members")
     for best in (True,) * SCOUTS + (False,):
         found = _search(members, components(edges), firsts, num, den, best)
         if found is not None:
@@ -425,10 +442,10 @@ def _common(docs: DataFrame, k: int) -> np.ndarray:
 
 def _prefixes(short: DataFrame, num: int, den: int) -> DataFrame:
     """(key, doc_id): the rarest shingles of each short set, as many as linked sets need to share one; those of one set alone are left out."""
-    rows = materialise(short.select("doc_id", F.explode("small").alias("key")), "short")
+    rows = materialise(short.select("doc_id", "digest", F.explode("small").alias("key")), "short")
     often = rows.groupBy("key").agg(F.count("*").alias("df"))
     ranked = join_groups(rows, often, "key", "df", rows.count())
-    of = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))  # SHORT * den / num at most
+    of = ranked.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))  # SHORT * den / num at most
     n = F.size("all")
     first = F.slice("all", F.lit(1), (n - F.ceil((n * num).cast("double") / F.lit(float(den))) + 1).cast("int"))
     return of.select("doc_id", F.explode(first).alias("x")).filter("x.df > 1").select(F.xxhash64("x.key", F.lit("prefix")).alias("key"), "doc_id")
@@ -438,15 +455,16 @@ def _search(members: DataFrame, comps: DataFrame, firsts: DataFrame, num: int, d
     """Pairs (a, b) of the same block and different components that may link; None if no block has several components."""
     members = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("docs")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("docs").alias("docs"), F.max_by("comp", F.struct("docs", "comp")).alias("main"), F.max("docs").alias("most")).filter("comps > 1")
-    sizes = sizes.select("key", "main", F.expr(f"bigint(ceil(docs / {CHUNK}))").alias("chunks"), F.expr(f"bigint(ceil((docs - most) / {CHUNK}))").alias("ask_chunks"))
-    open_ = materialise(members.join(sizes, "key").join(firsts.select("doc_id", "vec"), "doc_id"), "open")
+    sizes = materialise(sizes.select("key", "main", "docs", F.expr(f"bigint(ceil(docs / {CHUNK}))").alias("chunks"), F.expr(f"bigint(ceil((docs - most) / {CHUNK}))").alias("ask_chunks")), "sizes")
+    of_open = join_groups(members, sizes, "key", "docs", sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]).drop("docs")
+    open_ = materialise(of_open.join(firsts.select("doc_id", "vec"), "doc_id"), "open")
     if open_.isEmpty():
         return None
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     there = open_.select("key", deal("chunks").alias("x"), F.explode(F.expr("sequence(0L, ask_chunks - 1L)")).alias("y"), "doc_id", "comp", "vec", F.lit(False).alias("asks"))
     ask = open_.filter("comp <> main").select("key", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("x"), deal("ask_chunks").alias("y"), "doc_id", "comp", "vec", F.lit(True).alias("asks"))
     dealt = there.unionByName(ask).repartition(partitions(members.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    tiles = dealt.mapInArrow(_tree_pairs(num, den, best), "a long, b long, again long")
+    tiles = map_arrow(dealt, _tree_pairs(num, den, best), "a long, b long, again long")
     return materialise(tiles.distinct(), "found")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .common import map_texts, materialise, utf8
+from .common import map_arrow, map_texts, materialise, utf8
 
 PIECE = 2048
 MAX_PIECES = 4000
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_c
                     parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(parts, pa.binary())], names=["label", "piece"])
 
-    parts = sample.filter("half = 0").select("label", "text").mapInArrow(cut, "label int, piece binary")
+    parts = map_arrow(sample.filter("half = 0").select("label", "text"), cut, "label int, piece binary")
     by = [[bytes(r["piece"]) for r in parts.filter(F.col("label") == y).orderBy(F.xxhash64("piece")).limit(MAX_PIECES).collect()] for y in (0, 1)]
     compressors = Compressors(train(by[1]), train(by[0]))
     sent = spark.sparkContext.broadcast(compressors)  # two dictionaries of DICT_BYTES
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_c
             rows = [sent.value.features(t) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
-    rows = sample.filter("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # per_class rows a class at most
+    rows = map_arrow(sample.filter("half = 1").select("label", "text"), run, "label int, x array<double>").collect()  # per_class rows a class at most
     share = learning.share(labels, "quality", folds, fold)
     y = np.array([r[0] for r in rows], float)
     x = np.array([r[1] for r in rows]).reshape(-1, 5)

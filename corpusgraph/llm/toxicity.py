@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .common import arrow_schema, map_texts, materialise, utf8
+from .common import arrow_schema, map_arrow, map_texts, materialise, utf8
 
 # Words of each role.
 INSULTS = "idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting dumb imbecile vermin trottel arschloch dreckskerl connard salaud abruti imbécile idiota estúpido imbécil basura".split()
@@ -154,7 +154,7 @@ def _count_stems(label_at: int, text_at: int):
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Stems that go with label 1, with their smoothed log odds; at most MAX_LEXICON reach the driver."""
-    counts = sample.select("label", "text").mapInArrow(_count_stems(0, 1), "stem string, ones long, zeros long").groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counts = map_arrow(sample.select("label", "text"), _count_stems(0, 1), "stem string, ones long, zeros long").groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     by = dict(sample.groupBy("label").count().collect())
     n0, n1 = by.get(0, 0), by.get(1, 0)
     if not n0 or not n1:
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_c
             rows = [features(t.decode(), lexicon) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
-    rows = sample.select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # 2 * per_class at most
+    rows = map_arrow(sample.select("label", "text"), run, "label int, x array<double>").collect()  # 2 * per_class at most
     y = np.array([r[0] for r in rows], float)
     x = np.array([r[1] for r in rows]).reshape(-1, 4)
     if not len(y) or y.min() == y.max():
@@ -224,4 +224,4 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str
             kept = batch.filter(pa.array([s < limit for s in sent.value.scores(utf8(batch.column(at)))], pa.bool_()))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, out, strict=True)], schema=out)
 
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, ddl).toDF(*names)
+    return map_arrow(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, ddl).toDF(*names)

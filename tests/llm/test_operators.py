@@ -145,6 +145,32 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     assert rows_of(ngram_join.similarity_classes(docs_of(spark, texts), 3, 80, 100)) == brute_classes(texts, 3, 80, 100)
 
 
+def test_long_sets_keep_every_link(spark):
+    """Texts of 6,000 words and more, near the limit on either side, against all pairs."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS) + rng.choice(WORDS)
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(6500)]
+        texts.append(base)
+        for changes in (60, 130, 145, 150, 160, 300):
+            words = list(base)
+            for at in rng.sample(range(len(words)), changes):
+                words[at] = word()
+            texts.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute_classes(rows, 5, 80, 100)
+    assert 3 < len({c for _, _, c in want}) < 21
+    assert rows_of(ngram_join.similarity_classes(docs_of(spark, rows).repartition(4))) == want
+
+
+def test_ids_with_several_texts_link_by_any(spark):
+    w, v = (" ".join(random.Random(i).choices(WORDS, k=60)) for i in (1, 2))
+    rows = [(5, w), (5, v), (7, w + " z"), (8, v + " z"), (9, "alone"), (5, w)]
+    got = rows_of(ngram_join.similarity_classes(docs_of(spark, rows)))
+    assert [(i, c) for i, _, c in got] == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
 def test_rtree_finds_all_that_may_link():
     import numpy as np
 
