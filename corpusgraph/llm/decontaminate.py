@@ -104,7 +104,7 @@ def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
     """Word ranges as character offsets of the original text, end exclusive."""
     if not ranges:
         return []
-    places = [m.span() for m in _WORD.finditer(text.decode())]
+    places = [m.span() for m in _WORD.finditer(text.decode(errors="replace"))]
     return [(places[a][0], places[b - 1][1]) for a, b in ranges]
 
 

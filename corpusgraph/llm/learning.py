@@ -29,12 +29,12 @@ def share(labels: DataFrame, label: str, folds: int, fold: int) -> float | None:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int = MAX_PER_CLASS) -> DataFrame:
     """(doc_id, text, label) of at most per_class labelled rows of each class outside the held-out fold.
 
-    The rows with the smallest hashes of their ids are taken. At most 2 * per_class ids are broadcast.
+    The ids with the smallest hashes are taken, of rows that repeat an id the least text. At most 2 * per_class ids are broadcast.
     """
     known = known_labels(labels, label, folds, fold)
     took = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(took[0].unionByName(took[1])), "doc_id")
+    return rows.join(F.broadcast(took[0].unionByName(took[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, prior: float | None = None) -> np.ndarray:

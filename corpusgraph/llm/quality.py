@@ -1,9 +1,9 @@
 """Compression classifier for text quality.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text is cut into
-pieces of PIECE bytes, all of which are compressed with either dictionary; the difference of the sizes over
-their sum, with the sizes' ratios to the text, goes through a logistic calibration. Dictionaries learn from
-one half of the labelled sample and the calibration from the other.
+pieces of PIECE bytes, all of which are compressed with either dictionary; the difference of the two sizes over
+the text's own size, and nothing else, goes through a logistic calibration. Dictionaries learn from one half of
+the labelled sample and the calibration from the other.
 
 The sample is bounded: `learning.MAX_PER_CLASS` rows and MAX_PIECES pieces of either class for the
 dictionaries. Null and empty texts are scored as such. Labels, language, source and id never enter a score.
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import learning
 from .common import map_arrow, map_texts, materialise, utf8
 
-PIECE = 2048
-MAX_PIECES = 4000
-DICT_BYTES = 64 << 10
+PIECE = 384
+MAX_PIECES = 16_000
+DICT_BYTES = 512 << 10
 LEVEL = 3
 
 
@@ -42,7 +42,7 @@ def train(samples: list[bytes]) -> bytes:
 
 
 class Compressors:
-    """One compressor per dictionary, and one without; made anew in each Python worker."""
+    """One compressor per dictionary; made anew in each Python worker."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.dictionaries = good, bad
@@ -52,16 +52,15 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
         self.good, self.bad = made
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def __reduce__(self):
         return Compressors, self.dictionaries
 
-    def features(self, text: bytes) -> list[float]:
+    def difference(self, text: bytes) -> float:
+        """How many bytes the good dictionary saves against the bad one, for each byte of the text."""
         cut = pieces(text)
-        good, bad, plain = (sum(len(c.compress(p)) for p in cut) for c in (self.good, self.bad, self.plain))
-        n = len(text) + 16
-        return [(bad - good) / (bad + good + 16), good / n, bad / n, plain / n, float(np.log1p(len(text)))]
+        good, bad = (sum(len(c.compress(p)) for p in cut) for c in (self.good, self.bad))
+        return (bad - good) / (len(text) + 16)
 
 
 class Model:
@@ -71,7 +70,7 @@ class Model:
     def scores(self, texts: list[bytes]) -> list[float]:
         if not texts:
             return []
-        return learning.logistic(np.array([self.compressors.features(t) for t in texts]), self.weights).tolist()
+        return learning.logistic(np.array([[self.compressors.difference(t)] for t in texts]), self.weights).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_class: int = learning.MAX_PER_CLASS) -> Model:
@@ -95,13 +94,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sent.value.features(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            rows = [sent.value.difference(t) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.float64())], names=["label", "x"])
 
-    rows = map_arrow(sample.filter("half = 1").select("label", "text"), run, "label int, x array<double>").collect()  # per_class rows a class at most
+    rows = map_arrow(sample.filter("half = 1").select("label", "text"), run, "label int, x double").collect()  # per_class rows a class at most
     share = learning.share(labels, "quality", folds, fold)
     y = np.array([r[0] for r in rows], float)
-    x = np.array([r[1] for r in rows]).reshape(-1, 5)
+    x = np.array([r[1] for r in rows]).reshape(-1, 1)
     return Model(compressors, learning.fit_logistic(x, y, 1e-4, float(share or 0.5) if len(y) and 0 < y.mean() < 1 else None))
 
 

@@ -73,7 +73,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select(
-        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans")
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("random", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("random")
     )
 
 

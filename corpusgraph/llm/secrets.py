@@ -1,17 +1,18 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Base spans come from three patterns (assignments, access keys, hexadecimal strings). Beside them, every run of
-at least SHORTEST key letters is a candidate: its encoding is inferred from its alphabet, and three tests ask
-whether it looks random there: chi-squared uniformity over the alphabet, runs above and below the alphabet's
-middle, and serial correlation of neighbours. Fisher's method combines them into one p-value of randomness.
-
-Ordinary words must not pass. Each candidate is paired with a decoy, letters of the same length from the
-ordinary text around it, which is tested alike. Over all documents, by length class, the decoys at or above a
-p-value estimate how many candidates there pass by chance; the threshold of a class is the least p-value at
-which that share is FALSE_SHARE or less. A class without such a threshold reports nothing.
-
-Only counts by length class and p-value bin reach the driver. Null text is empty text. Rows that repeat each
-count and report for themselves. Columns other than id and text are not read.
+Base spans come from three patterns (assignments, access keys, hexadecimal strings). Every base span's value, and
+every other run of at least SHORTEST key letters (digits alone are no key), is a candidate: its encoding is inferred from its alphabet, and
+tests ask whether it looks random there: chi-squared uniformity over the alphabet with repeated letters, runs above
+and below the alphabet's middle, and serial correlation of neighbours. Fisher's method makes one statistic of them.
+The tests depend on each other, so the statistic is not read as a probability but set against ordinary text.
+
+Every document gives one decoy per length class, letters of that length from its ordinary text, which is tested under
+each group of encodings. The p-value of a candidate is the share of decoys of its length class that look as random or
+more under its group of encodings (classes with fewer than LEAST_DECOYS are pooled with their neighbours). Benjamini-Hochberg over all candidates of all documents then finds
+the largest p-value at which the expected share of false reports is FALSE_SHARE or less.
+
+Only counts by length class and bin of the statistic reach the driver. Null text is empty text; bytes that are no UTF-8
+count as U+FFFD. Rows that repeat each count and report for themselves. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHORTEST = 16
 FALSE_SHARE = 0.05
 LENGTHS = (16, 20, 24, 32, 48, 64)
 BINS = 40
+#: Decoys that a p-value should rest on.
+LEAST_DECOYS = 40
 KINDS = ("assign", "access", "hex", "random")
 
 # Fixed patterns of the base spans.
@@ -35,7 +38,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-NOT_LETTERS = re.compile(r"[A-Za-z0-9+/_=-]{16,}|[^A-Za-z0-9]+")
+NOT_LETTERS = re.compile(r"[A-Za-z0-9+/_=-]{16,}|[^A-Za-z]+")
 
 #: Encodings from the narrowest; the first whose alphabet holds all letters is inferred.
 ALPHABETS = (
@@ -49,6 +52,8 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+#: Groups of encodings: hexadecimal, letters of one case, more letters.
+GROUPS = {"hex": 0, "HEX": 0, "base32": 1, "lower": 1}
 _SETS = [(name, frozenset(letters), {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS]
 
 
@@ -70,10 +75,10 @@ def encoding(token: str) -> tuple[str, dict[str, int]] | None:
     return next(((name, index) for name, known, index in _SETS if letters <= known), None)
 
 
-def randomness(token: str) -> float:
-    """The combined p-value of the battery under random letters; 0 where no encoding fits."""
+def randomness(token: str, found: tuple[str, dict[str, int]] | None = None) -> float:
+    """The combined statistic of the battery under random letters of an encoding, the inferred one if none is given; 0 where none fits."""
     token = token.rstrip("=")
-    found = encoding(token)
+    found = found or encoding(token)
     n = len(token)
     if found is None or n < SHORTEST:
         return 0.0
@@ -133,30 +138,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _tested(start: int, end: int, value: str) -> dict | None:
+    value = value.rstrip("=")
+    if len(value) < SHORTEST:
+        return None
+    found = encoding(value)
+    return {"start": start, "end": end, "cls": 3 * length_class(len(value)) + (GROUPS.get(found[0], 2) if found else 2), "bin": bin_of(randomness(value, found))}
+
+
+def _decoy(letters: str) -> list[float]:
+    """The statistic of ordinary letters under each group of encodings."""
+    low = letters.lower()
+    hexa, lower, wide = (next((name, index) for name, _, index in _SETS if name == x) for x in ("hex", "lower", "base62"))
+    return [randomness(low, hexa) if all(c in hexa[1] for c in low) else 0.0, randomness(low, lower), randomness(letters, wide)]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[dict]]:
-    """Runs outside base spans, and their decoys, each with length class and bin."""
-    found, decoys, plain = [], [], None
+    """Base spans' values and runs apart from them, each with class (three for each length, by group of encodings) and bin; and the text's decoys."""
+    found, decoys = [], []
+    covered, at = 0, 0  # the largest end of the base spans that start before a run ends
+    for start, kind, end in base:
+        value = text[start:end]
+        if kind == 0:
+            value = ASSIGN.match(text, start, end).group(2)
+        found.append(_tested(start, end, value))
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, _, b in base):
-            continue
-        n = len(m.group().rstrip("="))
-        if n < SHORTEST:
-            continue
-        cls = length_class(n)
-        found.append({"start": start, "end": end, "cls": cls, "bin": bin_of(randomness(m.group()))})
-        if plain is None:
-            plain = NOT_LETTERS.sub("", text)
+        while at < len(base) and base[at][0] < m.end():
+            covered, at = max(covered, base[at][2]), at + 1
+        if covered <= m.start() and not m.group().isdigit():
+            found.append(_tested(*m.span(), m.group()))
+    plain = NOT_LETTERS.sub("", text)
+    for cls, n in enumerate(LENGTHS):
         if len(plain) >= n:
-            at = start * 7919 % (len(plain) - n + 1)
-            decoys.append({"cls": cls, "bin": bin_of(randomness(plain[at : at + n]))})
-    return found, decoys
+            at = (len(text) * 7919 + cls * 104729) % (len(plain) - n + 1)
+            decoys += [{"cls": 3 * cls + group, "bin": bin_of(x)} for group, x in enumerate(_decoy(plain[at : at + n]))]
+    return [x for x in found if x], decoys
 
 
 def _scan(ids: list, texts: list[bytes]) -> dict[str, list]:
     out: dict[str, list] = {"doc_id": ids, "base": [], "found": [], "decoys": []}
     for raw in texts:
-        text = raw.decode()
+        text = raw.decode(errors="replace")
         base = base_spans(text)
         found, decoys = candidates(text, base)
         out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in base])
@@ -165,30 +187,44 @@ def _scan(ids: list, texts: list[bytes]) -> dict[str, list]:
     return out
 
 
-def thresholds(scanned: DataFrame) -> dict[int, int]:
-    """The least bin of each length class from which the estimated false share stays within FALSE_SHARE."""
-    at = lambda c: scanned.select(F.explode(c).alias("x")).groupBy("x.cls", "x.bin").count().collect()  # noqa: E731  len(LENGTHS) * (BINS + 1) rows at most
-    hits, false = {(r[0], r[1]): r[2] for r in at("found")}, {(r[0], r[1]): r[2] for r in at("decoys")}
+def p_values(decoys: dict[tuple[int, int], int]) -> dict[tuple[int, int], float]:
+    """The p-value of each (class, bin): the share of decoys at or above the bin, of so many neighbouring lengths of the same group as give LEAST_DECOYS."""
     out = {}
-    for cls in range(len(LENGTHS)):
-        t = d = 0
-        for b in range(BINS, 0, -1):
-            t += hits.get((cls, b), 0)
-            d += false.get((cls, b), 0)
-            if t and (d + 1) / t <= FALSE_SHARE:
-                out[cls] = b
+    for cls in range(3 * len(LENGTHS)):
+        for reach in range(len(LENGTHS)):
+            near = {k: n for k, n in decoys.items() if k[0] % 3 == cls % 3 and abs(k[0] - cls) <= 3 * reach}
+            total = sum(near.values())
+            if total >= LEAST_DECOYS:
+                break
+        for b in range(BINS + 1):
+            out[cls, b] = (1 + sum(n for (_, x), n in near.items() if x >= b)) / (1 + total)
     return out
 
 
+def discoveries(found: dict[tuple[int, int], int], p: dict[tuple[int, int], float]) -> set[tuple[int, int]]:
+    """Benjamini-Hochberg over counts of candidates by (class, bin): the bins reported."""
+    total, limit = sum(found.values()), 0.0
+    for at in sorted({p[k] for k in found}):
+        if total * at <= FALSE_SHARE * sum(n for k, n in found.items() if p[k] <= at):
+            limit = at
+    return {k for k in p if k[1] > 0 and p[k] <= limit}
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, base and spans (arrays of start, kind, end; kind indexes KINDS), by start."""
-    scanned = materialise(
-        map_texts(docs, id_col, text_col, _scan, "doc_id long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,cls:int,bin:int>>, decoys array<struct<cls:int,bin:int>>"), "secrets"
-    )
-    least = thresholds(scanned)
+    """One row per input row: doc_id, base and spans (arrays of start, kind, end; kind indexes KINDS), by start; and
+    random: of all spans (start, end) those whose values look random, base spans too."""
+    tested = "array<struct<start:int,end:int,cls:int,bin:int>>"
+    scanned = materialise(map_texts(docs, id_col, text_col, _scan, f"doc_id long, base array<struct<start:int,kind:int,end:int>>, found {tested}, decoys array<struct<cls:int,bin:int>>"), "secrets")
+    counts = lambda c: {(r[0], r[1]): r[2] for r in scanned.select(F.explode(c).alias("x")).groupBy("x.cls", "x.bin").count().collect()}  # noqa: E731  3 * len(LENGTHS) * (BINS + 1) rows at most
+    least: dict[int, int] = {}
+    for cls, b in discoveries(counts("found"), p_values(counts("decoys"))):
+        least[cls] = min(b, least.get(cls, b))
     passes = lambda x: F.coalesce(*[F.when((x["cls"] == c) & (x["bin"] >= b), True) for c, b in least.items()], F.lit(False))
-    more = F.transform(F.filter("found", passes), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    random = F.transform(F.filter("found", passes), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    rows = scanned.select("doc_id", "base", random.alias("random"))
+    is_base = lambda x: F.exists("base", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
+    more = F.transform(F.filter("random", lambda x: ~is_base(x)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"), "random")
 
 
 def as_text(spans: F.Column) -> F.Column:

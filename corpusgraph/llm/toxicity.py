@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed, each reading the tag stream of the one before, clause by clause:
+Words become tags, and five transducers with explicit states, arcs and weights, composed into two (one reads a
+clause backwards, so that a target may follow), read the tags clause by clause:
 
 * lexicon: a trie of word stems and whole words maps a word to insult, threat, target, negation or report,
   insults with a weight learned from the labels;
 * negation: an insult or threat within a few words after a negation keeps a small part of its weight;
 * reported speech: after a verb of saying, the rest of the sentence keeps half of its weight;
-* target: an insult or threat beside a word for a person gains weight;
-* threat: counts only with a target in its clause.
+* target: an insult or threat within a few words of a word for a person is aimed;
+* clause patterns: an aimed insult or threat gains weight, an insult alone keeps its own, a threat alone has none.
 
 What leaves the composition is one weight per matched clause. A document's score is a logistic function of
 its matched clauses (sum, strongest, number, share of all words), fitted on a bounded sample of labels
@@ -82,37 +83,73 @@ class Lexicon:
         return out
 
 
-def negate(tags: Iterable) -> Iterator:
-    left = 0
-    for tag in tags:
-        if tag and tag[0] == "negation":
-            left = NEGATION_SPAN + 1
-        elif tag and tag[0] in ("insult", "threat") and left:
-            tag = tag[0], tag[1] * NEGATED
-        left = max(0, left - 1)
-        yield tag
+class Transducer:
+    """A deterministic weighted transducer over tags: arcs (state, tag) to (state, tag, weight); state 0 is the first."""
 
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]]) -> None:
+        self.arcs = arcs
 
-def report(tags: Iterable, state: list[bool]) -> Iterator:
-    """state[0] lives until the sentence ends."""
-    for tag in tags:
-        if tag and tag[0] == "report":
-            state[0] = True
-        elif tag and state[0] and tag[0] in ("insult", "threat"):
-            tag = tag[0], tag[1] * REPORTED
-        yield tag
+    def __matmul__(self, after: Transducer) -> Transducer:
+        """Composition: after reads what this one writes; weights multiply. Only states that can be reached are made."""
+        number, arcs, todo = {(0, 0): 0}, {}, [(0, 0)]
+        while todo:
+            state = todo.pop()
+            for tag in TAGS:
+                mine, middle, w = self.arcs[state[0], tag]
+                theirs, out, v = after.arcs[state[1], middle]
+                to = mine, theirs
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                arcs[number[state], tag] = number[to], out, w * v
+        return Transducer(arcs)
 
+    def run(self, tags: Iterable[str], state: int = 0) -> tuple[list[tuple[str, float]], int]:
+        out, arcs = [], self.arcs
+        for tag in tags:
+            state, written, weight = arcs[state, tag]
+            out.append((written, weight))
+        return out, state
 
-def aim(tags: Iterable) -> Iterator:
-    """Weights of insults and threats, raised by a target within TARGET_SPAN words on either side; others drop out."""
-    tags = list(tags)
-    targets = [i for i, t in enumerate(tags) if t and t[0] == "target"]
-    for i, tag in enumerate(tags):
-        if tag and tag[0] in ("insult", "threat"):
-            near = any(abs(i - j) <= TARGET_SPAN for j in targets)
-            if tag[0] == "threat" and not near:
-                continue
-            yield tag[1] * (TARGETED if near else 1.0)
+
+#: Tags: another word, insult, threat, target, negation, verb of saying, end of a clause, end of a sentence; A and B are an insult and a threat with a target.
+TAGS = "_ITGNR,.AB"
+_OF_ROLE = {"insult": "I", "threat": "T", "target": "G", "negation": "N", "report": "R"}
+
+
+def negation() -> Transducer:
+    """States: how many more words the last negation reaches. What it reaches weighs NEGATED; a clause's end ends its reach."""
+    arcs = {}
+    for left in range(NEGATION_SPAN + 1):
+        for tag in TAGS:
+            to = NEGATION_SPAN if tag == "N" else 0 if tag in ",." else max(0, left - 1)
+            arcs[left, tag] = to, tag, NEGATED if left and tag in "ITAB" else 1.0
+    return Transducer(arcs)
+
+
+def reported() -> Transducer:
+    """State 1 from a verb of saying to the sentence's end: what stands there weighs REPORTED."""
+    return Transducer({(s, tag): (1 if tag == "R" else 0 if tag == "." else s, tag, REPORTED if s and tag in "ITAB" else 1.0) for s in (0, 1) for tag in TAGS})
+
+
+def aimed() -> Transducer:
+    """States: how many more words the last target reaches. I and T in its reach become A and B."""
+    arcs = {}
+    for left in range(TARGET_SPAN + 1):
+        for tag in TAGS:
+            to = TARGET_SPAN if tag == "G" else 0 if tag in ",." else max(0, left - 1)
+            arcs[left, tag] = to, {"I": "A", "T": "B"}.get(tag, tag) if left else tag, 1.0
+    return Transducer(arcs)
+
+
+def clause_patterns() -> Transducer:
+    """What an occurrence weighs by the pattern it is part of: insult with a target, threat with a target, insult alone; a threat alone is none."""
+    return Transducer({(0, tag): (0, tag, {"A": TARGETED, "B": TARGETED, "T": 0.0}.get(tag, 1.0)) for tag in TAGS})
+
+
+#: A target may follow: this one reads a clause from its end. The other reads what it writes from the beginning.
+BACKWARD = aimed()
+FORWARD = negation() @ reported() @ aimed() @ clause_patterns()
 
 
 def clause_weights(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
@@ -121,15 +158,16 @@ def clause_weights(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     words = _WORD.findall(text)
     if not any(t and t[0] in ("insult", "threat") for t in set(lexicon.tags(words))):
         return [], len(words)
-    out, state, at = [], [False], 0
+    out, state, at = [], 0, 0
     ends = [(m.start(), m.end(), m.group()) for m in _CLAUSE.finditer(text)] + [(len(text), len(text), ".")]
     for start, end, mark in ends:
         tags = lexicon.tags(_WORD.findall(text, at, start))
-        weight = sum(aim(report(negate(tags), state)))
+        line = [_OF_ROLE[t[0]] if t else "_" for t in tags]
+        marks = [tag for tag, _ in BACKWARD.run(reversed(line))[0]][::-1]
+        written, state = FORWARD.run([*marks, "." if any(c in _SENTENCE for c in mark) else ","], state)
+        weight = sum(w * t[1] for (tag, w), t in zip(written, tags, strict=False) if tag in "ITAB")
         if weight > 0:
             out.append(weight)
-        if any(c in _SENTENCE for c in mark):
-            state[0] = False
         at = end
     return out, len(words)
 
@@ -145,7 +183,7 @@ def _count_stems(label_at: int, text_at: int):
         for batch in batches:
             counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for y, text in zip(batch.column(label_at).to_pylist(), utf8(batch.column(text_at)), strict=True):
-                counts[y].update({s for w in set(_WORD.findall(text.decode().lower())) for s in stems(w)})
+                counts[y].update({s for w in set(_WORD.findall(text.decode(errors="replace").lower())) for s in stems(w)})
             keys = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["stem", "ones", "zeros"])
 
@@ -179,7 +217,7 @@ class Model:
     def scores(self, texts: list[bytes]) -> list[float]:
         if not texts:
             return []
-        return learning.logistic(np.array([features(t.decode(), self.lexicon) for t in texts]), self.weights).tolist()
+        return learning.logistic(np.array([features(t.decode(errors="replace"), self.lexicon) for t in texts]), self.weights).tolist()
 
     def __getstate__(self) -> dict:
         return {"learned": self.lexicon.learned, "weights": self.weights}
@@ -195,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.decode(), lexicon) for t in utf8(batch.column(1))]
+            rows = [features(t.decode(errors="replace"), lexicon) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = map_arrow(sample.select("label", "text"), run, "label int, x array<double>").collect()  # 2 * per_class at most

@@ -280,6 +280,46 @@ def test_battery_tells_random_from_words():
     assert secrets.randomness("a" * 40) < 1e-6
 
 
+def test_false_discovery_control_equals_brute_force():
+    rng = random.Random(3)
+    decoys = {(c, b): rng.randint(0, 90) for c in range(18) for b in range(0, 30)}
+    found = {(c, b): rng.randint(1, 9) for c in range(18) for b in range(0, 41, 2)}
+    p = secrets.p_values(decoys)
+    every = sorted(p[k] for k, n in found.items() for _ in range(n))
+    limit = max((x for i, x in enumerate(every, 1) if x <= secrets.FALSE_SHARE * i / len(every)), default=0.0)
+    assert {k for k in found if p[k] <= limit and k[1]} == {k for k in found if k in secrets.discoveries(found, p)}
+    assert 0 < limit < 1 and all(p[c, b] >= p[c, b + 1] for c in range(18) for b in range(40))
+    few = secrets.p_values({(0, 3): 2, (15, 1): 1, (1, 4): 9})
+    assert few[0, 40] == few[15, 40] == 1 / 4 and few[1, 40] == 1 / 10
+
+
+def test_candidates_skip_what_base_spans_cover():
+    text = "token=" + "a1B2" * 6 + " " + "Zx9" * 8 + " AKIA" + "Q7" * 10 + "x" * 30
+    base = secrets.base_spans(text)
+    found, decoys = secrets.candidates(text, base)
+    apart = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert [(x["start"], x["end"]) for x in found] == [(a, b) for a, _, b in base] + apart and len(apart) == 1
+    assert not decoys
+
+
+def test_planted_keys_are_found_in_a_small_table(spark):
+    rng = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choices(letters, k=40))
+    word = lambda: "".join(rng.choices(WORDS, k=2))
+    rows, want = [], set()
+    for i in range(60):
+        words = [word() for _ in range(60)]
+        if i % 4 == 0:
+            words.insert(30, key())
+            want.add(i)
+        if i % 4 == 1:
+            words.insert(30, "".join(rng.choices(WORDS, k=9)))
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id for r in secrets.find_secrets(docs_of(spark, rows)).collect() if any(s.kind == 3 for s in r.spans)}
+    assert len(got & want) >= 13 and len(got - want) <= 1
+
+
 def test_find_secrets(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices(WORDS, k=3))
@@ -322,6 +362,42 @@ def test_toxicity_learns_stems_and_negation(spark):
     assert weight("a fine day") == 0
 
 
+def test_transducers_equal_a_naive_matcher():
+    """Random sentences of tagged words against the rules written out with distances."""
+    rng = random.Random(21)
+    by_role = {"idiot": "I", "kill": "T", "you": "G", "not": "N", "said": "R"}
+    lexicon = toxicity.Lexicon({})
+    hits = 0
+    for _ in range(1500):
+        clauses = [[rng.choice([*by_role, "red", "blue", "green"]) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 5))]
+        marks = [rng.choice([".", ";", "!", ": "]) for _ in clauses]
+        want, said = [], False
+        for words, mark in zip(clauses, marks, strict=True):
+            total = 0.0
+            for i, w in enumerate(words):
+                said = said or w == "said"
+                if by_role.get(w) not in ("I", "T"):
+                    continue
+                weight = 2.0 if w == "idiot" else toxicity.THREAT
+                near = any(v == "you" and abs(i - j) <= toxicity.TARGET_SPAN for j, v in enumerate(words))
+                weight *= toxicity.TARGETED if near else 1.0 if w == "idiot" else 0.0
+                weight *= toxicity.NEGATED if "not" in words[max(0, i - toxicity.NEGATION_SPAN) : i] else 1.0
+                total += weight * (toxicity.REPORTED if said else 1.0)
+            want += [total] if total > 0 else []
+            said = said and mark not in ".!"
+        got = toxicity.clause_weights(" ".join(" ".join(c) + m for c, m in zip(clauses, marks, strict=True)), lexicon)[0]
+        assert got == pytest.approx(want)
+        hits += len(want)
+    assert hits > 1000
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = docs_of(spark, [(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = learning.sample(docs, labels, "quality", 5, 4, 10).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id < 3) == [(1, "text 0"), (2, "other")] and len(got) == 3
+
+
 def test_classifiers_on_odd_tables(spark):
     docs, labels, _ = labelled(spark, 60)
     none = labels.limit(0)
