@@ -17,8 +17,10 @@ for candidates, compared as words in the last step). The result is the connected
 3. *R-tree*: blocks that still hold several components are searched exhaustively. The points of a block form
    an R-tree, packed by size and counts; every document outside the block's largest component descends into
    those nodes whose summed minima allow a link. Large blocks are dealt as tiles of CHUNK x CHUNK documents.
-   In the first SCOUTS searches each document names its likeliest pair only; their links join most of the
-   components, and the last search takes every pair still apart. All these are verified by their texts.
+   Before that, in blocks of several tiles, each document looks for its likeliest partner in one tile only, NEAR_SCOUTS
+   times, so that a large group of near copies becomes one component in linear work. In the first SCOUTS searches of
+   all tiles each document names its likeliest pair only; their links join most of the components that are left, and
+   the last search takes every pair still apart. All these are verified by their texts.
 4. Components: contraction to the neighbour of least hash, round by round, until no edge is left.
 
 A document without words has no shingles and links with nothing; with fewer than k words the whole sequence
@@ -45,13 +47,15 @@ GROUPS, MOST_GROUPS = 256, 2048
 COARSE = 32
 #: Keys that a task remembers because it met them in several documents.
 REMEMBERED = 200_000
-CHUNK = 512
+CHUNK = 2048
 #: Shingles in COMMON_SHARE of about SAMPLE sampled documents are left out of ranges: at most MOST_COMMON.
 SAMPLE, COMMON_SHARE, MOST_COMMON = 4000, 0.005, 50_000
 LEAF = 32
 #: Sets of at most so many shingles meet by prefixes; so do those that link with one.
 SHORT = 64
 SCOUTS = 1
+#: Before that, documents of blocks of several tiles look for a partner in one tile each, so often.
+NEAR_SCOUTS = 1
 #: Upper ends of the size bands grow by this factor.
 BAND = 1.5
 
@@ -416,6 +420,11 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     marks = members.groupBy("key").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc_id")).alias("m1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("m2"))
     chosen = materialise(marks.groupBy("docs", "m1", "m2").agg(F.min("key").alias("key")), "chosen")
     members = materialise(join_groups(members, chosen.select("key", "docs"), "key", "docs", chosen.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]).select("key", "doc_id"), "members")
+    for near in range(NEAR_SCOUTS):
+        found = _search(members, components(edges), firsts, num, den, True, near)
+        if found is None or found.isEmpty():
+            break
+        edges = materialise(edges.unionByName(_verify(found.select("a", "b").distinct(), docs, k, num, den)), "links")
     for best in (True,) * SCOUTS + (False,):
         found = _search(members, components(edges), firsts, num, den, best)
         if found is not None:
@@ -451,11 +460,16 @@ def _prefixes(short: DataFrame, num: int, den: int) -> DataFrame:
     return of.select("doc_id", F.explode(first).alias("x")).filter("x.df > 1").select(F.xxhash64("x.key", F.lit("prefix")).alias("key"), "doc_id")
 
 
-def _search(members: DataFrame, comps: DataFrame, firsts: DataFrame, num: int, den: int, best: bool) -> DataFrame | None:
-    """Pairs (a, b) of the same block and different components that may link; None if no block has several components."""
+def _search(members: DataFrame, comps: DataFrame, firsts: DataFrame, num: int, den: int, best: bool, near: int | None = None) -> DataFrame | None:
+    """Pairs (a, b) of the same block and different components that may link; None if no block has several components.
+
+    near: only blocks of several tiles, each document in one tile, by the number of this deal.
+    """
     members = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("docs")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("docs").alias("docs"), F.max_by("comp", F.struct("docs", "comp")).alias("main"), F.max("docs").alias("most")).filter("comps > 1")
     sizes = materialise(sizes.select("key", "main", "docs", F.expr(f"bigint(ceil(docs / {CHUNK}))").alias("chunks"), F.expr(f"bigint(ceil((docs - most) / {CHUNK}))").alias("ask_chunks")), "sizes")
+    if near is not None:
+        sizes = sizes.filter("chunks > 1")
     of_open = join_groups(members, sizes, "key", "docs", sizes.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]).drop("docs")
     open_ = materialise(of_open.join(firsts.select("doc_id", "vec"), "doc_id"), "open")
     if open_.isEmpty():
@@ -463,6 +477,10 @@ def _search(members: DataFrame, comps: DataFrame, firsts: DataFrame, num: int, d
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     there = open_.select("key", deal("chunks").alias("x"), F.explode(F.expr("sequence(0L, ask_chunks - 1L)")).alias("y"), "doc_id", "comp", "vec", F.lit(False).alias("asks"))
     ask = open_.filter("comp <> main").select("key", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("x"), deal("ask_chunks").alias("y"), "doc_id", "comp", "vec", F.lit(True).alias("asks"))
+    if near is not None:
+        tile = F.pmod(F.xxhash64("doc_id", F.lit(near)), F.col("chunks"))
+        here = open_.select("key", tile.alias("x"), F.lit(0).cast("long").alias("y"), "doc_id", "comp", "vec", (F.col("comp") != F.col("main")).alias("asks"))
+        there, ask = here.withColumn("asks", F.lit(False)), here.filter("asks")
     dealt = there.unionByName(ask).repartition(partitions(members.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
     tiles = map_arrow(dealt, _tree_pairs(num, den, best), "a long, b long, again long")
     return materialise(tiles.distinct(), "found")
