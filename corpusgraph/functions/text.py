@@ -82,6 +82,16 @@ def version(text: Column) -> Column:
     return F.when(bare != "", F.slice(F.concat(numbers, F.array(F.lit(0), F.lit(0))), 1, 3))
 
 
+def plain_name(name: Column) -> Column:
+    """A minted name without its ordinals (`~2`)."""
+    return F.regexp_replace(name, "~[0-9]+", "")
+
+
+def case_id(area: Column, target: Column, day: Column) -> Column:
+    """The area's last segment, the day and four hexadecimal digits of a digest of area and target."""
+    return F.concat_ws("-", F.substring_index(area, "/", -1), F.date_format(day, "yyyy-MM-dd"), F.left(F.sha2(F.concat(area, F.lit("\n"), target), 256), F.lit(4)))
+
+
 def span(text: Column) -> tuple[Column, Column]:
     """`L12-L40` as two numbers, or two nulls."""
     pattern = r"^L([0-9]+)-L([0-9]+)$"

@@ -24,7 +24,7 @@ def walk_edges(edges: DataFrame) -> DataFrame:
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
-    """(id, in_degree, in_degree_tests_excluded if is_test_source is given): parallel edges count."""
+    """(id, in_degree): parallel edges count."""
     return walk_edges(edges).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree"))
 
 

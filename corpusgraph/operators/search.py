@@ -114,7 +114,12 @@ def grep(docs: DataFrame, pattern: str, ids: DataFrame | None = None, fixed: boo
         hit = lambda c: F.contains(F.lower(c), F.lit(pattern.lower())) if ignore_case else F.contains(c, F.lit(pattern))
     else:
         hit = lambda c: c.rlike(("(?i)" if ignore_case else "") + pattern)
-    whole = docs.filter(hit(text)) if fixed else docs.filter(text.rlike("(?m" + ("i" if ignore_case else "") + ")" + pattern))
+    if fixed:
+        whole = docs.filter(hit(text))
+    elif re.search(r"\\[AzZG]", pattern):  # ends of the text, which for a line are those of the line: no filter by document
+        whole = docs
+    else:
+        whole = docs.filter(text.rlike("(?m" + ("i" if ignore_case else "") + ")" + pattern))
     return lines(whole, "id", "text").filter(hit(F.col("line")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import under
+from ..functions.text import case_id, plain_name, span, under
 from ..operators import drift, graph, impact
 from .registry import Tables, query
 
@@ -184,6 +184,32 @@ def ordinals(t: Tables) -> DataFrame:
     return t.g_symbols.select("orderkey", "name", k.alias("k")).select("orderkey", F.concat("name", F.when(F.col("k") > 1, F.concat(F.lit("~"), F.col("k").cast("string"))).otherwise("")).alias("minted"))
 
 
+MINTED = "SELECT orderkey, path, name || CASE WHEN k > 1 THEN '~' || CAST(k AS VARCHAR) ELSE '' END AS minted FROM (SELECT orderkey, path, name, row_number() OVER (PARTITION BY path, name ORDER BY orderkey) AS k FROM g_symbols)"
+
+
+@query("f13_plain_names", f"SELECT orderkey, regexp_replace(minted, '~[0-9]+', '', 'g') AS name, contains(minted, '~') AS had_ordinal FROM ({MINTED})")
+def plain_names(t: Tables) -> DataFrame:
+    rows = ordinals(t)
+    return rows.select("orderkey", plain_name(F.col("minted")).alias("name"), F.contains("minted", F.lit("~")).alias("had_ordinal"))
+
+
+SPELLED = "CASE WHEN orderkey % 7 = 0 THEN 'L' || CAST(span_from AS VARCHAR) ELSE 'L' || CAST(span_from AS VARCHAR) || '-L' || CAST(span_to AS VARCHAR) END"
+
+
+@query("p14_spans", f"SELECT id, TRY_CAST(regexp_extract({SPELLED}, '^L([0-9]+)-L([0-9]+)$', 1) AS INT) AS line_from, TRY_CAST(regexp_extract({SPELLED}, '^L([0-9]+)-L([0-9]+)$', 2) AS INT) AS line_to FROM g_symbols")
+def spans(t: Tables) -> DataFrame:
+    start, end = F.concat(F.lit("L"), F.col("span_from").cast("string")), F.concat(F.lit("-L"), F.col("span_to").cast("string"))
+    rows = t.g_symbols.select("id", F.concat(start, F.when(F.col("orderkey") % 7 == 0, "").otherwise(end)).alias("spelled"))
+    low, high = span(F.col("spelled"))
+    return rows.select("id", low.alias("line_from"), high.alias("line_to"))
+
+
+@query("f9_case_ids", "SELECT o_orderkey, o_orderpriority || '-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || left(sha256('orders/' || o_orderpriority || chr(10) || CAST(o_custkey AS VARCHAR)), 4) AS case_id FROM orders")
+def case_ids(t: Tables) -> DataFrame:
+    area = F.concat(F.lit("orders/"), "o_orderpriority")
+    return t.orders.select("o_orderkey", case_id(area, F.col("o_custkey").cast("string"), F.col("o_orderdate")).alias("case_id"))
+
+
 @query("w16_skeleton", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY span_from NULLS LAST, name, id) AS place, id FROM g_nodes WHERE kind <> 'file'")
 def skeleton(t: Tables) -> DataFrame:
     return impact.skeleton(t.g_nodes)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, content_hash, fold_umlauts, grams, lines, tokens
+from ..functions.text import STOP_WORDS, collapse, content_hash, fold_umlauts, grams, lines, tokens
 from ..operators import search
 from .registry import Tables, query
 
 QUERY = "license public general version the of"
-STOP = "('the','a','an','of','to','in','is','are','how','does','do','what','where','which','that','this','it','for','on','and','or','with','i','we','get','set','use','used','using','when','why','can')"
+STOP = "(" + ",".join(f"'{w}'" for w in STOP_WORDS) + ")"
 #: Tokens as the tokeniser makes them.
 TOKENS = "list_filter(string_split_regex(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN " + STOP + ")"
 
@@ -23,9 +23,9 @@ def docs(t: Tables) -> DataFrame:
     return t.t_docs.withColumnRenamed("doc_id", "id")
 
 
-@query("t1_tokens", f"SELECT doc_id, len(k) AS n, array_to_string(k[1:20], ' ') AS head FROM (SELECT doc_id, {toks('text')} AS k FROM documents)")
+@query("t1_tokens", f"SELECT doc_id, len(k) AS n, sha256(array_to_string(k, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {toks('text')} AS k FROM documents)")
 def tokenised(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("head"))
+    return t.documents.select("doc_id", tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.sha2(F.array_join("k", " "), 256).alias("tokens_sha256"))
 
 
 @query("a1_term_counts", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM documents) GROUP BY ALL")

@@ -105,3 +105,9 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("at timestamp, k string, cents long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
     out = events.run_available(events.windows(stream, "at", ["k"], "1 hour", late="10 minutes"), str(tmp_path))
     assert sum(r.n for r in out.collect()) <= 4 and {r.n for r in out.collect()} == {1}
+
+
+def test_grep_finds_lines_by_their_ends(spark):
+    docs = spark.createDataFrame([(1, "foo\nbar\nbaz foo")], "id long, text string")
+    found = lambda p: sorted(r.line_no for r in search.grep(docs, p).collect())
+    assert found(r"\Abar") == [2] and found(r"foo\z") == [1, 3] and found("^ba") == [2, 3]
