@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_path, hrefs
@@ -104,3 +104,41 @@ def sweep(pages: DataFrame, links: DataFrame, rules: list[str] | None = None) ->
 def exit_status(findings: Findings) -> DataFrame:
     """One row: status 1 if any error, with counts per severity."""
     return findings.agg(F.coalesce(F.max((F.col("severity") == "error").cast("int")), F.lit(0)).alias("status"), *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("error", "warning", "note")])
+
+
+SCAFFOLD = ("index.md", "log.md")
+
+
+def _base() -> Column:
+    return F.substring_index("path", "/", -1)
+
+
+def _dir() -> Column:
+    return F.regexp_replace("path", "/?[^/]*$", "")
+
+
+def reserved_names(pages: DataFrame) -> Findings:
+    """Pages(path, type) named like a catalog or a log that have a type."""
+    return finding(pages.filter(_base().isin(*SCAFFOLD) & F.col("type").isNotNull()), "reserved-name-as-concept", "error")
+
+
+def log_dates(lines: DataFrame) -> Findings:
+    """Headings of the second level in log.md, of lines(path, line), that are no ISO days."""
+    return finding(lines.filter((_base() == "log.md") & F.col("line").startswith("## ") & ~F.col("line").rlike("^## [0-9]{4}-[0-9]{2}-[0-9]{2}\\s*$")), "log-date-form", "error", "no ISO day")
+
+
+def without_catalog(pages: DataFrame) -> DataFrame:
+    """(dir) of directories with pages and no index.md."""
+    per = pages.groupBy(_dir().alias("dir")).agg(F.bool_or(_base() == "index.md").alias("listed"), F.bool_or(~_base().isin(*SCAFFOLD)).alias("pages"))
+    return per.filter("pages AND NOT listed").select("dir")
+
+
+def without_log(pages: DataFrame) -> DataFrame:
+    """(scope) of bundles with pages(scope, path) and no log.md at their root."""
+    return pages.groupBy("scope").agg(F.bool_or(F.col("path") == F.concat_ws("/", "scope", F.lit("log.md"))).alias("has")).filter("NOT has").select("scope")
+
+
+def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(path) of pages to which no link(path, target) leads; logs lend no links, catalogs do."""
+    lent = links.filter(_base() != "log.md").select(F.col("target").alias("path")).distinct()
+    return pages.filter(~_base().isin(*SCAFFOLD)).select("path").join(lent, "path", "left_anti")

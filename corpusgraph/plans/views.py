@@ -55,6 +55,34 @@ FROM lineitem JOIN g_symbols ON orderkey = l_orderkey""",
     "l_journal": "SELECT user_id AS run, event_type AS node, event_id AS seq, ts, md5(props) AS input_hash, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'paused' ELSE 'done' END AS outcome, value AS seconds FROM events",
     "b_timings": "SELECT event_type AS name, user_id AS series, event_id AS seq, abs(value) AS ms FROM events",
     "m_msgs": "SELECT conv_id, turn, role, text FROM conversations",
+    # Areas of documents and of the code graph, and what is asked of them.
+    "a_areas": "SELECT DISTINCT source || '/' || lang AS scope, lang = 'de' AS local_only, lang = 'en' AS shared FROM documents",
+    "a_scopes": "SELECT DISTINCT region || '/' || nation AS scope FROM g_files UNION SELECT DISTINCT nation || '/' || region FROM g_files",
+    "a_asks": "SELECT custkey, CASE custkey % 4 WHEN 0 THEN region || '/' || nation WHEN 1 THEN nation WHEN 2 THEN region ELSE 'nowhere' END AS ask FROM g_files",
+    "g_asks": "SELECT DISTINCT CASE custkey % 4 WHEN 0 THEN path WHEN 1 THEN nation || '/c' || CAST(custkey AS STRING) || CASE WHEN custkey % 3 = 0 THEN '.go' ELSE '.py' END WHEN 2 THEN nation || '.o' || CAST(custkey % 1000 AS STRING) ELSE 'O' || CAST(custkey % 1000 AS STRING) END AS ask FROM g_files",
+    # Listings, catalogs, pages with headings.
+    "s_listing": "SELECT CASE WHEN doc_id % 23 = 0 THEN '.hidden/' ELSE '' END || path AS path, length(text) AS size, doc_id % 17 = 0 AS ignored, doc_id % 19 = 0 AS link FROM t_docs",
+    "s_tree": """
+SELECT lower(p_brand) AS area, lower(p_brand) || CASE WHEN p_partkey % 7 = 0 THEN '/node_modules' ELSE '' END || '/p' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 5 = 0 THEN '.min' ELSE '' END
+  || CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.md' ELSE '' END AS path, p_partkey AS partkey, p_size AS size FROM part""",
+    "w_lines": "SELECT t_links.source AS page, target AS line_no, '* [' || CAST(target AS STRING) || '](' || path || ') text' AS line FROM t_links JOIN t_docs ON target = doc_id",
+    "m_lines": "SELECT conv_id AS page, turn AS line_no, CASE turn % 4 WHEN 0 THEN '# ' || role WHEN 2 THEN '## part' ELSE text END AS line FROM conversations",
+    "r_lines": "SELECT id, 'see `' || path || ':' || CAST(span_from AS STRING) || CASE WHEN orderkey % 2 = 0 THEN '-' || CAST(span_to AS STRING) ELSE '' END || '` here' AS line FROM g_symbols",
+    "k_pages": """
+SELECT doc_id, source || '/' || lang AS scope, source || '/' || lang || CASE WHEN doc_id % 17 = 0 THEN '/log.md' WHEN doc_id % 13 = 0 THEN '/d' || CAST(doc_id % 50 AS STRING) || '/index.md' ELSE '/d' || CAST(doc_id % 50 AS STRING) || '/' || CAST(doc_id AS STRING) || '.md' END AS path,
+  CASE WHEN doc_id % 3 = 0 THEN 'guide' END AS type FROM documents""",
+    "k_lines": "SELECT path, CASE doc_id % 3 WHEN 0 THEN '## 2024-01-0' || CAST(1 + doc_id % 9 AS STRING) WHEN 1 THEN '## May ' || CAST(doc_id AS STRING) ELSE 'text' END AS line FROM k_pages",
+    # Function coverage and its exemptions, mutation outcomes, a version matrix.
+    "f_table": """
+SELECT 'p' || CAST(l_partkey AS STRING) || '.py:' || CAST(l_orderkey * 10 + l_linenumber AS STRING) || ':' || chr(9) || 'f' || CAST(l_suppkey AS STRING) || chr(9) || CASE WHEN l_linenumber = 7 THEN 'broken' ELSE CAST(CAST(l_quantity AS INT) * 2 AS STRING) || '.0%' END AS value
+FROM lineitem""",
+    "f_exempt": "SELECT 'p' || CAST(l_partkey AS STRING) || '.py' AS path, l_orderkey * 10 + l_linenumber - 1 AS line, CASE WHEN l_linestatus = 'O' THEN 'slow' ELSE ' ' END AS reason FROM lineitem WHERE l_returnflag = 'R'",
+    "u_outcomes": "SELECT l_suppkey AS package, CASE CAST(l_quantity AS INT) % 6 WHEN 0 THEN 'passed' WHEN 1 THEN 'build_failed' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'timed_out' ELSE 'failed' END AS outcome FROM lineitem",
+    "x_entries": """
+SELECT p_partkey AS key, p_brand AS fixture, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'node' END AS runtime, CAST(p_size AS STRING) || '.' || CAST(p_partkey % 10 AS STRING) AS version,
+  split(CASE WHEN p_partkey % 2 = 0 THEN 'linux' ELSE 'linux,windows' END, ',') AS os FROM part""",
+    "x_old": "SELECT key, fixture, runtime, CASE WHEN key % 9 = 0 THEN '0.' || version ELSE version END AS version, os FROM x_entries WHERE key % 6 <> 0",
+    "x_eol": "SELECT DISTINCT runtime, CASE WHEN key % 5 = 0 THEN version ELSE split_part(version, '.', 1) END AS cycle, 'ends ' || runtime || CASE WHEN key % 5 = 0 THEN ' ' || version ELSE '' END AS ends FROM x_entries WHERE key % 4 = 0",
     "q_hits": "SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
 }
 
