@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,32 +70,45 @@ def finding(rows: DataFrame, rule: str, severity: str, message: str = "") -> Fin
     return rows.select("path", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
 
 
-Rule = Callable[[DataFrame, DataFrame], Findings]
-
-#: Rules over pages(path, title, description, type, sources, generated_by, verified, stale_after, updated, state, commit, conflicts, conflicts_found) and links(path, target_found, leaves_area).
-RULES: dict[str, Rule] = {
-    "type-missing": lambda p, _: finding(p.filter("type IS NULL OR trim(type) = ''"), "type-missing", "error"),
-    "unknown-type": lambda p, _: finding(p.filter("trim(type) <> '' AND type NOT IN ('guide', 'reference', 'decision', 'log')"), "unknown-type", "error"),
-    "title-missing": lambda p, _: finding(p.filter("title IS NULL OR title = ''"), "title-missing", "warning"),
-    "description-missing": lambda p, _: finding(p.filter("description IS NULL OR description = ''"), "description-missing", "warning"),
-    "no-sources": lambda p, _: finding(p.filter("sources IS NULL OR size(sources) = 0"), "no-sources", "error"),
-    "source-incomplete": lambda p, _: p.select("path", F.posexplode("sources").alias("i", "s"))
-    .select("path", "i", F.concat_ws(",", F.when(F.col("s.doc_id").isNull(), "doc_id"), F.when(F.col("s.content_hash").isNull(), "content_hash")).alias("missing"))
-    .filter("missing <> ''")
-    .select("path", F.lit("source-incomplete").alias("rule"), F.lit("warning").alias("severity"), F.concat(F.col("i").cast("string"), F.lit(": "), "missing").alias("message")),
-    "no-trust-family": lambda p, _: finding(p.filter("generated_by IS NULL AND verified IS NULL"), "no-trust-family", "note"),
-    "stale": lambda p, _: finding(p.filter("stale_after < DATE'2024-02-01'"), "stale", "warning"),
-    "untouched": lambda p, _: finding(p.filter("datediff(DATE'2024-02-01', updated) > 20"), "untouched", "note"),
-    "implemented-without-commit": lambda p, _: finding(p.filter("state = 'implemented' AND commit IS NULL"), "implemented-without-commit", "error"),
-    "conflict-count": lambda p, _: finding(p.filter("conflicts <> conflicts_found"), "conflict-count", "error"),
-    "dead-link": lambda _, k: finding(k.filter("NOT leaves_area AND NOT target_found").select("path"), "dead-link", "error"),
-    "outside-area": lambda _, k: finding(k.filter("leaves_area").select("path"), "outside-area", "warning"),
-}
-
-
-def sweep(pages: DataFrame, links: DataFrame, rules: list[str] | None = None) -> Findings:
-    """All findings of all rules over all pages at once."""
-    return reduce(DataFrame.unionByName, [RULES[r](pages, links) for r in rules or RULES])
+def page_rules(today: str, types: list[str], untouched_days: int = 20) -> dict[str, tuple[str, str]]:
+    """Severity and condition of each rule on one page(path, title, description, type, sources, generated_by, verified, stale_after, updated, state, commit, conflicts, conflicts_found)."""
+    known = ", ".join("'" + t.replace("'", "\\'") + "'" for t in types)
+    day = f"DATE'{today}'"
+    return {
+        "type-missing": ("error", "type IS NULL OR trim(type) = ''"),
+        "unknown-type": ("error", f"trim(type) <> '' AND type NOT IN ({known})" if types else "trim(type) <> ''"),
+        "title-missing": ("warning", "title IS NULL OR title = ''"),
+        "description-missing": ("warning", "description IS NULL OR description = ''"),
+        "no-sources": ("error", "sources IS NULL OR size(sources) = 0"),
+        "no-trust-family": ("note", "generated_by IS NULL AND verified IS NULL"),
+        "stale": ("warning", f"stale_after < {day}"),
+        "untouched": ("note", f"datediff({day}, updated) > {untouched_days}"),
+        "implemented-without-commit": ("error", "state = 'implemented' AND commit IS NULL"),
+        "conflict-count": ("error", "conflicts <> conflicts_found"),
+    }
+
+
+#: Rules over links(path, target_found, leaves_area).
+LINK_RULES = {"dead-link": ("error", "NOT leaves_area AND NOT target_found"), "outside-area": ("warning", "leaves_area")}
+
+
+def _found(rows: DataFrame, rules: dict[str, tuple[str, str]], further: list[Column] = ()) -> Findings:
+    """All findings of a table in one scan: an array of what each row breaks, exploded."""
+    one = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit("").alias("message"))
+    broken = F.array_compact(F.array(*[F.when(F.expr(condition), one(rule, severity)) for rule, (severity, condition) in rules.items()]))
+    return rows.select("path", F.explode(F.concat(broken, *further)).alias("f")).select("path", "f.rule", "f.severity", "f.message")
+
+
+def sweep(pages: DataFrame, links: DataFrame, today: str, types: list[str]) -> Findings:
+    """All findings of all rules over all pages; pages and links are read once each."""
+
+    def incomplete(source: Column, i: Column) -> Column:
+        missing = F.concat_ws(",", F.when(source["doc_id"].isNull(), "doc_id"), F.when(source["content_hash"].isNull(), "content_hash"))
+        message = F.concat(i.cast("string"), F.lit(": "), missing)
+        return F.when(missing != "", F.struct(F.lit("source-incomplete").alias("rule"), F.lit("warning").alias("severity"), message.alias("message")))
+
+    of_sources = F.coalesce(F.array_compact(F.transform("sources", incomplete)), F.array().cast("array<struct<rule:string,severity:string,message:string>>"))
+    return _found(pages, page_rules(today, types), [of_sources]).unionByName(_found(links, LINK_RULES))
 
 
 def exit_status(findings: Findings) -> DataFrame:

@@ -7,7 +7,7 @@ shared checkpoint folder, so plans stay short and lost executors cost one round
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
@@ -56,16 +56,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
     per pair, so that a step moves one row per neighbouring pair.
     """
     pairs = resolved_both(nodes, edges).groupBy("src", "dst").agg(F.count("*").alias("m"))
-    adj = cut(pairs.withColumn("share", F.col("m") / F.sum("m").over(Window.partitionBy("src"))).select("src", "dst", "share"), "adjacency")
+    degree = pairs.groupBy("src").agg(F.sum("m").alias("degree"))
+    adj = cut(pairs.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "adjacency")
     ok = seeds.filter("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight"))
     base = cut(ok.crossJoin(F.broadcast(ok.agg(F.sum("weight").alias("total")))).select("id", (F.col("weight") / F.col("total")).alias("r")), "restart")
+    # Links go both ways, so only seeds can hold mass without an edge; what they hold depends on their share of the restart alone.
+    lone = base.join(adj.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+    pooled = lone
     rank = base.select("id", F.col("r").alias("mass"))
     for step in range(steps):
-        sent = rank.join(adj, rank["id"] == adj["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("mass") * F.col("share") * (1 - restart)).alias("got"))
-        # What stays in nodes without edges is all mass less what nodes with edges hold.
-        pooled = rank.join(adj.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("pooled"))
-        back = base.crossJoin(F.broadcast(pooled)).select("id", (F.col("r") * (F.lit(restart) + (1 - restart) * F.col("pooled"))).alias("got"))
-        rank = sent.unionByName(back).groupBy("id").agg(F.sum("got").alias("mass"))
+        keep = 1 - restart
+        sent = rank.join(adj, rank["id"] == adj["src"]).select(F.col("dst").alias("id"), (F.col("mass") * F.col("share") * keep).alias("got"))
+        back = base.select("id", (F.col("r") * (restart + keep * pooled)).alias("got"))
+        rank, pooled = sent.unionByName(back).groupBy("id").agg(F.sum("got").alias("mass")), lone * (restart + keep * pooled)
         if step % 5 == 4:
             rank = cut(rank, "rank")
     top = rank.agg(F.max("mass").alias("top"))

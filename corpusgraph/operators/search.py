@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,13 @@ def candidates(index: DataFrame, ids: DataFrame, alternatives: list[list[str]])
     return index.join(F.broadcast(wanted), "gram").groupBy("alt", "id").agg(F.count_distinct("gram").alias("have"), F.first("n").alias("n")).filter("have = n").select("id").distinct()
 
 
+def postings_of(docs: DataFrame, alternatives: list[list[str]]) -> DataFrame:
+    """(gram, id): the rows that gram_index has for the grams of these literals, by one scan of the texts and without an index."""
+    wanted = sorted({g for literals in alternatives for t in literals for g in _grams(t)})
+    low = docs.select("id", F.translate("text", string.ascii_uppercase, string.ascii_lowercase).alias("low"))
+    return low.select("id", F.explode(F.filter(F.array(*[F.lit(g) for g in wanted]).cast("array<string>"), lambda g: F.contains("low", g))).alias("gram")).select("gram", "id")
+
+
 def _grams(literal: str) -> set[str]:
     low = "".join(c.lower() if c.isascii() else c for c in literal)
     return {low[i : i + 3] for i in range(len(low) - 2) if low[i : i + 3].isascii()}

@@ -107,7 +107,10 @@ def compared(t: Tables) -> DataFrame:
     return reports.compare_timings(rows.filter("series % 3 <> 0"), rows.filter("series % 5 <> 0").withColumn("mean", F.col("least")))
 
 
-@query("j46_expected_rank", "SELECT item_id, expected, coalesce(k, 0) AS rank FROM q_hits LEFT JOIN (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS k FROM (SELECT b.item_id, d.doc_id, d.n_chars FROM benchmark b JOIN documents d ON contains(d.text, b.text))) r ON r.item_id = q_hits.item_id AND doc_id = expected".replace("SELECT item_id, expected", "SELECT q_hits.item_id, expected"))
+RANKS = "SELECT q_hits.item_id, expected, coalesce(k, 0) AS rank FROM q_hits LEFT JOIN (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS k FROM (SELECT b.item_id, d.doc_id, d.n_chars FROM benchmark b JOIN documents d ON contains(d.text, b.text))) r ON r.item_id = q_hits.item_id AND doc_id = expected"
+
+
+@query("j46_expected_rank", RANKS)
 def expected_rank(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
@@ -119,9 +122,10 @@ def expected_rank(t: Tables) -> DataFrame:
     return expected.join(ranked, ["item_id", "expected"], "left").select("item_id", "expected", F.coalesce("k", F.lit(0)).alias("rank"))
 
 
-@query("a18_search_quality", "WITH r AS (SELECT CAST(item_id % 4 AS VARCHAR) AS kind, item_id % 6 AS rank FROM benchmark) SELECT kind, count(*) AS questions, count(*) FILTER (rank BETWEEN 1 AND 3) AS hits FROM (SELECT kind, rank FROM r UNION ALL SELECT 'all', rank FROM r) GROUP BY kind")
+@query("a18_search_quality", f"WITH e AS ({RANKS}), r AS (SELECT CAST(b.item_id % 4 AS VARCHAR) AS kind, coalesce(e.rank, 0) AS rank FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id) SELECT kind, count(*) AS questions, count(*) FILTER (rank BETWEEN 1 AND 3) AS hits FROM (SELECT kind, rank FROM r UNION ALL SELECT 'all', rank FROM r) GROUP BY kind")
 def quality(t: Tables) -> DataFrame:
-    return reports.search_quality(t.benchmark.select((F.col("item_id") % 4).cast("string").alias("kind"), (F.col("item_id") % 6).alias("rank")))
+    ranked = t.benchmark.select("item_id").join(expected_rank(t).select("item_id", "rank"), "item_id", "left")
+    return reports.search_quality(ranked.select((F.col("item_id") % 4).cast("string").alias("kind"), F.coalesce("rank", F.lit(0)).alias("rank")))
 
 
 @query("a24_next_versions", "SELECT p_brand AS repo, CAST(v[1] AS VARCHAR) || '.' || CAST(v[2] AS VARCHAR) || '.' || CAST(v[3] + 1 AS VARCHAR) AS next FROM (SELECT p_brand, max([p_size % 7, p_partkey % 13, p_partkey % 29]) AS v FROM part GROUP BY p_brand)")

@@ -84,6 +84,8 @@ def evidence(t: Tables) -> DataFrame:
     return documents.check_evidence(claims, t.documents.select(F.col("doc_id").alias("segment"), "text"))
 
 
+#: The day on which the pages are checked, and the types that they may have.
+TODAY, TYPES = "2024-02-01", ["guide", "reference", "decision", "log"]
 #: Pages for the rules, made of documents.
 PAGE = """pg AS MATERIALIZED (SELECT path, doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 't' END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'd' END AS description,
 CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN 'note' ELSE 'guide' END AS type, doc_id % 6 AS nsrc, CASE WHEN doc_id % 4 = 0 THEN 'x' END AS generated_by, CASE WHEN doc_id % 9 = 0 THEN 'y' END AS verified,
@@ -125,17 +127,17 @@ def page_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("c10_sweep", f"{SWEEP} SELECT path, rule, severity, message FROM f")
 def sweep(t: Tables) -> DataFrame:
-    return documents.sweep(*page_rows(t))
+    return documents.sweep(*page_rows(t), TODAY, TYPES)
 
 
 @query("a30_exit_status", f"{SWEEP} SELECT max(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS status, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'note') AS notes FROM f")
 def status(t: Tables) -> DataFrame:
-    return documents.exit_status(documents.sweep(*page_rows(t)))
+    return documents.exit_status(documents.sweep(*page_rows(t), TODAY, TYPES))
 
 
 @query("w18_finding_order", f"{SWEEP} SELECT DISTINCT path, rule, severity, message FROM f WHERE severity <> 'note'")
 def ordered(t: Tables) -> DataFrame:
-    return documents.sweep(*page_rows(t)).filter("severity <> 'note'").dropDuplicates().orderBy("path", "rule", "severity", "message")
+    return documents.sweep(*page_rows(t), TODAY, TYPES).filter("severity <> 'note'").dropDuplicates().orderBy("path", "rule", "severity", "message")
 
 
 @query("p2_globs", "SELECT doc_id, path FROM t_docs WHERE regexp_full_match(path, 'src[0-9]/(en|de)/[^/]*[.]md') AND NOT regexp_full_match(path, '(.*/)?[^/]*7[.]md')")

@@ -101,9 +101,13 @@ def gram_index(t: Tables) -> DataFrame:
     return search.gram_index(docs(t)).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+def _candidates(t: Tables, alternatives: list[list[str]]) -> DataFrame:
+    return search.candidates(search.postings_of(docs(t), alternatives), docs(t), alternatives)
+
+
 @query("t10_candidates", f"WITH gx AS MATERIALIZED ({GRAMS}), a AS (SELECT unnest(['lic', 'ice', 'cen', 'ens', 'nse', 'sed']) AS gram), b AS (SELECT unnest(['thh', 'hhe', 'hen']) AS gram) SELECT doc_id AS id FROM gx JOIN a USING (gram) GROUP BY doc_id HAVING count(*) = 6 UNION SELECT doc_id FROM gx JOIN b USING (gram) GROUP BY doc_id HAVING count(*) = 3")
 def pruned(t: Tables) -> DataFrame:
-    return search.candidates(search.gram_index(docs(t)), docs(t), [["licens", "sed", "nse"], ["Thhen"]])
+    return _candidates(t, [["licens", "sed", "nse"], ["Thhen"]])
 
 
 HITS = "hits AS MATERIALIZED (SELECT doc_id AS id, i AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(l[i], '{p}'))"
@@ -111,7 +115,7 @@ HITS = "hits AS MATERIALIZED (SELECT doc_id AS id, i AS line_no, l[i] AS line FR
 
 @query("t11_grep", "WITH " + HITS.replace("{p}", "licensed under|token = .[0-9a-f]+") + " SELECT id, line_no, md5(line) AS line FROM hits")
 def grep(t: Tables) -> DataFrame:
-    found = search.grep(docs(t), "licensed under|token = .[0-9a-f]+", search.candidates(search.gram_index(docs(t)), docs(t), [["licensed under"], ["token = "]]))
+    found = search.grep(docs(t), "licensed under|token = .[0-9a-f]+", _candidates(t, [["licensed under"], ["token = "]]))
     return found.select("id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line"))
 
 
@@ -128,7 +132,7 @@ def grouped(t: Tables) -> DataFrame:
 
 @query("t13_counters", "WITH " + HITS.replace("{p}", "token") + " SELECT (SELECT count(*) FROM documents) AS in_scope, (SELECT count(*) FROM documents WHERE contains(text, chr(0))) AS binary, (SELECT count(*) FROM documents WHERE contains(lower(text), 'tok') AND contains(lower(text), 'oke') AND contains(lower(text), 'ken')) AS candidates, count(DISTINCT id) AS with_hits, count(*) AS hits FROM hits")
 def counters(t: Tables) -> DataFrame:
-    return search.search_counters(docs(t), search.candidates(search.gram_index(docs(t)), docs(t), [["token"]]), search.grep(docs(t), "token", None, True))
+    return search.search_counters(docs(t), _candidates(t, [["token"]]), search.grep(docs(t), "token", None, True))
 
 
 @query("t15_keyword", f"WITH {LEXICAL} SELECT id, round(lexical, 6) AS lexical FROM lex WHERE lexical > 0 ORDER BY 2 DESC, id LIMIT 20")
