@@ -5,8 +5,9 @@ outside ASCII, one space between words and at both ends. The automaton holds eve
 words of the questions and answers (an item with fewer words is one window), and each document is scanned
 once. A match gives word positions; `spans` maps them back to character offsets of the original text.
 
-The windows are broadcast, in blocks of BLOCK_WINDOWS windows and BLOCK_BYTES bytes at most. A question set
-beyond one block is scanned block after block within the same tasks, and the hits of a document are united.
+The windows are broadcast, in blocks of BLOCK_WINDOWS windows and BLOCK_BYTES bytes at most. For a question set
+beyond one block the hits so far are written before the next block is scanned, and then united with its hits, so
+that a worker holds one automaton at any time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, utf8
+from .common import arrow_schema, map_arrow, materialise, utf8
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -146,7 +147,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
 
     done = 0
     for block in blocks(items, item_id, item_text, size):
-        df, done = add(df, block, done > 0), done + 1
+        df, done = add(materialise(df, "hits") if done else df, block, done > 0), done + 1
     if not done:
         df = add(df, [], False)
     return df.toDF(*names, "contamination")
