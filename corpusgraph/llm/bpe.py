@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import held, map_texts
 
 #: A Python worker remembers the pieces between spaces of up to twice as many bytes, overheads included.
 CACHE_BYTES = 48 << 20
@@ -318,13 +318,8 @@ def _lower(text: str) -> str:
     return "".join([c.lower() for c in text])
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def tokenizer(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return held(__name__, path, lambda: Bpe(path))
 
 
 #: Texts of a batch are encoded in slices of about so many bytes.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -51,17 +53,53 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What a Python worker keeps from task to task, by (owner, key): one large object at a time.
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(owner: str, key: str, make: Callable[[], object]) -> object:
+    """make(), kept by the Python worker for its next tasks until another key, or a task of another owner, comes."""
+    if (owner, key) not in _held:
+        _held.clear()
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
+def release(owner: str) -> None:
+    """Drop what a worker that Spark reuses holds of other owners."""
+    if any(of != owner for of, _ in _held):
+        _held.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library has a call for that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
     """df.mapInArrow with batches of at most about BATCH_BYTES, so that neither side holds many long texts at once.
 
-    The session keeps that bound; a smaller one that it has already is left as it is.
+    The session keeps that bound; a smaller one that it has already is left as it is. Spark reuses Python workers for
+    further stages, so a task first drops what other operators (owner: fn's module) hold, and gives back memory at its end.
     """
+    owner = owner or fn.__module__
     spark = df.sparkSession
     number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()).groups()
     now = int(number) << 10 * " kmgt".index(unit or " ")
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, list[bytes]], dict[str, list]], schema: str) -> DataFrame:
@@ -77,7 +115,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list, lis
             got = fn(batch.column(0).to_pylist(), utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema, fn.__module__)
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

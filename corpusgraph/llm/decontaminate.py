@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, materialise, utf8
+from .common import arrow_schema, held, map_arrow, materialise, utf8
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -31,8 +31,6 @@ BLOCK_BYTES = 32 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
@@ -57,20 +55,17 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[
         yield block
 
 
-def _automaton(key: str, block: list[tuple[int | None, bytes]]) -> ahocorasick.Automaton:
-    """Built once per Python worker; its values are (number of words, item ids)."""
-    if key not in _built:
-        found: dict[bytes, tuple[int, set]] = {}
-        for item, window in block:
-            found.setdefault(window, (window.count(b" ") - 1, set()))[1].add(item)
-        made = ahocorasick.Automaton()
-        for window, value in found.items():
-            made.add_word(window.decode("latin-1"), value)
-        if found:
-            made.make_automaton()
-        _built.clear()
-        _built[key] = made
-    return _built[key]
+def _automaton(block: list[tuple[int | None, bytes]]) -> ahocorasick.Automaton:
+    """Its values are (number of words, item ids)."""
+    found: dict[bytes, tuple[int, set]] = {}
+    for item, window in block:
+        found.setdefault(window, (window.count(b" ") - 1, set()))[1].add(item)
+    made = ahocorasick.Automaton()
+    for window, value in found.items():
+        made.add_word(window.decode("latin-1"), value)
+    if found:
+        made.make_automaton()
+    return made
 
 
 def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -127,7 +122,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
         sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(key, sent.value)
+            automaton = held(__name__, key, lambda: _automaton(sent.value))
             for batch in batches:
                 before = batch.column(len(names)).to_pylist() if more else None
                 made = []

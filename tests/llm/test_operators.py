@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, registry, secrets, sharding, surrogates, toxicity, url_rules
+from corpusgraph.llm import bpe, common, decontaminate, exact_dedup, learning, ngram_join, quality, registry, secrets, sharding, surrogates, toxicity, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups phi chi psi omega".split()
@@ -509,3 +509,14 @@ def test_collisions_are_keyed_again(spark):
     rows = surrogates.replace(docs_of(spark, list(enumerate(texts))), "key").collect()
     by = {texts[r.doc_id]: r.text for r in rows}
     assert len(set(by.values())) == len(by) and not set(by.values()) & set(texts)
+
+
+def test_worker_holds_one_large_object_at_a_time():
+    made = []
+    make = lambda: made.append(1) or len(made)
+    assert [common.held("a", "x", make), common.held("a", "x", make), common.held("a", "y", make), common.held("a", "x", make)] == [1, 1, 2, 3]
+    common.release("a")
+    assert common.held("a", "x", make) == 3
+    common.release("b")
+    assert not common._held and common.held("a", "x", make) == 4
+    common.release("")
