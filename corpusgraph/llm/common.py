@@ -53,6 +53,23 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: A-Z to a-z; every other ASCII character but letters and digits to a space. Bytes from 0x80 on belong to words.
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def word_bytes(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text, ASCII letters in lower case: runs of ASCII letters, digits and any other characters beyond ASCII."""
+    return text.translate(_WORDS).split()
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def lower_ascii(text: bytes) -> bytes:
+    """A-Z in lower case, all else as it is, so that places stay the same."""
+    return text.translate(_LOWER)
+
+
 #: What a Python worker keeps from task to task, by (owner, key): one large object at a time.
 _held: dict[tuple[str, str], object] = {}
 

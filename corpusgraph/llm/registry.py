@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, learning, ngram_join, quality, secrets, sharding, surrogates, toxicity, url_rules
+from . import bpe, decontaminate, exact_dedup, learning, lexical_search, license_scan, ngram_join, quality, secrets, sharding, surrogates, toxicity, url_rules, whitening
 from .common import read
 
 
@@ -129,6 +129,38 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, least(node,
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows, "embedding", 4), "vec_id", "embedding")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d WHERE len(w) > 0),
+qt AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM b),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, t GROUP BY term),
+s AS (SELECT q, item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all)))) AS BIGINT) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), t GROUP BY q, item_id, doc_id, r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*columns))), ",")
+    base, word = F.transform("base", lambda b: b["label"]), F.transform("base", lambda b: b["word"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"),
+        labels(base).alias("base_labels"), labels(base, F.transform("detections", lambda d: d["label"])).alias("labels"), "score",
+    )
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op2_pii_surrogates": (op2_pii_surrogates, None),
@@ -140,6 +172,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_url_rules": (op8_url_rules, OP8_SQL),
     "op9_bpe": (op9_bpe, None),
     "op10_ngram_jaccard": (op10_ngram_jaccard, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
+    "op12_lexical_search": (op12_lexical_search, OP12_SQL),
+    "op13_license_scan": (op13_license_scan, None),
 }
 
 
