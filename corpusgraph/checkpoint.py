@@ -40,3 +40,21 @@ def in_blocks(rows: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame]) -
         part = cut(fn(rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)), "block")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: At most this many keys can each hold a HOT_SHARE-th part of all rows, so they may be broadcast.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to one row per key, where some keys may hold a large part of all rows.
+
+    Keys with at least 1/HOT_SHARE of the rows are counted first (partial counts meet in the shuffle, not rows); their
+    groups, HOT_SHARE at most, are broadcast, all others meet in a shuffled join in which no key is large.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    least = (rows.count() // HOT_SHARE) + 1
+    hot = cut(counts.filter(F.col("n") >= least).select(key), "hot")
+    of_hot = rows.join(F.broadcast(groups.join(F.broadcast(hot), key, "left_semi")), key)
+    of_cold = rows.join(F.broadcast(hot), key, "left_anti").join(groups.join(F.broadcast(hot), key, "left_anti"), key)
+    return of_hot.unionByName(of_cold)

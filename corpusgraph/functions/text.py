@@ -44,6 +44,15 @@ def clean_path(path: Column) -> Column:
     return F.array_join(fold, "/")
 
 
+def rooted(path: Column) -> Column:
+    """clean_path, or null for a path that is the root itself or climbs above it on its way."""
+    steps = F.split(path, "/")
+    rise = lambda p: F.when(p == "..", -1).when((p == ".") | (p == ""), 0).otherwise(1)
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, p: F.struct((s["at"] + rise(p)).alias("at"), F.least(s["low"], s["at"] + rise(p)).alias("low")))["low"]
+    clean = clean_path(path)
+    return F.when((low >= 0) & (clean != ""), clean)
+
+
 def ancestors(path: Column) -> Column:
     """All directories above a path, the root ('') included."""
     parts = F.split(path, "/")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
-from ..plans.checkpoint import cut
+from ..checkpoint import cut
 
 # Fixed values of the rank.
 RESTART = 0.25

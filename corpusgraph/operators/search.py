@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, lines, tokens
-from ..plans.checkpoint import in_blocks
+from ..checkpoint import in_blocks
 from .graph import pagerank
 
 # Fixed values of the scores.

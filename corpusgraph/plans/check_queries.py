@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import version
 from ..operators import reports
-from .checkpoint import in_blocks
+from ..checkpoint import in_blocks
 from .registry import Tables, query
 
 COV = "cov AS MATERIALIZED (SELECT path, line, CAST(sum(hits) AS BIGINT) AS hits FROM c_cov GROUP BY ALL)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..streaming import events as streams
-from .checkpoint import shared_dir
+from ..checkpoint import shared_dir
 from .registry import Tables, query
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolution
 from ..sources import files
-from .checkpoint import shared_dir
+from ..checkpoint import shared_dir
 from .registry import Tables, query
 
 

@@ -83,6 +83,32 @@ SELECT p_partkey AS key, p_brand AS fixture, CASE p_partkey % 3 WHEN 0 THEN 'pyt
   split(CASE WHEN p_partkey % 2 = 0 THEN 'linux' ELSE 'linux,windows' END, ',') AS os FROM part""",
     "x_old": "SELECT key, fixture, runtime, CASE WHEN key % 9 = 0 THEN '0.' || version ELSE version END AS version, os FROM x_entries WHERE key % 6 <> 0",
     "x_eol": "SELECT DISTINCT runtime, CASE WHEN key % 5 = 0 THEN version ELSE split_part(version, '.', 1) END AS cycle, 'ends ' || runtime || CASE WHEN key % 5 = 0 THEN ' ' || version ELSE '' END AS ends FROM x_entries WHERE key % 4 = 0",
+    # Files as lines: fences and conflict boxes, diffs, coverage markers, ignore rules.
+    "li_nth": "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nth FROM lineitem",
+    "v_lines": """
+SELECT 's/' || CAST(l_suppkey % 10 AS STRING) || '/' || CAST(l_suppkey AS STRING) || '.md' AS path, l_suppkey AS suppkey, CAST(l_orderkey * 100 + nth AS BIGINT) AS line_no,
+  CASE (l_partkey + l_orderkey) % 17 WHEN 0 THEN '```' WHEN 1 THEN '  ~~~ x' WHEN 2 THEN '```py' WHEN 3 THEN '~~~' WHEN 4 THEN '> [!CONFLICT] a' WHEN 5 THEN '  > [!conflict]'
+  WHEN 6 THEN 'see `src/p' || CAST(l_partkey AS STRING) || '.py:' || CAST(l_linenumber AS STRING) || '-9` and [x](../p' || CAST(l_partkey AS STRING) || '.py#L3)'
+  WHEN 7 THEN '[up](../../../out.py) `a/../b/' || CAST(l_partkey AS STRING) || '.go/` `plain` [web](https://x.y/z) [abs](/a/b)' ELSE 'text' END AS line FROM li_nth""",
+    "w_patch": """
+SELECT 'o' || CAST(l_orderkey AS STRING) AS path, CAST(nth * 100 + k AS BIGINT) AS line_no,
+  CASE WHEN k = 0 THEN 'diff --git a/p b/p' WHEN k = 1 THEN CASE WHEN l_returnflag = 'A' THEN '--- /dev/null' ELSE '--- a/p' || CAST(l_partkey AS STRING) END
+  WHEN k = 2 THEN CASE WHEN l_returnflag = 'R' THEN '+++ /dev/null' ELSE '+++ b/p' || CAST(l_partkey AS STRING) END
+  WHEN k = 3 THEN '@@ -' || CAST(l_partkey % 90 AS STRING) || ',' || CAST(CAST(l_quantity AS INT) % 5 AS STRING) || ' +' || CAST(l_partkey % 70 AS STRING) || CASE WHEN l_suppkey % 3 = 1 THEN '' ELSE ',' || CAST(l_suppkey % 3 AS STRING) END || ' @@ f'
+  WHEN k < 4 + CAST(l_quantity AS INT) % 5 THEN '--- gone' ELSE '+++ came' END AS line
+FROM li_nth JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS v(k) ON k < 4 + CAST(l_quantity AS INT) % 5 + l_suppkey % 3""",
+    "x_src": """
+SELECT 'p' || CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '.js' ELSE '.py' END AS path, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, nth) AS line_no,
+  CASE l_suppkey % 12 WHEN 0 THEN 'x = 1  # coverage:exempt: slow' WHEN 1 THEN '# coverage:exempt' WHEN 2 THEN '// coverage:exempt-file - generated' WHEN 3 THEN 'q = "coverage:exempt"' WHEN 4 THEN '# pragma: no cover' WHEN 5 THEN '# skip-start'
+  WHEN 6 THEN '# skip-stop' WHEN 7 THEN '# too slow' WHEN 8 THEN '-- coverage:exempt: odd' WHEN 9 THEN 'a -- coverage:exempt' WHEN 10 THEN '# coverage:exempt-file' ELSE 'y = 2' END AS line FROM li_nth""",
+    "i_rules": """
+SELECT 0 AS level, '' AS base, 1 AS line_no, '*.tmp' AS line UNION ALL SELECT 1, '', 1, 'docs/**/x?.md' UNION ALL SELECT 2, '', 1, '# none' UNION ALL SELECT 2, '', 2, 'build/' UNION ALL SELECT 2, '', 3, '!keep.tmp'
+UNION ALL SELECT 2, lower(p_brand), CAST(p_partkey AS INT) * 4, 'p' || CAST(p_partkey % 100 AS STRING) || '.*' FROM part
+UNION ALL SELECT 2, lower(p_brand), CAST(p_partkey AS INT) * 4 + 1, '!p' || CAST(p_partkey % 50 AS STRING) || '.py' FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 2, lower(p_brand) || '/node_modules', CAST(p_partkey AS INT) * 4 + 2, '/p' || CAST(p_partkey % 30 AS STRING) || '[0-4].min.*' FROM part WHERE p_partkey % 3 = 0""",
+    "i_files": """
+SELECT area || '/' || CASE partkey % 5 WHEN 0 THEN 'build/' WHEN 1 THEN 'docs/a/' WHEN 2 THEN 'node_modules/' WHEN 3 THEN 'docs/' ELSE '' END
+  || CASE WHEN partkey % 9 = 0 THEN 'x' || CAST(partkey % 10 AS STRING) || '.md' WHEN partkey % 9 = 1 THEN 'keep.tmp' WHEN partkey % 9 = 2 THEN CAST(partkey AS STRING) || '.tmp' ELSE 'p' || CAST(partkey % 1000 AS STRING) || CASE partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' ELSE '.go' END END AS path, partkey % 13 = 0 AS tracked FROM s_tree""",
     "q_hits": "SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
 }
 

@@ -1,7 +1,8 @@
 """Questions are held against documents with their whole text, in blocks."""
 
 from corpusgraph.operators import search
-from corpusgraph.plans import checkpoint, registry
+from corpusgraph import checkpoint
+from corpusgraph.plans import registry
 
 
 def test_rank_needs_the_whole_question(spark, tmp_path):
