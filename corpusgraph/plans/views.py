@@ -109,6 +109,10 @@ UNION ALL SELECT 2, lower(p_brand) || '/node_modules', CAST(p_partkey AS INT) *
     "i_files": """
 SELECT area || '/' || CASE partkey % 5 WHEN 0 THEN 'build/' WHEN 1 THEN 'docs/a/' WHEN 2 THEN 'node_modules/' WHEN 3 THEN 'docs/' ELSE '' END
   || CASE WHEN partkey % 9 = 0 THEN 'x' || CAST(partkey % 10 AS STRING) || '.md' WHEN partkey % 9 = 1 THEN 'keep.tmp' WHEN partkey % 9 = 2 THEN CAST(partkey AS STRING) || '.tmp' ELSE 'p' || CAST(partkey % 1000 AS STRING) || CASE partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' ELSE '.go' END END AS path, partkey % 13 = 0 AS tracked FROM s_tree""",
+    # The documents some time later: changed, gone and new ones.
+    "d_now": """
+SELECT doc_id AS id, path, CASE WHEN doc_id % 50 = 0 THEN text || ' licensed under nothing' ELSE text END AS text FROM t_docs WHERE doc_id % 70 <> 1
+UNION ALL SELECT doc_id + 10000000, 'new/' || path, text FROM t_docs WHERE doc_id % 60 = 2""",
     "q_hits": "SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
 }
 
