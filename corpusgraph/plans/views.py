@@ -113,6 +113,52 @@ SELECT area || '/' || CASE partkey % 5 WHEN 0 THEN 'build/' WHEN 1 THEN 'docs/a/
     "d_now": """
 SELECT doc_id AS id, path, CASE WHEN doc_id % 50 = 0 THEN text || ' licensed under nothing' ELSE text END AS text FROM t_docs WHERE doc_id % 70 <> 1
 UNION ALL SELECT doc_id + 10000000, 'new/' || path, text FROM t_docs WHERE doc_id % 60 = 2""",
+    # Modules in four layers: stars go one layer down, in the top layer also to a neighbour and back; named re-exports go to the bottom layer, in rings, too.
+    "e_count": "SELECT count(*) AS n FROM part",
+    "e_tops": "SELECT DISTINCT 'm' || CAST(l_partkey AS STRING) AS file, 'n' || CAST(l_linenumber AS STRING) AS name, 'm' || CAST(l_partkey AS STRING) || '#' || CAST(l_linenumber AS STRING) AS id, l_partkey % 5 <> 1 AS exported FROM lineitem WHERE l_suppkey % 7 = 0",
+    "e_imports": """
+SELECT 'm' || CAST(l_partkey AS STRING) AS file, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, nth) AS pos,
+  CASE WHEN l_linenumber <= 2 THEN 'reexport' WHEN l_linenumber = 3 THEN 'export' ELSE '' END AS kind,
+  CASE WHEN l_linenumber = 1 AND l_partkey % 4 > 0 THEN '*' WHEN l_linenumber = 5 THEN '*' ELSE 'n' || CAST(1 + l_suppkey % 7 AS STRING) END AS name,
+  CASE WHEN l_linenumber <> 1 AND l_orderkey % 2 = 0 THEN 'n' || CAST(1 + l_orderkey % 7 AS STRING) END AS alias,
+  CASE WHEN l_linenumber = 3 OR l_orderkey % 17 = 0 THEN NULL WHEN l_linenumber = 1 AND l_partkey % 4 > 0 THEN 'm' || CAST(((l_orderkey * 7 + l_suppkey) % CAST(floor(n / 4) AS BIGINT)) * 4 + l_partkey % 4 - 1 AS STRING)
+  ELSE 'm' || CAST(((l_orderkey * 11 + l_partkey) % CAST(floor(n / 4) AS BIGINT)) * 4 AS STRING) END AS target FROM li_nth, e_count WHERE l_linenumber <= 5 AND (l_linenumber > 1 OR l_partkey % 4 = 0 OR l_orderkey % 3 = 0)
+UNION ALL SELECT 'm' || CAST(p_partkey AS STRING), 0, 'reexport', '*', NULL, 'm' || CAST(CASE WHEN CAST(floor(p_partkey / 4) AS BIGINT) % 2 = 0 THEN p_partkey + 4 ELSE p_partkey - 4 END AS STRING) FROM part WHERE p_partkey % 4 = 3 AND p_partkey % 3 > 0""",
+    # Pinned versions, and releases of them.
+    "r_subjects": """
+SELECT p_partkey AS pos, p_brand AS fixture, 's' || CAST(p_partkey % 2 AS STRING) AS stack, CASE WHEN p_partkey % 3 < 2 THEN 'runtime' ELSE 'crate' END AS kind, 'r' || CAST(p_partkey % 4 AS STRING) AS name,
+  CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size % 9 AS STRING) WHEN p_partkey % 5 = 1 THEN CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) || '.7' ELSE CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 6 AS STRING) END AS version, p_partkey % 11 = 0 AS held FROM part""",
+    "r_releases": """
+SELECT CASE WHEN o_custkey % 3 < 2 THEN 'runtime' ELSE 'crate' END AS kind, 'r' || CAST(o_custkey % 4 AS STRING) AS name, o_orderkey % 6 > 1 AS pre,
+  CASE o_orderkey % 6 WHEN 0 THEN 'v' || CAST(o_orderkey % 8 AS STRING) || '.' || CAST(o_custkey % 9 AS STRING) || '.1' WHEN 1 THEN CAST(o_orderkey % 7 AS STRING) || '.' || CAST(o_custkey % 13 AS STRING) WHEN 2 THEN CAST(o_orderkey % 11 AS STRING) || '.' || CAST(o_custkey % 10 AS STRING) || '.0-beta.' || CAST(o_orderkey % 14 AS STRING)
+  WHEN 3 THEN CAST(o_orderkey % 11 AS STRING) || '.' || CAST(o_custkey % 10 AS STRING) || 'rc' || CAST(o_orderkey % 14 AS STRING) WHEN 4 THEN CAST(o_orderkey % 10 AS STRING) || '.0.0-alpha.' || CAST(o_custkey % 20 AS STRING) || '.0' ELSE CAST(o_orderkey % 12 AS STRING) || CASE WHEN o_custkey % 2 = 0 THEN '-ea' ELSE '-odd' END END AS version FROM orders""",
+    "r_titles": """
+SELECT DISTINCT p_brand || CASE WHEN p_partkey % 3 = 0 THEN '@s' || CAST(p_size % 2 AS STRING) ELSE '' END || '/' || CASE WHEN p_partkey % 4 = 3 THEN 'crate:' ELSE '' END || 'r' || CAST(p_size % 4 AS STRING) || ' ' || CASE p_partkey % 4 WHEN 0 THEN CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 5 AS STRING)
+  WHEN 1 THEN CAST(p_size % 10 AS STRING) WHEN 2 THEN CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 7 AS STRING) || 'rc1' ELSE 'v7.1' END || ' is out' AS title, p_partkey % 5 = 0 AS stands FROM part
+UNION ALL SELECT DISTINCT 'r' || CAST(p_partkey % 4 AS STRING) || ' ' || CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 6 AS STRING) || ' is past end of support', false FROM part
+UNION ALL SELECT 'something else', true""",
+    # Merge events, areas, their pages and the cases that stand.
+    "m_events": "SELECT o_orderkey AS event, 'repo' || CAST(o_custkey % 150 AS STRING) AS repo, split(CASE WHEN o_orderkey % 3 = 0 THEN 'a' || CAST(o_orderkey % 2 AS STRING) ELSE 'a' || CAST(o_orderkey % 2 AS STRING) || ',b' || CAST(o_orderkey % 5 AS STRING) END, ',') AS evidence FROM orders",
+    "m_areas": "SELECT DISTINCT 'scope' || CAST(c_custkey % 120 AS STRING) AS scope, 'repo' || CAST(c_custkey % 120 AS STRING) AS repo FROM customer",
+    "m_pages": "SELECT 'scope' || CAST(p_partkey % 100 AS STRING) AS scope, 'p' || CAST(p_partkey AS STRING) AS path, CASE p_size % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'partial' ELSE 'implemented' END AS state FROM part",
+    "m_cases": "SELECT scope, path, CASE WHEN path LIKE '%7' THEN 'source' ELSE 'merge' END AS trigger, CASE WHEN path LIKE '%1' THEN 'a0 a1 b0 b1 b2 b3 b4' WHEN path LIKE '%2' THEN 'a0, b0' ELSE 'a1 b1 b2' END AS package FROM m_pages WHERE path LIKE '%1' OR path LIKE '%2' OR path LIKE '%53' OR path LIKE '%7' AND scope LIKE '%7'",
+    # Which directories and files of the code graph are open.
+    "g_open": "SELECT DISTINCT region AS element FROM g_files WHERE region <> 'asia' UNION SELECT DISTINCT region || '/' || nation FROM g_files WHERE nation < 'j' UNION SELECT path FROM g_files WHERE custkey % 3 = 0",
+    "g_pages": "SELECT doc_id, 'docs/' || CAST(doc_id AS STRING) || '.md' AS path FROM documents",
+    "g_page_refs": """
+SELECT 'docs/' || CAST(o_custkey % n AS STRING) || '.md' AS page, CASE o_orderkey % 5 WHEN 0 THEN region WHEN 1 THEN region || '/' || nation WHEN 2 THEN 'gone/' || CAST(o_orderkey AS STRING) WHEN 3 THEN 'docs/' || CAST(o_orderkey % n AS STRING) || '.md' ELSE path END AS path,
+  CASE WHEN o_orderkey % 10 = 4 THEN path || '#o' || CAST(o_orderkey AS STRING) END AS symbol FROM orders JOIN g_files ON o_custkey = custkey, t_count""",
+    # Nested values as JSON, keys in two orders.
+    "j_json": """
+SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN '{"b": {"y": [1, {"q": true, "p": null}], "x": ' || CAST(o_custkey AS STRING) || '}, "a": "' || o_orderstatus || '"}' ELSE '{ "a":"' || o_orderstatus || '","b":{"x":' || CAST(o_custkey AS STRING) || ',"y":[1,{"p":null,"q":true}]} }' END AS inputs,
+  CASE o_orderkey % 4 WHEN 0 THEN '{"id": 1, "kind": "x"}' WHEN 1 THEN '{"kind": "x", "id": 1, "more": 2}' WHEN 2 THEN '{"kind": 3}' ELSE '[1]' END AS row FROM orders""",
+    # Pages with headers, and catalogs.
+    "h_pages": """
+SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'd' || CAST(o_orderkey % 70 AS STRING) || '/' || CAST(o_orderkey AS STRING) || '/index.md' ELSE 'd' || CAST(o_orderkey % 70 AS STRING) || '/p' || CAST(o_orderkey AS STRING) || '.md' END AS path,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'no header' WHEN o_orderkey % 9 = 1 THEN '---' || chr(10) || 'title: open' WHEN o_orderkey % 9 = 2 THEN '---' || chr(10) || 'type: x' || chr(10) || '= odd' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN 'title: "Page ' || CAST(o_orderkey AS STRING) || '"' || chr(10) ELSE '' END
+  || 'type: ' || CASE WHEN o_orderkey % 5 = 0 THEN 'Attested Computation' ELSE 'guide' END || chr(10) || CASE WHEN o_orderkey % 10 = 0 THEN 'runtime: py' || chr(10) ELSE '' END || 'tags: [a, ' || o_orderstatus || ']' || chr(10) || 'sources:' || chr(10) || '  - id: s' || CAST(o_custkey AS STRING) || chr(10) || '    resource: r1' || chr(10) || '  - resource: r2' || chr(10)
+  || CASE WHEN o_orderkey % 3 = 0 THEN 'generated:' || chr(10) || '  by: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'tool' ELSE '' END || chr(10) ELSE '' END || '---' || chr(10) || 'See [x](other.md#a), ![i](pic.png) and [[wiki page|w]].' END AS text FROM orders
+UNION ALL SELECT 'd' || CAST(k AS STRING) || '/index.md', '* [a](p' || CAST(k AS STRING) || '.md) - first ' || chr(10) || '* [b](p' || CAST(k + 70 AS STRING) || '.md#x) –' || chr(10) || '[c](./p' || CAST(k + 140 AS STRING) || '.md?q=1), [d](/d' || CAST(k AS STRING) || '/p' || CAST(k + 210 AS STRING) || '.md) last' || chr(10) || '[sub](sub/)' FROM (SELECT DISTINCT o_orderkey % 70 AS k FROM orders) WHERE k % 2 = 0""",
     "q_hits": "SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
 }
 
@@ -146,6 +192,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs = [*_needs(name), name]
     text = f"WITH {', '.join(f'{v} AS ({VIEWS[v].strip()})' for v in needs)} SELECT * FROM {name}"
+    text = text.replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN|,) {t}\b", rf"\1 {{{t}}}", text)

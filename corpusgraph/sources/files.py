@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import key_problem
+
 REGISTER = "doc_id string, path string, content_hash string, revision int"
 JOURNAL = "run string, node string, seq long, input_hash string, outcome string, seconds double"
 
@@ -20,7 +22,11 @@ def write_register(register: DataFrame, path: str) -> None:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOURNAL).json(path, mode="FAILFAST")
+    """Rows with just the journal's keys; a line with other keys, or none, fails loudly."""
+    keys = [c.split()[0] for c in JOURNAL.split(", ")]
+    problem = key_problem(F.col("value"), keys)
+    line = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("journal: "), problem, F.lit(" in "), "value"))).otherwise(F.col("value"))
+    return spark.read.text(path).select(F.from_json(line, JOURNAL, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def append_journal(rows: DataFrame, path: str) -> None:
