@@ -107,13 +107,18 @@ def span(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, pattern, 1).try_cast("int"), F.regexp_extract(text, pattern, 2).try_cast("int")
 
 
+# Languages by extension; another extension stands for itself.
+LANGUAGES = {
+    "go": "go", "ts tsx mts cts": "typescript", "js jsx mjs cjs": "javascript", "py": "python", "gd godot tres tscn": "gdscript", "rs": "rust", "cs": "csharp",
+    "cpp cc cxx c++ hpp hh hxx h++ h inl ipp tpp": "cpp", "html htm": "html",
+}
+
+
 def language(path: Column) -> Column:
-    names = {"py": "Python", "go": "Go", "js": "JavaScript", "ts": "TypeScript", "md": "Markdown", "rs": "Rust", "java": "Java", "cs": "C#", "gd": "GDScript", "css": "CSS", "html": "HTML"}
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    out = F.lit("other")
-    for e, name in names.items():
-        out = F.when(ext == e, name).otherwise(out)
-    return out
+    """The language of a path by its last extension; without one, `unknown`."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    known = F.coalesce(*[F.when(ext.isin(*endings.split()), F.lit(name)) for endings, name in LANGUAGES.items()])
+    return F.coalesce(known, F.when(ext != "", ext), F.lit("unknown"))
 
 
 def glob_regex(glob: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import join_hot
+
 
 def content_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, state): added, removed or changed; equal rows are left out."""
@@ -49,15 +51,23 @@ def pin_drift(pins: DataFrame, register: DataFrame, files: DataFrame) -> DataFra
 
 
 def shared_content(files: DataFrame) -> DataFrame:
-    """(content_hash, copies, first_path, paths) of contents that several paths have."""
+    """(content_hash, copies, first_path) of contents that several paths have; `copies_of` lists the paths, a row each."""
     return files.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).filter("copies > 1")
 
 
-def digest(files: DataFrame, buckets: int = 256) -> DataFrame:
-    """One row: files, digest. Rows are digested by hash bucket and the bucket digests together, so no task sees all rows."""
-    row = F.concat_ws("\x00", "path", "content_hash")
-    per = files.groupBy(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(row))), 256).alias("d"))
-    return per.agg(F.sum("n").alias("files"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])), 256).alias("digest"))
+def copies_of(files: DataFrame) -> DataFrame:
+    """(content_hash, first_path, path) of each path whose content others have, too."""
+    return join_hot(files.select("content_hash", "path"), shared_content(files), "content_hash").select("content_hash", "first_path", "path")
+
+
+def digest(files: DataFrame) -> DataFrame:
+    """One row: files, digest. Rows are digested by the first four digits of their paths' digests, those by the first two, those together, so that no task sees all rows."""
+    key = F.md5("path")
+    row = F.concat_ws("\x1f", "path", "content_hash")
+    together = lambda c: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(c))), 256).alias("d")
+    fine = files.groupBy(F.left(key, F.lit(4)).alias("k")).agg(F.count("*").alias("n"), together(row))
+    coarse = fine.groupBy(F.left("k", F.lit(2)).alias("k")).agg(F.sum("n").alias("n"), together(F.concat("k", "d")))
+    return coarse.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), together(F.concat("k", "d")).alias("digest"))
 
 
 def tombstoned(events: DataFrame, dropped: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -34,14 +34,22 @@ def absent(expected: DataFrame, cov: DataFrame) -> DataFrame:
     return expected.join(cov.select("path").distinct(), "path", "left_anti")
 
 
-def resolve_suffix(reported: DataFrame, tree: DataFrame) -> DataFrame:
-    """(path, file, outcome) for report paths: exact, or one file that ends in the path; an equi-join on the base name first."""
-    base = lambda c: F.substring_index(c, "/", -1)
-    hit = reported.select("path").distinct().withColumn("base", base(F.col("path"))).join(tree.select(F.col("path").alias("file")).withColumn("base", base(F.col("file"))), "base", "left")
-    hit = hit.withColumn("exact", F.col("file") == F.col("path")).withColumn("fits", F.col("exact") | F.col("file").endswith(F.concat(F.lit("/"), F.col("path"))))
-    per = hit.groupBy("path").agg(F.max(F.when(F.col("exact"), F.col("file"))).alias("same"), F.count_if("fits").alias("n"), F.max(F.when(F.col("fits"), F.col("file"))).alias("one"))
-    outcome = F.when(F.col("same").isNotNull() | (F.col("n") == 1), "resolved").when(F.col("n") == 0, "missing").otherwise("ambiguous")
-    return per.select("path", F.when(outcome == "resolved", F.coalesce("same", "one")).alias("file"), outcome.alias("outcome"))
+def resolve_suffix(reported: DataFrame, tree: DataFrame, base: str = "") -> DataFrame:
+    """(path, file, outcome) for report paths: exact, below base, or one file that ends in the path; else missing, ambiguous or, for paths that climb out, outside.
+
+    Files state each of their ends, so a path meets only the files that end in the whole of it, however many share its
+    base name; their number, and if it is one the file, are counted before the join.
+    """
+    parts = F.split("path", "/")
+    ends = tree.select("path").distinct().select(F.col("path").alias("file"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("path"))
+    rows = reported.select("path").distinct()
+    per = ends.join(rows, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n"), F.min("file").alias("one"), F.max(F.when(F.col("file") == F.col("path"), F.col("file"))).alias("same"))
+    in_base = tree.select(F.col("path").alias("joined")).distinct().withColumn("below", F.col("joined"))
+    joined = F.concat_ws("/", F.lit(base), "path") if base else F.col("path")
+    hit = rows.withColumn("joined", joined).join(in_base, "joined", "left").join(per, "path", "left")
+    file = F.coalesce("same", "below", F.when(F.col("n") == 1, F.col("one")))
+    outcome = F.when(file.isNotNull(), "resolved").when(F.col("path").rlike(r"^(/|\.\.(/|$))"), "outside").when(F.coalesce("n", F.lit(0)) == 0, "missing").otherwise("ambiguous")
+    return hit.select("path", file.alias("file"), outcome.alias("outcome"))
 
 
 def newer_than_report(files: DataFrame, reports: DataFrame, slack: float = 2.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, lines, tokens
-from ..checkpoint import in_blocks
+from ..checkpoint import cut, in_blocks
 from .graph import pagerank
 
 # Fixed values of the scores.
@@ -36,13 +36,13 @@ def term_stats(post: DataFrame) -> DataFrame:
 def lexical(docs: DataFrame, query: str, name: str | None, path: str | None, body: str, factor: Column | None = None) -> DataFrame:
     """(id, lexical) of documents with a positive fielded score.
 
-    The statistics are those of the documents given: filter first, then score. One pass yields the postings of
-    query terms, document frequencies and lengths, so nothing but rows with a query term is shuffled.
+    The statistics are those of the documents given: filter first, then score. The texts are tokenised once: counts of
+    the question's words and lengths are written as a table, of which both the statistics and the scores are made.
     """
     spark = docs.sparkSession
     terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    words = [r["term"] for r in terms.collect()]  # the question's words
-    qtf = {r["term"]: r["qtf"] for r in terms.collect()}
+    qtf = {r["term"]: r["qtf"] for r in terms.collect()}  # the question's words
+    words = list(qtf)
     fields = {"name": name, "path": path, "body": body}
     times = lambda field, word: F.size(F.filter(field, lambda t: t == F.lit(word)))
     hot = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
@@ -50,6 +50,7 @@ def lexical(docs: DataFrame, query: str, name: str | None, path: str | None, bod
     counts = rows.select("id", "factor", F.size("body").alias("len"), *[F.array(*[times(f, w) for w in words]).alias(f) for f in fields] if words else [hot.alias(f) for f in fields])
     if not words:
         return counts.select("id", F.lit(0.0).alias("lexical")).filter(F.lit(False))
+    counts = cut(counts, "counts")
     seen = [F.sum(F.when((F.get("name", F.lit(i)) + F.get("path", F.lit(i)) + F.get("body", F.lit(i))) > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(words))]
     stats = counts.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *seen)  # one row
     rows = counts.crossJoin(F.broadcast(stats))
@@ -70,7 +71,7 @@ def top(rows: DataFrame, score: str, limit: int = LIMIT, tie: str = "id") -> Dat
 def hybrid(nodes: DataFrame, edges: DataFrame, query: str, name: str | None, path: str | None, body: str, factor: Column | None = None, limit: int = LIMIT) -> DataFrame:
     """(id, lexical, graph, score): lexical score over its maximum plus half of the rank seeded by it; top by score, then id."""
     factor = factor if factor is not None else F.lit(1.0)
-    lex = lexical(nodes, query, name, path, body, factor)
+    lex = cut(lexical(nodes, query, name, path, body, factor), "lexical")  # seeds, maximum and scores
     rank = pagerank(nodes, edges, lex.select("id", F.col("lexical").alias("weight")))
     best = lex.agg(F.max("lexical").alias("best"))
     both = lex.join(rank, "id", "full_outer").filter(f"lexical IS NOT NULL OR score >= {RESCUE}").crossJoin(F.broadcast(best))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ancestors, clean_path, glob_regex, plain_name
+from ..functions.text import ancestors, clean_path, glob_regex, plain_name, under
 
 
 def base_name(path: Column) -> Column:
@@ -109,21 +109,58 @@ def code_refs(rows: DataFrame, text: str) -> DataFrame:
     return refs.select(*rows.columns, at(1).alias("path"), at(2).cast("int").alias("line_from"), F.coalesce(at(3).try_cast("int"), at(2).cast("int")).alias("line_to"))
 
 
-def resolve_symbols(asks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ask, id, stage): the nodes of the first stage that answers; id or name, package.name, file by path or its end, name in any case.
+# Extensions by which a question asks for a file.
+FILE_EXTENSIONS = "cs gd godot tres tscn go ts tsx mts cts js jsx mjs cjs py rs c cc cpp cxx c++ h hpp hh hxx h++ inl ipp tpp java php css scss html htm json toml yaml yml md".split()
 
-    Every node states the keys by which it can be asked for, so all questions are one equi-join.
+
+def _endings(text: Column, marks: str) -> Column:
+    """What follows each of these characters."""
+    parts = F.split(text, f"[{marks}]")
+    inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: i < F.size(parts))
+    return F.transform(inner, lambda i: F.substr(text, F.length(F.array_join(F.slice(parts, F.lit(1), i), "x")) + 2))
+
+
+def resolve_symbols(asks: DataFrame, nodes: DataFrame, subtree: str | None = None) -> DataFrame:
+    """(ask, id, stage, score): the nodes of the first stage that answers; within it callers take the least score, then the nodes' own order.
+
+    Stages, all in any case and without ordinals: 0 a symbol's name or id, or what stands behind a `#` or `.` in its id;
+    1 `directory.name`, the directory by its last segments; 2, for questions with a slash or a file's extension only,
+    files; 3 the name behind the last dot; 4 files by name, path, end of the path or id. A leading `#` or `.` of the
+    question goes. Score: 2 for another case than asked, 1 for tests. subtree: only nodes below it; one that holds no
+    node is an error.
+
+    Every node states the keys by which it can be asked for, and every question those it asks, so all is one equi-join.
     """
-    name, parts = plain_name(F.col("name")), F.split("path", "/")
-    key = lambda stage, k: F.struct(F.lit(stage).alias("stage"), k.alias("ask"))
-    package = F.concat_ws(".", F.element_at(parts, -2), name)
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: key(2, F.array_join(F.slice(parts, i, F.size(parts)), "/")))
-    symbol = F.array(key(0, F.col("id")), key(0, name), key(1, package), key(3, F.lower(name)))
-    keys = nodes.select("id", F.explode(F.when(F.col("kind") == "file", F.concat(F.array(key(0, F.col("id"))), ends)).otherwise(symbol)).alias("k")).select("id", "k.stage", "k.ask")
-    wanted = asks.select("ask").distinct().select("ask", F.explode(F.array(F.struct(F.col("ask").alias("k"), F.lit(False).alias("folded")), F.struct(F.lower("ask").alias("k"), F.lit(True).alias("folded")))).alias("w")).select("ask", F.col("w.k").alias("k"), "w.folded")
-    hits = wanted.join(keys.withColumnRenamed("ask", "k"), "k").filter("folded = (stage = 3)").select("ask", "id", "stage")
+    if subtree:
+        nodes = nodes.filter(under(F.col("path"), subtree))
+        if nodes.isEmpty():
+            raise ValueError(f"nothing below {subtree}")
+    low = lambda c: F.lower(plain_name(c))
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"))
+    keys_of = lambda kind, many: F.transform(many, lambda k: key(kind, k))
+    name, id_ = low(F.col("name")), low(F.col("id"))
+    folder = F.lower(F.regexp_replace("path", "/?[^/]*$", ""))
+    folders = F.concat(F.array(F.when(folder == "", ".").otherwise(folder)), _endings(folder, "/"))
+    symbol = F.concat(F.array(key("symbol", name), key("symbol", id_)), keys_of("symbol", _endings(id_, "#.")), F.transform(folders, lambda d: key("package", F.concat(d, F.lit("\n"), name))), F.array(key("name", name)))
+    path = F.lower("path")
+    file = F.concat(F.array(key("name", name), key("file", name), key("file", path), key("file", F.lower("id"))), keys_of("file", _endings(path, "/")))
+    keys = nodes.select("id", plain_name(F.col("name")).alias("plain"), "is_test", F.explode(F.array_distinct(F.when(F.col("kind") == "file", file).otherwise(symbol))).alias("k")).select("id", "plain", "is_test", F.col("k.kind").alias("by"), "k.k")
+    clean = F.regexp_replace(F.regexp_replace(F.replace(plain_name(F.col("ask")), F.lit("\\"), F.lit("/")), "^#", ""), r"^\.", "")
+    rows = asks.select("ask").distinct().filter("ask <> ''").withColumn("clean", clean)
+    dotted = F.contains("clean", F.lit("."))
+    last = F.substring_index("clean", ".", -1)
+    first = F.left("clean", F.length("clean") - F.length(last) - 1)
+    file_like = F.contains("ask", F.lit("/")) | F.contains("ask", F.lit("\\")) | F.lower(F.regexp_extract("ask", r"\.([^./]*)$", 1)).isin(*FILE_EXTENSIONS)
+    ask_key = lambda stage, by, k: F.struct(F.lit(stage).alias("stage"), F.lit(by).alias("by"), F.lower(k).alias("k"))
+    wanted = F.array_compact(F.array(
+        ask_key(0, "symbol", F.col("clean")), F.when(dotted, ask_key(1, "package", F.concat(first, F.lit("\n"), last))), F.when(file_like, ask_key(2, "file", F.col("clean"))),
+        F.when(dotted & ~file_like, ask_key(3, "name", last)), F.when(~file_like, ask_key(4, "file", F.col("clean"))),
+    ))
+    asked = rows.select("ask", last.alias("said"), F.explode(wanted).alias("w")).select("ask", "said", "w.stage", "w.by", "w.k")
+    score = F.when(F.col("stage").isin(2, 4), 0).otherwise(F.when(F.col("plain") != F.col("said"), 2).otherwise(0) + F.col("is_test").cast("int"))
+    hits = asked.join(keys, ["by", "k"]).select("ask", "id", "stage", score.alias("score"))
     least = hits.groupBy("ask").agg(F.min("stage").alias("stage"))
-    return hits.join(least, ["ask", "stage"]).select("ask", "id", "stage").distinct()
+    return hits.join(least, ["ask", "stage"]).select("ask", "id", "stage", "score").distinct()
 
 
 def rank_candidates(nodes: DataFrame, name: str) -> DataFrame:

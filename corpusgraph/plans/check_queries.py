@@ -155,6 +155,13 @@ def levels(t: Tables) -> DataFrame:
     return t.lineitem.select(reports.conventional_level(subject).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("w20_chunks")
+CHUNKS = """
+WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS MATERIALIZED (SELECT doc_id, i AS n, l[i] AS p FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
+s AS (SELECT doc_id, n, p AS open, CAST(NULL AS VARCHAR) AS done FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, CASE WHEN length(s.open) > 1200 OR s.open = '' THEN p.p ELSE s.open || chr(10) || p.p END, CASE WHEN length(s.open) > 1200 THEN s.open END FROM s JOIN p ON p.doc_id = s.doc_id AND p.n = s.n + 1),
+c AS (SELECT doc_id, n, done AS text FROM s WHERE done IS NOT NULL UNION ALL SELECT s.doc_id, s.n + 1, open FROM s JOIN l USING (doc_id) WHERE s.n = len(l) AND open <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS chunk, CAST(length(text) AS INT) AS size, md5(text) AS digest FROM c"""
+
+
+@query("w20_chunks", CHUNKS)
 def chunked(t: Tables) -> DataFrame:
-    return reports.chunks(t.documents, "doc_id", "text").select("doc_id", "chunk", F.length("text").alias("size"))
+    return reports.chunks(t.documents, "doc_id", "text").select("doc_id", "chunk", F.length("text").alias("size"), F.md5("text").alias("digest"))

@@ -281,7 +281,11 @@ def shared(t: Tables) -> DataFrame:
     return drift.shared_content(t.snap_a)
 
 
-@query("a27_digest")
+@query(
+    "a27_digest",
+    """WITH f AS (SELECT left(md5(path), 4) AS k, count(*) AS n, sha256(string_agg(path || chr(31) || content_hash, chr(10) ORDER BY path || chr(31) || content_hash)) AS d FROM snap_a GROUP BY 1), c AS (SELECT left(k, 2) AS k, sum(n) AS n, sha256(string_agg(k || d, chr(10) ORDER BY k || d)) AS d FROM f GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(k || d, chr(10) ORDER BY k || d)) AS digest FROM c""",
+)
 def digest(t: Tables) -> DataFrame:
     return drift.digest(t.snap_a)
 

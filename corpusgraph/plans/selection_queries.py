@@ -89,10 +89,14 @@ def refs(t: Tables) -> DataFrame:
 
 @query(
     "g5_symbols",
-    """WITH k AS (SELECT id, 0 AS stage, id AS k FROM g_nodes UNION ALL SELECT id, 0, name FROM g_nodes WHERE kind <> 'file' UNION ALL SELECT id, 1, split_part(path, '/', 2) || '.' || name FROM g_nodes WHERE kind <> 'file'
-UNION ALL SELECT id, 2, unnest([path, split_part(path, '/', 2) || '/' || split_part(path, '/', 3), split_part(path, '/', 3)]) FROM g_nodes WHERE kind = 'file'),
-h AS (SELECT ask, id, stage FROM g_asks JOIN k ON k.k = ask UNION SELECT ask, id, 3 FROM g_asks JOIN g_nodes ON lower(name) = lower(ask) WHERE kind <> 'file')
-SELECT ask, id, CAST(stage AS INT) AS stage FROM (SELECT *, min(stage) OVER (PARTITION BY ask) AS least FROM h) WHERE stage = least""",
+    """WITH a AS (SELECT ask, regexp_replace(regexp_replace(ask, '^#', ''), '^[.]', '') AS c, contains(ask, '/') OR regexp_matches(ask, '[.](py|go)$') AS f FROM g_asks),
+k AS (SELECT id, name, is_test, 'symbol' AS kd, lower(name) AS k FROM g_nodes WHERE kind <> 'file' UNION SELECT id, name, is_test, 'symbol', lower(id) FROM g_nodes WHERE kind <> 'file' UNION SELECT id, name, is_test, 'symbol', unnest([lower(regexp_replace(id, '^[^#.]*[.]', '')), lower(split_part(id, '#', 2))]) FROM g_nodes WHERE kind <> 'file'
+UNION SELECT id, name, is_test, 'package', unnest([lower(split_part(path, '/', 2)), lower(split_part(path, '/', 1) || '/' || split_part(path, '/', 2))]) || chr(10) || lower(name) FROM g_nodes WHERE kind <> 'file' UNION SELECT id, name, is_test, 'name', lower(name) FROM g_nodes
+UNION SELECT id, name, is_test, 'file', unnest([lower(path), lower(split_part(path, '/', 2) || '/' || split_part(path, '/', 3)), lower(split_part(path, '/', 3))]) FROM g_nodes WHERE kind = 'file'),
+w AS (SELECT ask, c, 0 AS stage, 'symbol' AS kd, lower(c) AS k FROM a UNION ALL SELECT ask, c, 1, 'package', lower(regexp_extract(c, '^(.*)[.]([^.]*)$', 1) || chr(10) || regexp_extract(c, '^(.*)[.]([^.]*)$', 2)) FROM a WHERE contains(c, '.') UNION ALL SELECT ask, c, CASE WHEN f THEN 2 ELSE 4 END, 'file', lower(c) FROM a
+UNION ALL SELECT ask, c, 3, 'name', lower(split_part(c, '.', -1)) FROM a WHERE contains(c, '.') AND NOT f),
+h AS (SELECT DISTINCT ask, id, stage, CASE WHEN stage IN (2, 4) THEN 0 ELSE CASE WHEN name <> split_part(c, '.', -1) THEN 2 ELSE 0 END + CASE WHEN is_test THEN 1 ELSE 0 END END AS score FROM w JOIN k USING (kd, k))
+SELECT ask, id, CAST(stage AS INT) AS stage, CAST(score AS INT) AS score FROM (SELECT *, min(stage) OVER (PARTITION BY ask) AS least FROM h) WHERE stage = least""",
 )
 def symbols(t: Tables) -> DataFrame:
     return selection.resolve_symbols(t.g_asks, t.g_nodes)

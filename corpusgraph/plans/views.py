@@ -34,6 +34,11 @@ FROM lineitem JOIN g_first ON l_partkey = partkey JOIN g_symbols a ON a.orderkey
 SELECT source, target, relation, confidence, line FROM g_calls
 UNION ALL SELECT path, id, 'contains', 'extracted', 0 FROM g_symbols
 UNION ALL SELECT path, 'ext:' || nation, 'imports', 'extracted', 1 FROM g_files""",
+    # The same calls with lines of the caller's file, and those lines; some lines are missing or name their callee elsewhere.
+    "g_sites": "SELECT source, target, relation, confidence, CASE WHEN line = 7 THEN 0 ELSE CAST(span_from + line AS INT) END AS line FROM g_calls JOIN g_symbols ON id = source",
+    "g_lines": """
+SELECT path, CAST(line_no AS BIGINT) AS line_no, min(line) AS line FROM (SELECT a.path, a.span_from + line AS line_no, '  call ' || b.name || '()' AS line FROM g_calls JOIN g_symbols a ON a.id = source JOIN g_symbols b ON b.id = target WHERE line <> 6
+UNION ALL SELECT path, span_from, 'def ' || name || ': token ' || name FROM g_symbols) x GROUP BY path, line_no""",
     # Documents with paths, and two snapshots of them.
     "t_docs": "SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.md' AS path, source, lang, text FROM documents",
     "snap_a": "SELECT path, doc_id, md5(text) AS content_hash, length(text) AS size, doc_id AS mtime FROM t_docs WHERE doc_id % 10 <> 0",
@@ -59,7 +64,7 @@ FROM lineitem JOIN g_symbols ON orderkey = l_orderkey""",
     "a_areas": "SELECT DISTINCT source || '/' || lang AS scope, lang = 'de' AS local_only, lang = 'en' AS shared FROM documents",
     "a_scopes": "SELECT DISTINCT region || '/' || nation AS scope FROM g_files UNION SELECT DISTINCT nation || '/' || region FROM g_files",
     "a_asks": "SELECT custkey, CASE custkey % 4 WHEN 0 THEN region || '/' || nation WHEN 1 THEN nation WHEN 2 THEN region ELSE 'nowhere' END AS ask FROM g_files",
-    "g_asks": "SELECT DISTINCT CASE custkey % 4 WHEN 0 THEN path WHEN 1 THEN nation || '/c' || CAST(custkey AS STRING) || CASE WHEN custkey % 3 = 0 THEN '.go' ELSE '.py' END WHEN 2 THEN nation || '.o' || CAST(custkey % 1000 AS STRING) ELSE 'O' || CAST(custkey % 1000 AS STRING) END AS ask FROM g_files",
+    "g_asks": "SELECT DISTINCT CASE custkey % 4 WHEN 0 THEN path WHEN 1 THEN nation || '/c' || CAST(custkey AS STRING) || CASE WHEN custkey % 3 = 0 THEN '.go' ELSE '.py' END WHEN 2 THEN CASE custkey % 3 WHEN 0 THEN region || '/' || nation || '.o' WHEN 1 THEN 'nowhere.o' ELSE nation || '.o' END || CAST(custkey % 1000 AS STRING) ELSE CASE custkey % 3 WHEN 0 THEN '#O' WHEN 1 THEN 'o' ELSE 'py#o' END || CAST(custkey % 1000 AS STRING) END AS ask FROM g_files",
     # Listings, catalogs, pages with headings.
     "s_listing": "SELECT CASE WHEN doc_id % 23 = 0 THEN '.hidden/' ELSE '' END || path AS path, length(text) AS size, doc_id % 17 = 0 AS ignored, doc_id % 19 = 0 AS link FROM t_docs",
     "s_tree": """
