@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import held, map_texts
 
 #: A Python worker remembers the pieces between spaces of up to twice as many bytes, overheads included.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 32 << 20
 #: The rank of a pair that is never merged.
 NONE = np.iinfo(np.int64).max
 #: Words of more bytes are merged with a heap, the others together.
@@ -323,7 +323,7 @@ def tokenizer(path: str) -> Bpe:
 
 
 #: Texts of a batch are encoded in slices of about so many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _slices(texts: list[bytes]) -> Iterable[list[bytes]]:
