@@ -145,3 +145,41 @@ def matches(path: Column, include: list[str], exclude: list[str] = ()) -> Column
     """Any of include, none of exclude."""
     any_of = lambda globs: F.lit(False) if not globs else path.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))
     return any_of(list(include)) & ~any_of(list(exclude))
+
+
+def link_target(link: Column) -> Column:
+    """A link without anchor and query, its percent escapes undone; a malformed escape stays as it is."""
+    bare = F.substring_index(F.substring_index(link, "#", 1), "?", 1)
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+
+
+def sortable_id(seconds: Column, *parts: Column) -> Column:
+    """An id that sorts by time and is the same for the same parts: nine digits of the time in base 32, then ten of a digest."""
+    letters = "0123456789abcdefghjkmnpqrstvwxyz"
+    digit = lambda value, i: F.substring(F.lit(letters), (F.shiftrightunsigned(value, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    hashed = F.conv(F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(13)), 16, 10).cast("long")
+    time = seconds.cast("long")
+    return F.concat(*[digit(time, i) for i in range(8, -1, -1)], *[digit(hashed, i) for i in range(9, -1, -1)])
+
+
+def stale(at: Column, now: Column, hours: int = 24) -> Column:
+    """Whether a time, as ISO text with or without a zone, is further back than this; null if it can't be read."""
+    return F.try_to_timestamp(at) < now - F.make_interval(hours=F.lit(hours))
+
+
+def collection_name(scope: Column) -> Column:
+    """A scope as a collection's name: lower case, everything but letters and digits as single dashes, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(scope), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def ranked_type(kind: Column, ranks: dict[str, int], aliases: dict[str, str]) -> tuple[Column, Column]:
+    """(name, rank) of a type in any case after its alias; unknown ones keep their name and come last."""
+    low = F.lower(F.trim(kind))
+    name = F.coalesce(*[F.when(low == a.lower(), F.lit(n)) for a, n in aliases.items()], *[F.when(low == n.lower(), F.lit(n)) for n in ranks], kind)
+    return name, F.coalesce(*[F.when(name == n, F.lit(r)) for n, r in ranks.items()], F.lit(len(ranks)))
+
+
+def rendered_counts(counts: Column) -> Column:
+    """A map of numbers as `a: 1, b: 2`, in the order of its keys."""
+    entries = F.array_sort(F.map_entries(counts))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string"))), ", ")

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
 
 def _load() -> None:
-    from . import caller_queries, check_queries, document_queries, graph_queries, index_queries, line_queries, log_queries, module_queries, release_queries, search_queries, selection_queries, source_queries  # noqa: F401
+    from . import audit_queries, caller_queries, check_queries, document_queries, graph_queries, index_queries, line_queries, log_queries, module_queries, release_queries, search_queries, selection_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

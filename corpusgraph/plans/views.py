@@ -164,6 +164,18 @@ SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'd' || CAST(o_orderkey % 70 AS STRING)
   || 'type: ' || CASE WHEN o_orderkey % 5 = 0 THEN 'Attested Computation' ELSE 'guide' END || chr(10) || CASE WHEN o_orderkey % 10 = 0 THEN 'runtime: py' || chr(10) ELSE '' END || 'tags: [a, ' || o_orderstatus || ']' || chr(10) || 'sources:' || chr(10) || '  - id: s' || CAST(o_custkey AS STRING) || chr(10) || '    resource: r1' || chr(10) || '  - resource: r2' || chr(10)
   || CASE WHEN o_orderkey % 3 = 0 THEN 'generated:' || chr(10) || '  by: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'tool' ELSE '' END || chr(10) ELSE '' END || '---' || chr(10) || 'See [x](other.md#a), ![i](pic.png) and [[wiki page|w]].' END AS text FROM orders
 UNION ALL SELECT 'd' || CAST(k AS STRING) || '/index.md', '* [a](p' || CAST(k AS STRING) || '.md) - first ' || chr(10) || '* [b](p' || CAST(k + 70 AS STRING) || '.md#x) –' || chr(10) || '[c](./p' || CAST(k + 140 AS STRING) || '.md?q=1), [d](/d' || CAST(k AS STRING) || '/p' || CAST(k + 210 AS STRING) || '.md) last' || chr(10) || '[sub](sub/)' FROM (SELECT DISTINCT o_orderkey % 70 AS k FROM orders) WHERE k % 2 = 0""",
+    # Names as values, selectors of imported packages, calls on results.
+    "k_defs": "SELECT id, name, path AS file, regexp_replace(path, '/[^/]*$', '') AS dir, CASE WHEN orderkey % 4 = 0 THEN 'T' || CAST(orderkey % 3 AS STRING) ELSE '' END AS owner, 'func ' || name || '(f func(int) string, n int) ' || CASE orderkey % 5 WHEN 0 THEN '*T0' WHEN 1 THEN '(t T1, err error)' WHEN 2 THEN '(*x.T2, error)' WHEN 3 THEN '' ELSE 'T2[int]' END AS signature FROM g_symbols",
+    "k_files": "SELECT path AS file, CASE WHEN custkey % 10 = 0 THEN nation || '_test' ELSE nation END AS package FROM g_files",
+    "k_clauses": "SELECT DISTINCT region || '/' || nation AS dir, CASE WHEN nation LIKE '%1' THEN 'main' ELSE nation END AS package FROM g_files",
+    "k_imports": "SELECT a.path AS file, b.custkey AS pos, CASE b.custkey % 5 WHEN 0 THEN 'al' WHEN 1 THEN '_' ELSE '' END AS alias, CASE WHEN b.custkey % 11 <> 0 THEN b.region || '/' || b.nation END AS dir FROM g_files a JOIN g_files b ON b.custkey % 50 = a.custkey % 50",
+    "k_raw": "SELECT CAST(o_orderkey AS STRING) AS raw_id, path AS file, (region) || '/' || nation AS dir, 'o' || CAST(o_orderkey * 7 % 1000 AS STRING) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'al' WHEN o_orderkey % 3 = 1 THEN 'main' ELSE 'nation_' || CAST(o_orderkey % 25 AS STRING) END AS receiver, CAST(o_orderkey * 3 % 1500 AS STRING) AS via FROM orders JOIN g_files ON custkey = o_custkey",
+    # Sources of shared areas, changes beside a wiki, tools and lanes, questions.
+    "b_sources": "SELECT source || '/' || lang AS scope, path, CASE doc_id % 5 WHEN 0 THEN 'BRAIN:/' || source || '/' || lang || '/x.md#a' WHEN 1 THEN 'brain:' || source || '/en/y?b=1' WHEN 2 THEN 'brain://' WHEN 3 THEN 'https://x' ELSE 'brain:' || source || '/english' END AS resource FROM t_docs",
+    "b_changes": "SELECT 'o' || CAST(l_orderkey AS STRING) AS project, CASE WHEN l_linenumber % 3 = 0 THEN 'docs/wiki/p.md' WHEN l_linenumber % 3 = 1 THEN 'docs/wikipedia.md' ELSE 'src/a.py' END AS path FROM lineitem",
+    "b_wikis": "SELECT 'o' || CAST(o_orderkey AS STRING) AS project, CASE WHEN o_orderkey % 7 = 0 THEN '.' ELSE 'docs/wiki' END AS wiki FROM orders WHERE o_orderkey % 5 <> 0",
+    "b_tools": "SELECT DISTINCT 'o' || CAST(l_orderkey AS STRING) AS project, CASE l_linenumber WHEN 1 THEN 'go-test' WHEN 2 THEN 'go-vet' WHEN 3 THEN 'ruff' ELSE 'mypy' END AS tool FROM lineitem",
+    "b_lanes": "SELECT 'o' || CAST(l_orderkey AS STRING) AS project, l_linenumber AS pos, CASE l_suppkey % 5 WHEN 0 THEN ' go test ./...' WHEN 1 THEN 'cargo test && go vet x' WHEN 2 THEN 'ruff' WHEN 3 THEN 'ruffle;mypy .' ELSE 'cargo test' END AS lane FROM lineitem",
     "q_hits": "SELECT item_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
 }
 

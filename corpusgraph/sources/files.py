@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import key_problem
+from ..operators.line_state import hunks
 
 REGISTER = "doc_id string, path string, content_hash string, revision int"
 JOURNAL = "run string, node string, seq long, input_hash string, outcome string, seconds double"
@@ -99,3 +100,54 @@ def read_diff(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(name.alias("path"), F.explode(F.arrays_zip(heads.alias("h"), F.slice(parts, F.lit(2), F.size(heads)).alias("body"))).alias("x"))
     start, count = F.split("x.h", ",")[0].cast("int"), F.coalesce(F.get(F.split("x.h", ","), F.lit(1)).cast("int"), F.lit(1))
     return rows.select("path", start.alias("line_from"), F.greatest(start + count - 1, start).alias("line_to"), F.size(F.regexp_extract_all("x.body", F.lit(r"(?m)^\+(.*)$"), F.lit(1))).alias("added"))
+
+
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
+    """(diff, path, hunk, line_from, line_to, lines, omitted) of unified diffs, each file of the listing being one of any number of files."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    found = hunks(rows.select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
+    return found.select(F.col("path").alias("diff"), F.col("file").alias("path"), "hunk", "line_from", "line_to", "lines", "omitted")
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(session, blocks, base, seen) of one JSON file a session; files that hold no object with a number of blocks are left out, the session is the file's name."""
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("seen"))
+    state = F.from_json("value", "blocks int, base string")
+    return rows.withColumn("s", state).filter("s.blocks IS NOT NULL").select(F.regexp_replace("file", r"\.json$", "").alias("session"), "s.blocks", "s.base", "seen")
+
+
+REPORT = "suite string, at string, results array<struct<name: string, ms: double, runs: int>>"
+
+
+def read_timings(spark: SparkSession, path: str) -> DataFrame:
+    """(suite, at, name, ms, runs) of timing reports, a JSON document a file."""
+    rows = spark.read.schema(REPORT).json(path, multiLine=True, mode="FAILFAST")
+    return rows.select("suite", "at", F.explode("results").alias("r")).select("suite", "at", "r.name", "r.ms", "r.runs")
+
+
+def write_timings(rows: DataFrame, path: str) -> None:
+    """The same form, a line a report."""
+    rows.groupBy("suite", "at").agg(F.array_sort(F.collect_list(F.struct("name", "ms", "runs"))).alias("results")).write.mode("overwrite").json(path)
+
+
+def read_refs(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, sha) of a snapshot, one JSON object of names and digests."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("ref", "sha"))
+
+
+def catalog_rows(pages: DataFrame) -> DataFrame:
+    """(dir, place, line) of the catalogs of pages(path, title, description): sorted entries a directory, and the directories below."""
+    folder, base = F.regexp_replace("path", "/?[^/]*$", ""), F.substring_index("path", "/", -1)
+    text = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" - "), "description")).otherwise("")
+    entries = pages.filter(~base.isin("index.md", "log.md")).select(folder.alias("dir"), F.lit(0).alias("kind"), base.alias("name"), F.concat(F.lit("* ["), F.coalesce("title", base), F.lit("]("), F.replace(base, F.lit(" "), F.lit("%20")), F.lit(")"), text).alias("line"))
+    above = entries.select("dir").distinct().filter("dir <> ''").withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), i), "/")))).select("up").distinct()
+    child = F.substring_index("up", "/", -1)
+    folders = above.select(F.regexp_replace("up", "/?[^/]*$", "").alias("dir"), F.lit(1).alias("kind"), child.alias("name"), F.concat(F.lit("* ["), child, F.lit("]("), F.replace(child, F.lit(" "), F.lit("%20")), F.lit("/)")).alias("line"))
+    order = Window.partitionBy("dir").orderBy("kind", "name", "line")
+    return entries.unionByName(folders).select("dir", F.row_number().over(order).alias("place"), "line")
+
+
+def write_catalogs(pages: DataFrame, path: str) -> None:
+    """One text file a directory, below dir=<directory>; a directory's entries are one sorted partition's rows."""
+    rows = catalog_rows(pages)
+    rows.repartition("dir").sortWithinPartitions("dir", "place").select("dir", F.col("line").alias("value")).write.mode("overwrite").partitionBy("dir").text(path)
