@@ -6,8 +6,9 @@ tests ask whether it looks random there: chi-squared uniformity over the alphabe
 and below the alphabet's middle, and serial correlation of neighbours. Fisher's method makes one statistic of them.
 The tests depend on each other, so the statistic is not read as a probability but set against ordinary text.
 
-Every document gives one decoy per length class, letters of that length from its ordinary text, which is tested under
-each group of encodings. The p-value of a candidate is the share of decoys of its length class that look as random or
+Every document gives one decoy, letters from its ordinary text, of the length class that its own length picks, which is
+tested under each group of encodings: as it is for letters, folded onto the sixteen digits for hexadecimal, so that the
+null keeps a text's uneven and dependent letters in every alphabet. The p-value of a candidate is the share of decoys of its length class that look as random or
 more under its group of encodings (classes with fewer than LEAST_DECOYS are pooled with their neighbours). Benjamini-Hochberg over all candidates of all documents then finds
 the largest p-value at which the expected share of false reports is FALSE_SHARE or less.
 
@@ -146,11 +147,15 @@ def _tested(start: int, end: int, value: str) -> dict | None:
     return {"start": start, "end": end, "cls": 3 * length_class(len(value)) + (GROUPS.get(found[0], 2) if found else 2), "bin": bin_of(randomness(value, found))}
 
 
+_BY_NAME = {name: (name, index) for name, _, index in _SETS}
+#: Letters onto hexadecimal digits, the later ones again from 0 on.
+_FOLD = str.maketrans({chr(97 + i): "0123456789abcdef"[i % 16] for i in range(26)})
+
+
 def _decoy(letters: str) -> list[float]:
     """The statistic of ordinary letters under each group of encodings."""
     low = letters.lower()
-    hexa, lower, wide = (next((name, index) for name, _, index in _SETS if name == x) for x in ("hex", "lower", "base62"))
-    return [randomness(low, hexa) if all(c in hexa[1] for c in low) else 0.0, randomness(low, lower), randomness(letters, wide)]
+    return [randomness(low.translate(_FOLD), _BY_NAME["hex"]), randomness(low, _BY_NAME["lower"]), randomness(letters, _BY_NAME["base62"])]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[dict]]:
@@ -168,10 +173,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict],
         if covered <= m.start() and not m.group().isdigit():
             found.append(_tested(*m.span(), m.group()))
     plain = NOT_LETTERS.sub("", text)
-    for cls, n in enumerate(LENGTHS):
-        if len(plain) >= n:
-            at = (len(text) * 7919 + cls * 104729) % (len(plain) - n + 1)
-            decoys += [{"cls": 3 * cls + group, "bin": bin_of(x)} for group, x in enumerate(_decoy(plain[at : at + n]))]
+    if len(plain) >= SHORTEST:
+        fits = sum(len(plain) >= n for n in LENGTHS)
+        cls = len(text) * 104729 % 1000003 % fits
+        at = (len(text) * 7919 + cls) % (len(plain) - LENGTHS[cls] + 1)
+        decoys += [{"cls": 3 * cls + group, "bin": bin_of(x)} for group, x in enumerate(_decoy(plain[at : at + LENGTHS[cls]]))]
     return [x for x in found if x], decoys
 
 
