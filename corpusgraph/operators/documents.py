@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import BLOCK, cut, in_blocks, join_hot
 from ..functions.text import clean_path, hrefs
 
 Findings = DataFrame  # path, rule, severity, message
@@ -152,3 +153,33 @@ def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(path) of pages to which no link(path, target) leads; logs lend no links, catalogs do."""
     lent = links.filter(_base() != "log.md").select(F.col("target").alias("path")).distinct()
     return pages.filter(~_base().isin(*SCAFFOLD)).select("path").join(lent, "path", "left_anti")
+
+
+#: Whole words of a quote by which it is looked up.
+ANCHOR = 3
+
+
+def containing(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where documents(doc_id, text) hold quotes(item_id, quote) word for word.
+
+    A text that holds a quote has the words inside the quote (its first and last may be parts of words there) between
+    blanks, so quotes and texts meet by ANCHOR such words, the quote's first ones; what meets is then held against the
+    whole quote. Quotes with fewer words inside are held against all texts, in blocks.
+    """
+    words = lambda c: F.split(c, "[ \\t\\n\\r\\f\\x0b]+")
+    rows = quotes.filter("quote IS NOT NULL").withColumn("w", words(F.col("quote")))
+    short = F.size("w") < ANCHOR + 2
+    long = cut(rows.filter(~short).select("item_id", "quote", F.array_join(F.slice("w", F.lit(2), F.lit(ANCHOR)), " ").alias("anchor")), "quotes")
+    split = docs.select("doc_id", words(F.col("text")).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: F.array_join(F.slice("w", i, F.lit(ANCHOR)), " "))
+    places = split.filter(F.size("w") >= ANCHOR).select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    asked = long.select("anchor").distinct()
+    small = asked.count() <= BLOCK
+    met = places.join(F.broadcast(asked) if small else asked, "anchor", "left_semi")
+    pairs = join_hot(met, long.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "quote")).alias("q")), "anchor").select("doc_id", F.explode("q").alias("q")).select("doc_id", "q.item_id", "q.quote")
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("quote"))).select("item_id", "doc_id").distinct()
+    rest = cut(rows.filter(short).select("item_id", "quote"), "quotes")
+    if rest.isEmpty():
+        return found
+    held = in_blocks(rest, "item_id", lambda block: docs.join(F.broadcast(block), F.contains(F.col("text"), F.col("quote"))).select("item_id", "doc_id"))
+    return found.unionByName(held)

@@ -155,3 +155,31 @@ def chunks(docs: DataFrame, id_col: str, text: str, size: int = 1200) -> DataFra
     return docs.select(id_col, F.posexplode(fold).alias("chunk", "text"))
 
 
+
+
+def next_releases(tags: DataFrame, bump: str) -> DataFrame:
+    """(repo, next, beta) of tags(repo, tag): the version after the greatest plain one by bump (major, minor, patch), 1.0.0 where there is none, and the next beta towards it."""
+    if bump not in ("major", "minor", "patch"):
+        raise ValueError(f"no bump: {bump}")
+    number = "(0|[1-9][0-9]*)"
+    plain, beta = rf"^v{number}\.{number}\.{number}$", rf"^v({number}\.{number}\.{number})-beta\.([1-9][0-9]*)$"
+    at = lambda i: F.regexp_extract("tag", plain, i).try_cast("int")
+    best = tags.groupBy("repo").agg(F.max(F.when(F.col("tag").rlike(plain), F.array(at(1), at(2), at(3)))).alias("v"))
+    a, b, c = (F.col("v")[i] for i in range(3))
+    bumped = {"major": (a + 1, F.lit(0), F.lit(0)), "minor": (a, b + 1, F.lit(0)), "patch": (a, b, c + 1)}[bump]
+    named = best.select("repo", F.when(F.col("v").isNull(), "1.0.0").otherwise(F.concat_ws(".", *[x.cast("string") for x in bumped])).alias("next"))
+    betas = tags.filter(F.col("tag").rlike(beta)).select("repo", F.regexp_extract("tag", beta, 1).alias("next"), F.regexp_extract("tag", beta, 5).try_cast("int").alias("k")).groupBy("repo", "next").agg(F.max("k").alias("k"))
+    return named.join(betas, ["repo", "next"], "left").select("repo", "next", F.concat("next", F.lit("-beta."), (F.coalesce("k", F.lit(0)) + 1).cast("string")).alias("beta"))
+
+
+def quality_report(outcomes: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((kind, questions, hits, median of hits, median of misses), (id, kind, found)) of outcomes(id, kind, rank, ms).
+
+    A hit has rank 1 to most; kind `all` counts every question. The second table lists the misses: `rank n` or `not found`.
+    """
+    hit = (F.col("rank") >= 1) & (F.col("rank") <= most)
+    rows = outcomes.withColumn("hit", F.coalesce(hit, F.lit(False)))
+    both = rows.unionByName(rows.withColumn("kind", F.lit("all")))
+    report = both.groupBy("kind").agg(F.count("*").alias("questions"), F.count_if("hit").alias("hits"), F.median(F.when(F.col("hit"), F.col("ms"))).alias("hit_ms"), F.median(F.when(~F.col("hit"), F.col("ms"))).alias("miss_ms"))
+    misses = rows.filter("NOT hit").select("id", "kind", F.when(F.col("rank") > 0, F.concat(F.lit("rank "), F.col("rank").cast("string"))).otherwise("not found").alias("found"))
+    return report, misses

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import version
-from ..operators import reports
-from ..checkpoint import in_blocks
+from ..operators import documents, reports
 from .registry import Tables, query
 
 COV = "cov AS MATERIALIZED (SELECT path, line, CAST(sum(hits) AS BIGINT) AS hits FROM c_cov GROUP BY ALL)"
@@ -112,14 +111,12 @@ RANKS = "SELECT q_hits.item_id, expected, coalesce(k, 0) AS rank FROM q_hits LEF
 
 @query("j46_expected_rank", RANKS)
 def expected_rank(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Blocks of whole questions are broadcast and held against all documents.
     docs = t.documents.select("doc_id", "text", "n_chars")
-    hits = in_blocks(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id", lambda block: docs.join(F.broadcast(block), F.expr("contains(text, question)")).select("item_id", "doc_id", "n_chars"))
-    ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id"))).select("item_id", F.col("doc_id").alias("expected"), "k")
-    expected = hits.groupBy("item_id").agg(F.min("doc_id").alias("expected"))
-    return expected.join(ranked, ["item_id", "expected"], "left").select("item_id", "expected", F.coalesce("k", F.lit(0)).alias("rank"))
+    hits = documents.containing(t.benchmark.select("item_id", F.col("text").alias("quote")), docs).join(docs.select("doc_id", "n_chars"), "doc_id")
+    # What a question's row holds is its expected document and the least ones before it, so no question is sorted whole.
+    expected = hits.groupBy("item_id").agg(F.min("doc_id").alias("expected"), F.min_by("n_chars", "doc_id").alias("size"))
+    ahead = hits.join(F.broadcast(expected), "item_id").filter("n_chars < size OR (n_chars = size AND doc_id <= expected)")
+    return ahead.groupBy("item_id", "expected").agg(F.count("*").cast("int").alias("rank"))
 
 
 @query("a18_search_quality", f"WITH e AS ({RANKS}), r AS (SELECT CAST(b.item_id % 4 AS VARCHAR) AS kind, coalesce(e.rank, 0) AS rank FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id) SELECT kind, count(*) AS questions, count(*) FILTER (rank BETWEEN 1 AND 3) AS hits FROM (SELECT kind, rank FROM r UNION ALL SELECT 'all', rank FROM r) GROUP BY kind")
@@ -165,3 +162,30 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS IN
 @query("w20_chunks", CHUNKS)
 def chunked(t: Tables) -> DataFrame:
     return reports.chunks(t.documents, "doc_id", "text").select("doc_id", "chunk", F.length("text").alias("size"), F.md5("text").alias("digest"))
+
+
+TAGS = "SELECT p_brand AS repo, 'v' || CAST(p_size % 7 AS VARCHAR) || '.' || CAST(p_partkey % 13 AS VARCHAR) || '.' || CASE WHEN p_partkey % 5 = 0 THEN '0' ELSE '' END || CAST(p_partkey % 29 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '-beta.' || CAST(p_partkey % 17 AS VARCHAR) WHEN p_partkey % 7 = 0 THEN '-rc1' ELSE '' END AS tag FROM part UNION ALL SELECT p_brand, 'v6.13.0-beta.' || CAST(p_partkey % 40 AS VARCHAR) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'empty', 'v01.2.3'"
+
+
+def tags(t: Tables) -> DataFrame:
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    end = F.when(k % 3 == 0, F.concat(F.lit("-beta."), text(k % 17))).when(k % 7 == 0, "-rc1").otherwise("")
+    one = t.part.select(F.col("p_brand").alias("repo"), F.concat(F.lit("v"), text(F.col("p_size") % 7), F.lit("."), text(k % 13), F.lit("."), F.when(k % 5 == 0, "0").otherwise(""), text(k % 29), end).alias("tag"))
+    two = t.part.filter(k % 2 == 0).select(F.col("p_brand").alias("repo"), F.concat(F.lit("v6.13.0-beta."), text(k % 40)).alias("tag"))
+    return one.unionByName(two).unionByName(t.spark.range(1).select(F.lit("empty").alias("repo"), F.lit("v01.2.3").alias("tag")))
+
+
+@query("a24_next_releases", "WITH t AS (" + TAGS + r"""), n AS (SELECT repo, max(CASE WHEN regexp_full_match(tag, 'v(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)') THEN CAST(string_split(substr(tag, 2), '.') AS INT[]) END) AS v FROM t GROUP BY repo), m AS (SELECT repo, CASE WHEN v IS NULL THEN '1.0.0' ELSE CAST(v[1] AS VARCHAR) || '.' || CAST(v[2] + 1 AS VARCHAR) || '.0' END AS next FROM n)
+SELECT repo, next, next || '-beta.' || CAST(coalesce((SELECT max(CAST(split_part(tag, '-beta.', 2) AS INT)) FROM t WHERE t.repo = m.repo AND starts_with(tag, 'v' || next || '-beta.') AND NOT contains(tag, 'beta.0')), 0) + 1 AS VARCHAR) AS beta FROM m""")
+def next_releases(t: Tables) -> DataFrame:
+    return reports.next_releases(tags(t), "minor")
+
+
+@query("a18_quality_report", "WITH o AS (SELECT doc_id AS id, lang AS kind, doc_id % 5 AS rank, n_chars / 10.0 AS ms FROM documents), b AS (SELECT * FROM o UNION ALL SELECT id, 'all', rank, ms FROM o) SELECT kind, count(*) AS questions, count(*) FILTER (rank BETWEEN 1 AND 3) AS hits, median(ms) FILTER (rank BETWEEN 1 AND 3) AS hit_ms, median(ms) FILTER (rank NOT BETWEEN 1 AND 3) AS miss_ms FROM b GROUP BY kind")
+def quality_report(t: Tables) -> DataFrame:
+    return reports.quality_report(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), (F.col("doc_id") % 5).alias("rank"), (F.col("n_chars") / 10.0).alias("ms")))[0]
+
+
+@query("a18_misses", "SELECT doc_id AS id, lang AS kind, CASE WHEN doc_id % 5 = 4 THEN 'rank 4' ELSE 'not found' END AS found FROM documents WHERE doc_id % 5 IN (0, 4)")
+def misses(t: Tables) -> DataFrame:
+    return reports.quality_report(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), (F.col("doc_id") % 5).alias("rank"), (F.col("n_chars") / 10.0).alias("ms")))[1]

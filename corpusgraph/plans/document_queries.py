@@ -80,7 +80,8 @@ def cases(t: Tables) -> DataFrame:
     "SELECT item_id AS claim, CASE WHEN d.text IS NULL THEN 'no such segment' WHEN trim(b.text) = '' THEN 'empty quote' WHEN NOT contains(d.text, b.text) THEN 'quote not found' END AS complaint FROM benchmark b LEFT JOIN q_hits USING (item_id) LEFT JOIN documents d ON d.doc_id = coalesce(expected, item_id * 61)",
 )
 def evidence(t: Tables) -> DataFrame:
-    claims = t.benchmark.join(t.q_hits, "item_id", "left").select(F.col("item_id").alias("claim"), F.coalesce("expected", F.col("item_id") * 61).alias("segment"), F.col("text").alias("quote"))
+    hits = documents.containing(t.benchmark.select("item_id", F.col("text").alias("quote")), t.documents.select("doc_id", "text")).groupBy("item_id").agg(F.min("doc_id").alias("expected"))
+    claims = t.benchmark.join(hits, "item_id", "left").select(F.col("item_id").alias("claim"), F.coalesce("expected", F.col("item_id") * 61).alias("segment"), F.col("text").alias("quote"))
     return documents.check_evidence(claims, t.documents.select(F.col("doc_id").alias("segment"), "text"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import case_id, plain_name, span, under
-from ..operators import drift, graph, impact
+from ..checkpoint import cut, shared_dir
+from ..operators import drift, graph, impact, snapshots
 from .registry import Tables, query
 
 WALK = "(SELECT * FROM g_edges WHERE relation <> 'contains')"
@@ -215,13 +218,37 @@ def skeleton(t: Tables) -> DataFrame:
     return impact.skeleton(t.g_nodes)
 
 
-@query("s3_validation", """SELECT 'source is no node' AS problem, source AS id, count(*) AS n FROM g_edges WHERE source NOT IN (SELECT id FROM g_nodes) GROUP BY source
-UNION ALL SELECT 'id twice', id, count(*) FROM g_nodes GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'hash missing', id, 1 FROM g_nodes WHERE body_hash IS NULL AND kind <> 'file'""")
+#: A graph with every kind of defect: nodes and edges of the whole graph, some of them broken.
+BROKEN = """bn AS (SELECT CASE WHEN orderkey % 97 = 0 THEN '' ELSE id END AS id, CASE WHEN orderkey % 89 = 0 THEN NULL ELSE path END AS path, CASE WHEN orderkey % 83 = 0 THEN '' ELSE kind END AS kind, CASE WHEN orderkey % 79 = 0 THEN NULL ELSE body_hash END AS body_hash FROM g_symbols UNION ALL SELECT id, path, kind, body_hash FROM g_symbols WHERE orderkey % 50 = 7
+UNION ALL SELECT path, path, 'file', 'h' FROM g_files WHERE custkey % 6 <> 1), be AS (SELECT CASE WHEN line = 5 AND confidence = 'inferred' THEN NULL ELSE source END AS source, CASE WHEN line = 4 AND confidence = 'inferred' THEN '' ELSE target END AS target, CASE WHEN line = 3 AND confidence = 'inferred' THEN 'odd' ELSE relation END AS relation FROM g_edges)"""
+
+
+def broken_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    views = {v: getattr(t, v) for v in ("g_symbols", "g_files", "g_edges")}
+    part = lambda name: t.spark.sql(f"WITH {BROKEN} SELECT * FROM {name}".replace("FROM g_symbols", "FROM {g_symbols}").replace("FROM g_files", "FROM {g_files}").replace("FROM g_edges", "FROM {g_edges}"), **views)
+    return cut(part("bn"), "nodes"), cut(part("be"), "edges")  # each is read several times
+
+
+@query(
+    "s3_validation",
+    f"""WITH {BROKEN}, p AS (SELECT CASE WHEN id = '' THEN 'node without id' WHEN path IS NULL THEN 'node without path' WHEN kind = '' THEN 'node without kind' WHEN body_hash IS NULL THEN 'node without hash' END AS problem, id FROM bn),
+q AS (SELECT CASE WHEN source IS NULL THEN 'edge without source' WHEN target = '' THEN 'edge without target' WHEN relation = 'odd' THEN 'unknown relation' END AS problem, source, target, relation FROM be)
+SELECT 'unknown version' AS problem, NULL AS id, 1 AS n UNION ALL SELECT 'no stamp', NULL, 1 UNION ALL SELECT problem, id, count(*) FROM p WHERE problem IS NOT NULL GROUP BY ALL UNION ALL SELECT 'id twice', id, count(*) FROM bn WHERE id <> '' GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT problem, CASE problem WHEN 'unknown relation' THEN relation WHEN 'edge without target' THEN source ELSE target END, count(*) FROM q WHERE problem IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'source is no node', source, count(*) FROM be WHERE source IS NOT NULL AND source NOT IN (SELECT id FROM bn) GROUP BY source""",
+)
 def validation(t: Tables) -> DataFrame:
-    one = t.g_edges.join(t.g_nodes.select(F.col("id").alias("source")), "source", "left_anti").groupBy(F.lit("source is no node").alias("problem"), F.col("source").alias("id")).agg(F.count("*").alias("n"))
-    two = t.g_nodes.groupBy(F.lit("id twice").alias("problem"), "id").agg(F.count("*").alias("n")).filter("n > 1")
-    three = t.g_nodes.filter("body_hash IS NULL AND kind <> 'file'").select(F.lit("hash missing").alias("problem"), "id", F.lit(1).cast("long").alias("n"))
-    return one.unionByName(two).unionByName(three)
+    nodes, edges = broken_graph(t)
+    meta = t.spark.range(1).select(F.lit(2).alias("version"), F.lit(" ").alias("extractor"))
+    return snapshots.validate(nodes, edges, meta, 3)
+
+
+@query("s1_snapshot", "SELECT kind, count(*) AS n, count(DISTINCT path) AS paths, (SELECT count(*) FROM g_edges) AS edges FROM g_nodes GROUP BY kind")
+def snapshot(t: Tables) -> DataFrame:
+    folder = f"{shared_dir(t.spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    snapshots.write(t.g_nodes, t.g_edges, t.spark.range(1).select(F.lit(3).alias("version"), F.lit("x").alias("extractor")), folder)
+    nodes, edges, _ = snapshots.read(t.spark, folder)
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths")).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
 
 
 # Drift.
