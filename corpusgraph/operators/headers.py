@@ -85,8 +85,8 @@ def _rule(rule: str, severity: str, message: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def header_findings(pages: DataFrame, version_key: str) -> Findings:
-    """(path, rule, severity, message) of what headers break, in one scan; version_key: the one key that a root catalog may carry."""
+def header_findings(pages: DataFrame, version_key: str, *further: str) -> Findings:
+    """(further, path, rule, severity, message) of what headers break, in one scan; version_key: the one key that a root catalog may carry."""
     base = F.substring_index("path", "/", -1)
     none = F.array().cast("array<struct<rule:string,severity:string,message:string>>")
     nested = F.when(F.col("path") != "index.md", F.array(_rule("index-frontmatter-misplaced", "error", F.lit("only the root catalog may have a header"))))
@@ -99,7 +99,7 @@ def header_findings(pages: DataFrame, version_key: str) -> Findings:
         F.when((base == "index.md") & F.col("has_header"), F.coalesce(nested, keys)).otherwise(none),
         F.coalesce(ids, none),
     )
-    return pages.select("path", F.explode(found).alias("f")).select("path", "f.rule", "f.severity", "f.message")
+    return pages.select(*further, "path", F.explode(found).alias("f")).select(*further, "path", "f.rule", "f.severity", "f.message")
 
 
 def entries(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audits, selectors
+from ..operators import audits, bundles, selectors
 from .registry import Tables, query
 
 ONE = "WITH f AS (SELECT file, name, min(id) AS t FROM k_defs GROUP BY ALL HAVING count(*) = 1), d AS (SELECT dir, name, min(id) AS t FROM k_defs GROUP BY ALL HAVING count(*) = 1)"
@@ -124,3 +124,62 @@ def questions(t: Tables) -> DataFrame:
     rows = t.documents.select(number(F.floor(d / 2)).alias("id"), F.when(d % 9 == 0, "").otherwise(F.col("lang")).alias("kind"), F.lit("why?").alias("question"), F.when(d % 7 == 0, F.concat(F.lit("gone"), number(d))).otherwise(number(d)).alias("target"), F.when(d % 5 == 0, "never said").otherwise(F.concat(F.lit("line  one "), number(d))).alias("evidence"))
     targets = t.documents.select(number(d).alias("target"), F.concat(F.lit("x line\n one\t"), number(d), F.lit(" y")).alias("text"))
     return audits.question_problems(rows, targets, {"en": 3, "de": 1})
+
+
+LINT_FILES = """files AS (SELECT source AS area, CASE WHEN doc_id % 10 = 0 THEN 'd' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '/index.md' ELSE 'd' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.md' END AS path, doc_id FROM documents),
+ln AS (SELECT area, path, doc_id, unnest(CASE WHEN doc_id % 10 = 0 THEN [CAST(doc_id + 20 AS VARCHAR) || '.md'] ELSE ['../d' || CAST((doc_id + 20) % 3 AS VARCHAR) || '/' || CAST(doc_id + 20 AS VARCHAR) || '.md', '/d' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.md'] END) AS link FROM files),
+lk AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'd' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '/' || link WHEN starts_with(link, '/') THEN substr(link, 2) ELSE substr(link, 4) END AS target FROM ln)"""
+
+
+@query(
+    "c8_lint",
+    f"""WITH {LINT_FILES}, k AS (SELECT area, path FROM files), pages AS (SELECT * FROM files WHERE doc_id % 10 <> 0)
+SELECT area, path, 'dead-link' AS rule, 'error' AS severity, link AS message FROM lk WHERE doc_id % 10 <> 0 AND (area, target) NOT IN (SELECT (area, path) FROM k)
+UNION ALL SELECT area, path, 'orphan', 'note', '' FROM pages WHERE (area, path) NOT IN (SELECT (area, target) FROM lk WHERE path <> target)
+UNION ALL SELECT area, path, 'conflict-count', 'error', '1' FROM pages WHERE doc_id % 7 = 0
+UNION ALL SELECT area, path, 'index-frontmatter-misplaced', 'error', 'only the root catalog may have a header' FROM files WHERE doc_id % 20 = 0""",
+)
+def bundle_lint(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    index = d % 10 == 0
+    path = F.when(index, F.concat(F.lit("d"), s(d % 3), F.lit("/"), s(d), F.lit("/index.md"))).otherwise(F.concat(F.lit("d"), s(d % 3), F.lit("/"), s(d), F.lit(".md")))
+    listed = F.concat(F.when(d % 20 == 0, "---\nv: 1\n---\n").otherwise(""), F.lit("* [a]("), s(d + 20), F.lit(".md)"))
+    body = F.concat(F.lit("[a](../d"), s((d + 20) % 3), F.lit("/"), s(d + 20), F.lit(".md) [b](/d"), s(d % 3), F.lit("/"), s(d), F.lit(".md) https://x"), F.when(d % 7 == 0, "\n> [!conflict] x\n```\n> [!conflict] y\n").otherwise(""))
+    files = t.documents.select(F.col("source").alias("area"), path.alias("path"), F.when(index, listed).otherwise(body).alias("text"))
+    return bundles.lint(files, "v")
+
+
+@query("c33_unlisted_areas", "WITH p AS (SELECT DISTINCT source AS post FROM documents WHERE source LIKE '%1'), a AS (SELECT DISTINCT source AS scope FROM documents WHERE source NOT LIKE '%4'), l AS (SELECT DISTINCT a.source AS post, b.scope FROM documents a JOIN a b ON length(a.source) = length(b.scope)) SELECT post AS signpost, scope AS area FROM p, a WHERE post <> scope AND post IN (SELECT scope FROM a) AND (post, scope) NOT IN (SELECT (post, scope) FROM l)")
+def unlisted_areas(t: Tables) -> DataFrame:
+    source = F.col("source")
+    areas = t.documents.select(source.alias("scope"), F.when(~source.endswith("4"), F.concat(F.lit("Wiki/"), source)).alias("wiki"), source.endswith("1").alias("signpost")).distinct()
+    named = areas.filter("wiki IS NOT NULL").select(F.col("scope").alias("other"), F.length("scope").alias("n"))
+    way = F.when(F.col("n") == 4, F.concat(F.lit("WIKI/"), "other", F.lit("/"))).otherwise(F.concat(F.lit("hub/"), "other", F.lit(".md")))
+    links = areas.select("scope", F.length("scope").alias("n")).join(named, "n").select("scope", way.alias("target"))
+    return bundles.unlisted_areas(links, areas, "Hub")
+
+
+@query("g14_layers", "WITH RECURSIVE s AS (SELECT source, target, source % 3 AS kind FROM t_links), r AS (SELECT doc_id AS start, doc_id AS file, 0 AS layer FROM documents WHERE doc_id % 100 = 0 UNION SELECT r.start, s.target, r.layer + 1 FROM r JOIN s ON s.source = r.file AND s.kind = 0 WHERE r.layer < 200) SELECT start, file, CAST(min(layer) AS INT) AS layer FROM r GROUP BY ALL")
+def link_layers(t: Tables) -> DataFrame:
+    links = t.t_links.withColumn("kind", F.when(F.col("source") % 3 == 0, "forward").otherwise("use"))
+    return bundles.layers(t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("start")), links, "forward")
+
+
+@query("x12_stale_passes", "SELECT CAST(user_id AS VARCHAR) AS area, max(ts) AS at FROM (SELECT user_id, date_trunc('second', ts) - INTERVAL 1 HOUR AS ts FROM events WHERE event_id % 4 <> 0) GROUP BY user_id HAVING max(ts) <= TIMESTAMP '2024-01-30 00:00:00'")
+def stale_passes(t: Tables) -> DataFrame:
+    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    rows = t.events.select(F.col("user_id").cast("string").alias("area"), F.concat(iso, F.when(F.col("event_id") % 4 == 0, "").otherwise("+01:00")).alias("at"))
+    return bundles.stale_passes(rows, F.lit("2024-01-31 00:00:00").cast("timestamp")).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("x3_due_roots", "SELECT CAST(c_custkey AS VARCHAR) AS root FROM customer LEFT JOIN (SELECT user_id, max(ts) AS ran FROM events GROUP BY user_id) ON user_id = c_custkey WHERE ran IS NULL OR ran <= TIMESTAMP '2024-01-30 18:00:00'")
+def due_roots(t: Tables) -> DataFrame:
+    runs = t.events.select(F.col("user_id").cast("string").alias("root"), F.col("ts").cast("timestamp").alias("at"))
+    return bundles.due(t.customer.select(F.col("c_custkey").cast("string").alias("root")), runs, F.lit("2024-01-31 00:00:00").cast("timestamp"), 6 * 3600)
+
+
+@query("u1_union", ONE + ", a AS (SELECT raw_id, coalesce(f.t, d.t) AS target, 'value' AS language FROM k_raw r LEFT JOIN f ON f.file = r.file AND f.name = r.name LEFT JOIN d ON d.dir = r.dir AND d.name = r.name AND r.file NOT IN (SELECT file FROM k_files WHERE ends_with(package, '_test')) WHERE coalesce(f.t, d.t) IS NOT NULL), b AS (SELECT raw_id, target, 'selector' AS language FROM (" + SELECTED + " SELECT raw_id, target FROM s)) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT raw_id, NULL, NULL FROM k_raw WHERE raw_id NOT IN (SELECT raw_id FROM a UNION SELECT raw_id FROM b)")
+def united_edges(t: Tables) -> DataFrame:
+    edges, left = bundles.union_edges({"value": values(t).select("raw_id", "target"), "selector": selected(t)}, t.k_raw.select("raw_id"))
+    return edges.unionByName(left, allowMissingColumns=True)
