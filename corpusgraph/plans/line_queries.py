@@ -119,10 +119,10 @@ def code_links(t: Tables) -> DataFrame:
     "p12_ignored",
     r"""WITH f AS (SELECT row_number() OVER () AS r, path, tracked FROM i_files),
 p AS (SELECT level, base, line_no, starts_with(line, '!') AS negate, ends_with(line, '/') AS dir_only, regexp_replace(regexp_replace(line, '^!', ''), '/$', '') AS l FROM i_rules WHERE NOT starts_with(line, '#')),
-rx AS (SELECT level, base, line_no, negate, dir_only, CASE WHEN contains(l, '/') THEN '^' || CASE WHEN starts_with(l, '/') THEN '' ELSE '/' END ELSE '(^|/)' END || replace(replace(replace(replace(replace(l, '.', '[.]'), '/**/', '\x01'), '*', '[^/]*'), '?', '[^/]'), '\x01', '/([^/]+/)*') || '$' AS re FROM p),
+rx AS (SELECT level, base, line_no, negate, dir_only, regexp_extract(l, '^/?([A-Za-z0-9]*)', 1) AS lit, CASE WHEN contains(l, '/') THEN '^' || CASE WHEN starts_with(l, '/') THEN '' ELSE '/' END ELSE '(^|/)' END || replace(replace(replace(replace(replace(l, '.', '[.]'), '/**/', '\x01'), '*', '[^/]*'), '?', '[^/]'), '\x01', '/([^/]+/)*') || '$' AS re FROM p),
 u AS (SELECT r, tracked, array_to_string(string_split(path, '/')[1:i], '/') AS unit, i < len(string_split(path, '/')) AS is_dir FROM f, unnest(range(1, 9)) AS v(i) WHERE i <= len(string_split(path, '/'))),
 d AS (SELECT DISTINCT unit, is_dir FROM u),
-m AS (SELECT unit, is_dir, arg_max(negate, {'l': level, 'b': length(base), 'n': line_no}) AS negate FROM d JOIN rx ON (base = '' OR starts_with(unit, base || '/')) AND (is_dir OR NOT dir_only) AND regexp_matches(CASE WHEN base = '' THEN '/' || unit ELSE substr(unit, length(base) + 1) END, re) GROUP BY ALL)
+m AS (SELECT unit, is_dir, arg_max(negate, {'l': level, 'b': length(base), 'n': line_no}) AS negate FROM d JOIN rx ON (base = '' OR starts_with(unit, base || '/')) AND (is_dir OR NOT dir_only) AND CASE WHEN contains(unit, lit) THEN regexp_matches(CASE WHEN base = '' THEN '/' || unit ELSE substr(unit, length(base) + 1) END, re) ELSE false END GROUP BY ALL)
 SELECT path, tracked, bool_or(coalesce(NOT negate, false)) AND NOT tracked AS ignored FROM f JOIN u USING (r, tracked) LEFT JOIN m USING (unit, is_dir) GROUP BY r, path, tracked""".replace("\\x01", "<>"),
 )
 def ignored_files(t: Tables) -> DataFrame:
