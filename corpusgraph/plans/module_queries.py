@@ -26,7 +26,9 @@ v0 AS MATERIALIZED (SELECT file, name, id FROM st WHERE next IS NULL AND id IS N
 v1 AS MATERIALIZED (SELECT * FROM v0 UNION ALL SELECT d.file, d.name, min(v.id) FROM d JOIN v0 v ON v.file = d.f AND v.name = d.n WHERE layer = 1 GROUP BY d.file, d.name HAVING count(DISTINCT v.id) = 1),
 v2 AS MATERIALIZED (SELECT * FROM v1 UNION ALL SELECT d.file, d.name, min(v.id) FROM d JOIN v1 v ON v.file = d.f AND v.name = d.n WHERE layer = 2 GROUP BY d.file, d.name HAVING count(DISTINCT v.id) = 1),
 t3 AS MATERIALIZED (SELECT DISTINCT d.file, d.name, v.id FROM d JOIN v2 v ON v.file = d.f AND v.name = d.n WHERE layer = 3),
-t4 AS (SELECT * FROM t3 UNION SELECT d.file, d.name, t3.id FROM d JOIN t3 ON t3.file = d.f AND t3.name = d.n WHERE layer = 3),
+ring AS MATERIALIZED (SELECT d.file, d.name, d.f, d.n, EXISTS (SELECT 1 FROM d b WHERE b.file = d.f AND b.name = d.n AND b.f = d.file AND b.n = d.name) AS mutual FROM d WHERE layer = 3),
+one3 AS (SELECT file, name, min(id) AS id FROM t3 GROUP BY ALL HAVING count(DISTINCT id) = 1),
+t4 AS (SELECT * FROM t3 UNION SELECT r.file, r.name, t3.id FROM ring r JOIN t3 ON t3.file = r.f AND t3.name = r.n WHERE mutual UNION SELECT r.file, r.name, o.id FROM ring r JOIN one3 o ON o.file = r.f AND o.name = r.n WHERE NOT mutual),
 v3 AS MATERIALIZED (SELECT * FROM v2 UNION ALL SELECT file, name, min(id) FROM t4 GROUP BY ALL HAVING count(DISTINCT id) = 1)
 SELECT k.file, k.name, v3.id FROM k JOIN ends ON ends.file = k.file AND ends.name = k.name LEFT JOIN v3 ON v3.file = ends.f AND v3.name = ends.n
 UNION ALL SELECT k.file, k.name, NULL FROM k WHERE (file, name) NOT IN (SELECT (file, name) FROM ends)"""
