@@ -46,10 +46,19 @@ def bridge(uses: DataFrame, offers: DataFrame, existing: DataFrame, all_targets:
     An empty or null scope offers to all files. Unless all_targets, a use with several offers gets none.
     Existing links win; of repeated links the least line stays.
     """
-    hit = uses.join(offers, ["namespace", "name"]).filter(F.col("scope").isNull() | (F.size("scope") == 0) | F.array_contains("scope", F.col("file")))
-    if not all_targets:
-        single = hit.groupBy("source", "namespace", "name").agg(F.count_distinct("target").alias("n")).filter("n = 1").drop("n")
-        hit = hit.join(single, ["source", "namespace", "name"], "left_semi")
+    wide = F.col("scope").isNull() | (F.size("scope") == 0)
+    if all_targets:
+        hit = uses.join(offers, ["namespace", "name"]).filter(wide | F.array_contains("scope", F.col("file")))
+    else:
+        # What a use sees is one target if the least and the greatest are the same; so offers fold to one row per name and
+        # file before they meet the uses, and a name that many use and many offer is no product of the two.
+        ends = lambda name: (F.min("target").alias(f"{name}_least"), F.max("target").alias(f"{name}_most"))
+        everywhere = offers.filter(wide).groupBy("namespace", "name").agg(*ends("wide"))
+        scoped = offers.filter(~wide).select("target", "namespace", "name", F.explode("scope").alias("file")).groupBy("namespace", "name", "file").agg(*ends("own"))
+        seen = uses.join(everywhere, ["namespace", "name"], "left").join(scoped, ["namespace", "name", "file"], "left")
+        seen = seen.select("source", "namespace", "name", "line", F.least("wide_least", "own_least").alias("least"), F.greatest("wide_most", "own_most").alias("most")).filter("least IS NOT NULL")
+        single = seen.groupBy("source", "namespace", "name").agg(F.min("least").alias("target"), F.max("most").alias("most"), F.min("line").alias("line"))
+        hit = single.filter("target = most").select("source", "target", "line")
     return hit.join(existing.select("source", "target"), ["source", "target"], "left_anti").groupBy("source", "target").agg(F.min("line").alias("line"))
 
 
