@@ -43,6 +43,15 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     return rows.select("level", "base", "line_no", "negate", "dir_only", regex.alias("regex"))
 
 
+def last_rules(rules: DataFrame) -> DataFrame:
+    """The rules that can decide: of equal patterns of one rule file only the last, since all of them fit the same paths.
+
+    `literal` is what a fitting path holds at least: the pattern's plain characters in front.
+    """
+    last = rules.groupBy("level", "base", "regex", "dir_only").agg(F.max(F.struct("line_no", "negate")).alias("last"))
+    return last.select("level", "base", "last.line_no", "last.negate", "dir_only", "regex", F.regexp_extract("regex", r"^\^?([/A-Za-z0-9_-]*)(?![*+?{])", 1).alias("literal"))
+
+
 def ignored(files: DataFrame, rules: DataFrame, path: str = "path", tracked: str | None = None) -> DataFrame:
     """files with `ignored`.
 
@@ -54,10 +63,10 @@ def ignored(files: DataFrame, rules: DataFrame, path: str = "path", tracked: str
     own = files.select(F.col(path).alias("unit"), F.lit(False).alias("is_dir")).distinct()
     units = own.unionByName(files.select(F.explode(above).alias("unit"), F.lit(True).alias("is_dir")).distinct())
     # A rule file is one row; the rules that hold everywhere are its level's in the root.
-    sets = rules.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("level", "line_no", "regex", "negate", "dir_only"))).alias("rules"))
+    sets = last_rules(rules).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("level", "line_no", "regex", "negate", "dir_only", "literal"))).alias("rules"))
     met = join_hot(units.select("unit", "is_dir", F.explode(ancestors(F.col("unit"))).alias("base")), sets, "base")
     below = F.when(F.col("base") == "", F.concat(F.lit("/"), "unit")).otherwise(F.substr("unit", F.length("base") + 1))
-    fits = F.filter("rules", lambda r: (~r["dir_only"] | F.col("is_dir")) & F.regexp_like(F.col("below"), r["regex"]))
+    fits = F.filter("rules", lambda r: (~r["dir_only"] | F.col("is_dir")) & F.contains(F.col("below"), r["literal"]) & F.regexp_like(F.col("below"), r["regex"]))
     last = met.withColumn("below", below).select("unit", "is_dir", "base", F.get(fits, F.size(fits) - 1).alias("rule")).filter("rule IS NOT NULL")
     verdict = last.groupBy("unit", "is_dir").agg(F.max_by("rule.negate", F.struct("rule.level", F.length("base"), "rule.line_no")).alias("negate"))
     hidden = verdict.filter("NOT negate").select("unit", "is_dir")

@@ -1,6 +1,6 @@
 """Rows inside a job grow with its input: operators that once paired all with all."""
 
-from corpusgraph.operators import resolution, selectors
+from corpusgraph.operators import ignore, resolution, selectors
 from corpusgraph.plans import registry
 
 
@@ -41,3 +41,13 @@ def test_shared_lists_of_imports_resolve_like_imports_of_each_file(spark):
 def test_selectors_write_out_no_imports_per_file(spark):
     # 1,500 files import 45,000 names between them, in 50 lists.
     assert most_rows(registry.queries()["j5_selectors"](spark, "/root/testdata/sf0.01")) < 20_000
+
+
+def test_of_equal_ignore_rules_the_last_decides_and_no_other_is_tried(spark):
+    lines = [(2, "a", i, f"p{i % 4}.*" if i % 8 < 4 else f"!p{i % 4}.*") for i in range(402)] + [(2, "a", 500, "p3.*/"), (2, "a", 501, "q[0-9]?.md"), (2, "a", 502, "/deep/**/*.c")]
+    rules = ignore.parse_rules(spark.createDataFrame(lines, "level int, base string, line_no int, line string"))
+    last = {r.regex: (r.line_no, r.negate, r.literal) for r in ignore.last_rules(rules).filter("NOT dir_only").collect()}
+    assert len(last) == 6 and {v for v in last.values()} == {(400, False, "/p0"), (401, False, "/p1"), (398, True, "/p2"), (399, True, "/p3"), (501, False, "/q"), (502, False, "/deep")}
+    want = {"a/p0.x": True, "a/b/p1.y": True, "a/p2.x": False, "a/p3.x": False, "a/p3.d/z": True, "p0.x": False, "a/q1x.md": True, "a/qq.md": False, "a/deep/b/c/x.c": True, "a/deep/x.c": True}
+    files = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: r.ignored for r in ignore.ignored(files, rules).collect()} == want
