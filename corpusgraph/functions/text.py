@@ -25,12 +25,8 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of ASCII characters, A-Z folded; windows with other characters are skipped."""
-    # Zipping shifted arrays of characters is linear; substrings by position would not be.
-    letters = F.split(F.translate(text, _UPPER, _LOWER), "")
-    after = lambda i: F.slice(letters, F.lit(i), F.greatest(F.size(letters), F.lit(1)))
-    pairs = F.zip_with(letters, after(2), lambda a, b: F.concat(a, b))
-    triples = F.zip_with(pairs, after(3), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.filter(triples, lambda g: g.isNotNull() & (F.octet_length(g) == 3) & (F.length(g) == 3)))
+    # One pass of the regular expression over the text; it looks ahead at every character and takes three.
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"(?=([\x00-\x7F]{3}))"), F.lit(1)))
 
 
 def clean_path(path: Column) -> Column:

@@ -19,6 +19,9 @@ from ..functions.text import tokens
 from ..operators import search
 
 BUCKETS = 64
+#: Pieces of a bucket, by document, so that a frequent key's rows are not one task's.
+PIECES = 8
+PARTS = ("terms", "grams")
 #: Fixed value: most moved documents for which the old index still serves.
 OVERLAY = 200
 POSTINGS = "id long, field string, term string, tf long, bucket int"
@@ -41,6 +44,7 @@ def bucket_numbers(spark: SparkSession, keys: list[str]) -> list[int]:
 class Index:
     spark: SparkSession
     folder: str
+    parts: tuple[str, ...] = PARTS
 
     def manifest(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
@@ -65,22 +69,24 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
 
 def _bucketed(rows: DataFrame, key: str, path: str) -> None:
     rows = rows.withColumn("bucket", bucket(F.col(key)))
-    # A bucket may hold a frequent key's many rows: the range split may cut it, and the sort keeps keys together.
-    rows.repartitionByRange("bucket", key, "id").sortWithinPartitions("bucket", key, "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # By hash and not by range: for a range the rows would be made twice, once to find its bounds.
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PIECES))).sortWithinPartitions("bucket", key, "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write(docs: DataFrame, text: str, fields: dict[str, str], folder: str | None = None) -> Index:
+def write(docs: DataFrame, text: str, fields: dict[str, str], folder: str | None = None, parts: tuple[str, ...] = PARTS) -> Index:
     """Write the index of documents(id, ...) to a new folder: terms of each field, trigrams of the text unless it is binary.
 
-    The manifest is written last, so that a folder without one is no index.
+    parts: those to write, for a use that asks no others; a question to a part that is missing fails. The manifest is written last, so that a folder without one is no index.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    _bucketed(search.postings(docs, fields).select("id", "field", "term", "tf"), "term", f"{folder}/terms")
-    plain = docs.filter(~F.coalesce(F.contains(text, F.lit("\x00")), F.lit(False))).select("id", F.col(text).alias("text"))
-    _bucketed(search.gram_index(plain).select("id", "gram"), "gram", f"{folder}/grams")
+    if "terms" in parts:
+        _bucketed(search.postings(docs, fields).select("id", "field", "term", "tf"), "term", f"{folder}/terms")
+    if "grams" in parts:
+        plain = docs.filter(~F.coalesce(F.contains(text, F.lit("\x00")), F.lit(False))).select("id", F.col(text).alias("text"))
+        _bucketed(search.gram_index(plain).select("id", "gram"), "gram", f"{folder}/grams")
     describe(docs, text).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return Index(spark, folder)
+    return Index(spark, folder, parts)
 
 
 def moved(index: Index, docs: DataFrame, text: str) -> DataFrame:
@@ -102,7 +108,7 @@ def refresh(index: Index, docs: DataFrame, text: str, fields: dict[str, str], li
     moves = moved(index, docs, text)
     action = decision(moves, limit).first()["action"]
     if action == "rebuild":
-        return write(docs, text, fields), moves.limit(0), action
+        return write(docs, text, fields, parts=index.parts), moves.limit(0), action
     return index, moves, action
 
 

@@ -1,9 +1,14 @@
 """Rows inside a job grow with its input: operators that once paired all with all; and rounding as SQL does it."""
 
+import os
+
 import duckdb
+from pyspark.sql import functions as F
 
+from corpusgraph.functions.text import grams
 from corpusgraph.operators import ignore, reports, resolution, selectors
 from corpusgraph.plans import registry
+from corpusgraph.sources import index
 
 
 def most_rows(df):
@@ -62,3 +67,21 @@ def test_timings_round_as_sql_does(spark):
     con = duckdb.connect()
     con.register("t", rows.toPandas())
     assert got == dict(con.sql("SELECT name, CASE WHEN a > 0 AND b > 0 THEN round(a / b, 6) ELSE 0 END FROM t").fetchall())
+
+
+def test_grams_of_odd_texts_and_of_a_long_one_in_one_pass(spark):
+    texts = ["", "ab", "abc", "aBcD", "a\nb\x00c", "naïve text", "😀abc😀ab", "aaaaa", None, "x" * 5 + "ÄÖ" + "yz\r\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", grams(F.col("text")).alias("g")).collect()
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    for r in got:
+        want = None if r.text is None else sorted({g for g in (fold(r.text)[i : i + 3] for i in range(len(r.text) - 2)) if g.isascii()})
+        assert (r.g if r.g is None else sorted(r.g)) == want and (r.g is None or len(r.g) == len(set(r.g)))
+
+
+def test_an_index_holds_the_parts_that_are_asked(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"p{i}.md", f"the license number {i}") for i in range(40)], "id long, path string, text string")
+    made = index.write(docs, "text", {"path": "path", "body": "text"}, str(tmp_path / "i"), parts=("grams",))
+    assert not os.path.exists(tmp_path / "i/terms") and made.manifest().count() == 40
+    assert index.candidates(made, docs, "text", [["license"]]).count() == 40
+    later = docs.withColumn("text", F.concat("text", F.lit(" changed")))
+    assert index.refresh(made, later, "text", {"path": "path", "body": "text"}, limit=10)[0].parts == ("grams",)
