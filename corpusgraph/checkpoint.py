@@ -24,10 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's switch to remove the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
+    """df as a table in the shared folder; the shuffle files of the job that writes it go with its end."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP, None)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        if before is None:
+            df.sparkSession.conf.unset(CLEANUP)
+        else:
+            df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

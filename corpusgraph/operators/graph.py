@@ -55,10 +55,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
     Mass of nodes without edges is pooled and returned to the seeds. Parallel edges are summed into one weight
     per pair, so that a step moves one row per neighbouring pair.
     """
-    pairs = resolved_both(nodes, edges).groupBy("src", "dst").agg(F.count("*").alias("m"))
+    # Rounds move numbers of nodes, not their ids.
+    ids = cut(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("no")), "numbers")
+    known = walk_edges(edges).select("source", "target").join(ids.toDF("source", "src"), "source").join(ids.toDF("target", "dst"), "target")
+    both = known.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("pair"))
+    pairs = cut(both.groupBy("pair.src", "pair.dst").agg(F.count("*").alias("m")), "pairs")
     degree = pairs.groupBy("src").agg(F.sum("m").alias("degree"))
     adj = cut(pairs.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "adjacency")
-    ok = seeds.filter("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("weight").alias("weight"))
+    ok = seeds.filter("weight > 0").join(ids, "id").groupBy(F.col("no").alias("id")).agg(F.sum("weight").alias("weight"))
     base = cut(ok.crossJoin(F.broadcast(ok.agg(F.sum("weight").alias("total")))).select("id", (F.col("weight") / F.col("total")).alias("r")), "restart")
     # Links go both ways, so only seeds can hold mass without an edge; what they hold depends on their share of the restart alone.
     lone = base.join(adj.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
@@ -69,10 +73,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
         sent = rank.join(adj, rank["id"] == adj["src"]).select(F.col("dst").alias("id"), (F.col("mass") * F.col("share") * keep).alias("got"))
         back = base.select("id", (F.col("r") * (restart + keep * pooled)).alias("got"))
         rank, pooled = sent.unionByName(back).groupBy("id").agg(F.sum("got").alias("mass")), lone * (restart + keep * pooled)
-        if step % 5 == 4:
+        if step % 5 == 4 or step == steps - 1:
             rank = cut(rank, "rank")
     top = rank.agg(F.max("mass").alias("top"))
-    return rank.crossJoin(F.broadcast(top)).filter("mass > 0").select("id", (F.col("mass") / F.col("top")).alias("score"))
+    scored = rank.crossJoin(F.broadcast(top)).filter("mass > 0").select(F.col("id").alias("no"), (F.col("mass") / F.col("top")).alias("score"))
+    return scored.join(ids, "no").select("id", "score")
 
 
 def reach(edges: DataFrame, starts: DataFrame, incoming: bool = True, depth: int | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Rows inside a job grow with its input: operators that once paired all with all; and rounding as SQL does it."""
 
 import os
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
+from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
 from corpusgraph.operators import ignore, reports, resolution, selectors
 from corpusgraph.plans import registry
@@ -85,3 +87,17 @@ def test_an_index_holds_the_parts_that_are_asked(spark, tmp_path):
     assert index.candidates(made, docs, "text", [["license"]]).count() == 40
     later = docs.withColumn("text", F.concat("text", F.lit(" changed")))
     assert index.refresh(made, later, "text", {"path": "path", "body": "text"}, limit=10)[0].parts == ("grams",)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = cut(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")), "t")
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and rows.count() == 700 and spark.conf.get(CLEANUP) == "false"
