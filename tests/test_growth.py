@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
-from corpusgraph.operators import ignore, reports, resolution, selectors
+from corpusgraph.operators import ignore, merges, reports, resolution, selectors
 from corpusgraph.plans import registry
 from corpusgraph.sources import index
 
@@ -101,3 +101,19 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     while shuffle_files(spark) - before and time.time() < until:
         time.sleep(0.2)
     assert not shuffle_files(spark) - before and rows.count() == 700 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_merges_pair_no_events_with_occupied_pages(spark):
+    events = [(i, "r", [f"a{i % 3}", f"b{i}"] if i % 2 else [f"a{i % 3}"]) for i in range(300)] + [(900, "s", ["x"]), (901, "q", None), (902, "q", ["y", None])]
+    events = spark.createDataFrame(events, "event long, repo string, evidence array<string>")
+    areas = spark.createDataFrame([("A", "r"), ("B", "s"), ("C", "q")], "scope string, repo string")
+    pages = spark.createDataFrame([("A", f"p{i}", "planned") for i in range(301)] + [("B", "p", "planned"), ("C", "p", "planned")], "scope string, path string, state string")
+    cases = [("A", f"p{i}", "merge", f"a0 a1 b3 {i}") for i in range(300)] + [("B", "p", "source", "x"), ("C", "p", None, "y")]
+    cases = spark.createDataFrame(cases, "scope string, path string, trigger string, package string")
+    decided, new = merges.land(events, areas, pages, cases, ["planned"])
+    assert most_rows(decided) < 2000
+    got = {r.event: r.decision for r in decided.collect()}
+    # Event 0 takes the area's free page, so later ones land only if it quotes them.
+    want = {i: "landed" if i % 6 == 0 else "deferred" for i in range(300)} | {900: "deferred", 901: "landed", 902: "landed"}
+    assert got == want
+    assert [tuple(r) for r in new.collect()] == [("A", "p300", 0)]
