@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ NAME_WEIGHT, PATH_WEIGHT = 3.0, 2.0
 GRAPH_WEIGHT, RESCUE = 0.5, 0.15
 TEST_FACTOR = 0.35
 LIMIT = 8
+#: Vectors of one matrix product.
+VECTORS = 2048
 
 
 def postings(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -140,15 +146,78 @@ def search_counters(docs: DataFrame, ids: DataFrame, hits: DataFrame) -> DataFra
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank) by cosine, the query itself excluded: a stated query set against all vectors, in broadcast blocks."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    q = queries.select(F.col("id").alias("query"), unit(F.col("vec")).alias("q"))
-    v = vectors.select("id", unit(F.col("vec")).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    """(query, id, score, rank) by cosine, the query itself excluded: a stated query set against all vectors, in blocks of queries.
+
+    Each task multiplies its vectors with a block as matrices and carries the best k of each query; scores are then summed
+    in order and rounded as the plain expression does. Rows with nulls, odd lengths or extreme entries take that expression.
+    """
+    q = queries.select(F.col("id").alias("query"), F.col("vec").cast("array<double>").alias("q"))
+    v = vectors.select("id", F.col("vec").cast("array<double>").alias("v"))
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(squares(c)))
+    dot = F.aggregate(F.zip_with(unit(F.col("q")), unit(F.col("v")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    usual = lambda c: F.coalesce(squares(c).between(1e-200, 1e300), F.lit(False))
+    plain = lambda rows, block: rows.join(F.broadcast(block), F.col("id") != F.col("query")).select("query", "id", F.round(dot, 6).alias("score"))
 
     def best(block: DataFrame) -> DataFrame:
-        pairs = v.join(F.broadcast(block), F.col("id") != F.col("query")).select("query", "id", F.round(dot, 6).alias("score"))
+        width = block.filter(usual(F.col("q"))).agg(F.max(F.size("q"))).first()[0] or 0
+        fits = lambda c: usual(F.col(c)) & (F.size(c) == width)
+        asked = block.filter(fits("q")).collect()  # a block at most
+        pairs = plain(v, block.filter(~fits("q"))).unionByName(plain(v.filter(~fits("v")), block.filter(fits("q"))))
+        if asked:
+            schema = f"query {queries.schema['id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+            pairs = pairs.unionByName(v.filter(fits("v")).mapInArrow(_best_of([r.query for r in asked], [r.q for r in asked], k), schema))
         return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     return in_blocks(q, "query", best)
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Six places, halves away from zero by the shortest decimal form, as F.round does."""
+    size = np.abs(scores) * 1e6
+    units = np.floor(size + 0.5)
+    for i in np.flatnonzero(np.abs(size - np.floor(size) - 0.5) < 1e-6):
+        units[i] = int(Decimal(repr(float(abs(scores[i])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.sign(scores) * units / 1e6 + 0.0
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; squares are summed in order."""
+    squares = np.zeros(len(rows))
+    for i in range(rows.shape[1]):
+        squares += rows[:, i] * rows[:, i]
+    return rows / np.sqrt(squares)[:, None]
+
+
+def _best_of(query_ids: list, query_vectors: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow that gives (query, id, score) of the best k of each query in a partition of (id, v)."""
+    q = _units(np.array(query_vectors))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.array(query_ids)
+        at, ids, scores, kind = np.empty(0, np.int64), None, np.empty(0), None
+        for batch in batches:
+            kind = batch.column("id").type
+            for start in range(0, batch.num_rows, VECTORS):
+                part = batch.slice(start, VECTORS)
+                names = part.column("id").to_numpy(zero_copy_only=False)
+                v = _units(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, q.shape[1]))
+                rough = v @ q.T
+                rough[names[:, None] == asked[None, :]] = -np.inf
+                # All that could be among the best k once it is summed in order and rounded.
+                least = np.partition(rough, -k, axis=0)[-k] if len(rough) > k else np.full(len(asked), -2.0)
+                row, col = np.nonzero((rough >= least - 2e-6) & (rough > -np.inf))
+                exact = np.zeros(len(row))
+                for i in range(q.shape[1]):
+                    exact += q[col, i] * v[row, i]
+                at, scores = np.concatenate([at, col]), np.concatenate([scores, _rounded(exact)])
+                ids = names[row] if ids is None else np.concatenate([ids, names[row]])
+                order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, at))
+                at, ids, scores = at[order], ids[order], scores[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, ids, scores = at[place < k], ids[place < k], scores[place < k]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(asked[at], kind), pa.array(ids, kind), pa.array(scores)], names=["query", "id", "score"])
+
+    return best

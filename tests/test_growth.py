@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
-from corpusgraph.operators import ignore, merges, reports, resolution, selectors
+from corpusgraph.operators import ignore, line_state, merges, reports, resolution, search, selectors
 from corpusgraph.plans import registry
-from corpusgraph.sources import index
+from corpusgraph.sources import files, index
 
 
 def most_rows(df):
@@ -117,3 +117,40 @@ def test_merges_pair_no_events_with_occupied_pages(spark):
     want = {i: "landed" if i % 6 == 0 else "deferred" for i in range(300)} | {900: "deferred", 901: "landed", 902: "landed"}
     assert got == want
     assert [tuple(r) for r in new.collect()] == [("A", "p300", 0)]
+
+
+def test_hunks_read_a_diff_once_and_cap_by_hunk_and_file(spark):
+    patch = []
+    for f, hunks in (("a", 9), ("b", 1), ("a", 3)):
+        patch += [f"--- a/{f}", f"+++ b/{f}"]
+        for i in range(hunks):
+            patch += [f"@@ -{i * 50 + 1},30 +{i * 50 + 1},2 @@", " kept", "+new", *[f"--- {i} {j}" for j in range(29)], "--- trailing"]
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(patch)], "path string, line_no int, line string")
+    out = line_state.hunks(lines)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = [(r.file, len(r.lines), r.omitted) for r in out.orderBy("hunk").collect()]
+    assert got == [("a", 24, 6)] * 8 + [("a", 8, 22)] + [("b", 24, 6)] + [("a", 0, 30)] * 3
+    assert out.filter("hunk = 2").first().lines[:2] == ["+new", "--- 1 0"]
+
+
+def test_equal_blocks_of_a_profile_fold_before_their_lines(spark, tmp_path):
+    (tmp_path / "p").write_text("mode: set\n" + "".join(f"a:b/c.go:5.2,104.9 3 {i}\n" for i in range(300)) + "a:b/c.go:104.1,105.2 1 7\n")
+    found = files.read_block_profile(spark, str(tmp_path / "p"))
+    assert most_rows(found) < 1000
+    got = {(r.path, r.line): int(r.hits) for r in found.collect()}
+    assert got == {("a:b/c.go", i): 299 for i in range(5, 105)} | {("a:b/c.go", 105): 7}
+
+
+def test_nearest_carries_the_best_and_no_pairs(spark):
+    rows = [(i, [float(i * i % 7 - 3), float(i % 5 - 2), 1.0]) for i in range(400)] + [(400, None), (401, [1.0, None, 2.0]), (402, [1.0, 2.0]), (403, [1.0, 2.0, float("inf")]), (404, [1e-9, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    asked = vectors.filter("id % 40 = 1 OR id > 399")
+    unit = lambda v: f"transform({v}, x -> x / sqrt(aggregate({v}, 0D, (s, y) -> s + y * y)))"
+    asked.createOrReplaceTempView("nearest_asked")
+    vectors.createOrReplaceTempView("nearest_all")
+    want = spark.sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query, v.id AS id, round(aggregate(zip_with({unit("q.vec")}, {unit("v.vec")}, (a, b) -> a * b), 0D, (s, x) -> s + x), 6) AS score
+FROM nearest_asked q JOIN nearest_all v ON q.id <> v.id)) WHERE rank <= 6""")
+    text = lambda df: sorted(str(tuple(r)) for r in df.select("query", "id", "score", "rank").collect())
+    assert text(search.nearest(asked, vectors, 6)) == text(want)
+    regular = vectors.filter("id < 400")
+    assert most_rows(search.nearest(regular.filter("id % 40 = 1"), regular, 3)) < 1000
