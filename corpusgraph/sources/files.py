@@ -57,9 +57,11 @@ def read_lcov(spark: SparkSession, path: str) -> DataFrame:
 def read_block_profile(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, hits) of `file:from.col,to.col statements count` rows: blocks cover all their lines, of several counts the largest."""
     pattern = r"^(.*):([0-9]+)\.[0-9]+,([0-9]+)\.[0-9]+ [0-9]+ ([0-9]+)$"
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    rows = spark.read.text(path).filter(F.col("value").rlike(pattern)).select(part(1).alias("path"), F.explode(F.sequence(part(2).cast("int"), part(3).cast("int"))).alias("line"), part(4).cast("decimal(20,0)").alias("hits"))
-    return rows.groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    # One match a row; no field behind the path holds a colon, and equal blocks fold before they are written out as lines.
+    tail = F.substring_index("value", ":", -1)
+    found = spark.read.text(path).filter(F.col("value").rlike(pattern)).select(F.left("value", F.length("value") - F.length(tail) - 1).alias("path"), F.split(tail, "[., ]").alias("p"))
+    blocks = found.select("path", F.col("p")[0].cast("int").alias("from"), F.col("p")[2].cast("int").alias("to"), F.col("p")[5].cast("decimal(20,0)").alias("hits")).groupBy("path", "from", "to").agg(F.max("hits").alias("hits"))
+    return blocks.select("path", F.explode(F.sequence("from", "to")).alias("line"), "hits").groupBy("path", "line").agg(F.max("hits").alias("hits"))
 
 
 def read_cobertura(spark: SparkSession, path: str) -> DataFrame:
