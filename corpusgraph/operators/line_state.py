@@ -72,18 +72,21 @@ def diff_lines(lines: DataFrame) -> DataFrame:
 
     A removed line that reads like a header therefore stays a line.
     """
-    line = F.regexp_replace("line", "\r$", "")
+    line = F.when(F.contains("line", F.lit("\r")), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line"))
     head = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
     at = lambda i: F.regexp_extract("line", head, i)
     many = lambda i: F.when(at(i) == "", 1).otherwise(at(i).try_cast("int"))
-    rows = lines.withColumn("line", line).withColumn("is_head", F.col("line").rlike(head))
+    rows = lines.withColumn("line", line).withColumn("is_head", F.col("line").startswith("@@ -") & F.col("line").rlike(head))
     rows = rows.withColumn("hunk", F.sum(F.col("is_head").cast("int")).over(running()))
-    rows = rows.withColumn("h", F.when(F.col("is_head"), F.struct(at(3).cast("int").alias("start"), many(2).alias("old"), many(4).alias("new"))))
-    rows = rows.withColumn("h", F.last("h", ignorenulls=True).over(running()))
-    hunk = Window.partitionBy("path", "hunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.left("line", F.lit(1))
-    used = lambda *marks: F.coalesce(F.sum(F.when(~F.col("is_head") & mark.isin(*marks), 1).otherwise(0)).over(hunk), F.lit(0))
-    rows = rows.withColumn("body", ~F.col("is_head") & F.coalesce((used("-", " ") < F.col("h.old")) | (used("+", " ") < F.col("h.new")), F.lit(False)))
+    # What a hunk has used up is the file's running count less that at its head, so all windows share one order.
+    mark, here = F.left("line", F.lit(1)), running()
+    counts = lambda *marks: F.sum(F.when(~F.col("is_head") & mark.isin(*marks), 1).otherwise(0)).over(here)
+    rows = rows.withColumns({"old_seen": counts("-", " "), "new_seen": counts("+", " ")})
+    rows = rows.withColumn("h", F.when(F.col("is_head"), F.struct(at(3).cast("int").alias("start"), many(2).alias("old"), many(4).alias("new"), "old_seen", "new_seen")))
+    rows = rows.withColumn("h", F.last("h", ignorenulls=True).over(here))
+    before = lambda side, *marks: F.col(f"{side}_seen") - F.coalesce(mark.isin(*marks), F.lit(False)).cast("int") - F.col(f"h.{side}_seen")
+    rows = rows.withColumn("body", ~F.col("is_head") & F.coalesce((before("old", "-", " ") < F.col("h.old")) | (before("new", "+", " ") < F.col("h.new")), F.lit(False)))
+    rows = rows.withColumn("h", F.when(F.col("h").isNotNull(), F.struct("h.start", "h.old", "h.new")))
     name = lambda sign: F.when(~F.col("body") & F.col("line").startswith(sign), F.regexp_replace(F.regexp_replace(F.substr("line", F.lit(5)), "\t$", ""), "^[ab]/", ""))
     rows = carry(rows, name("--- "), "old_file")
     # The path of a file that is gone is its old one.
@@ -97,16 +100,19 @@ def hunks(lines: DataFrame) -> DataFrame:
 
     A hunk that only removes stands for the line before the gap, 1 at the top.
     """
-    rows = diff_lines(lines)
-    start, new = F.col("h.start"), F.col("h.new")
-    heads = rows.filter("is_head").select("path", "file", "hunk", F.when(new == 0, F.greatest(start, F.lit(1))).otherwise(start).alias("line_from"), F.when(new == 0, F.greatest(start, F.lit(1))).otherwise(start + new - 1).alias("line_to"))
-    changed = rows.filter(F.col("body") & F.left("line", F.lit(1)).isin("+", "-")).withColumn("in_hunk", F.row_number().over(Window.partitionBy("path", "hunk").orderBy("line_no")))
-    kept = changed.filter(F.col("in_hunk") <= HUNK_LINES).withColumn("in_file", F.row_number().over(Window.partitionBy("path", "file").orderBy("line_no"))).filter(F.col("in_file") <= FILE_LINES)
-    few = kept.groupBy("path", "hunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
-    total = changed.groupBy("path", "hunk").agg(F.count("*").alias("n"))
-    out = heads.join(few, ["path", "hunk"], "left").join(total, ["path", "hunk"], "left")
-    none = F.array().cast("array<string>")
-    return out.select("path", "file", "hunk", "line_from", "line_to", F.coalesce("lines", none).alias("lines"), (F.coalesce("n", F.lit(0)) - F.size(F.coalesce("lines", none))).alias("omitted"))
+    # A hunk's changed lines come before any other line of it, so they have its head's file, and one fold a hunk gives all.
+    rows = diff_lines(lines).withColumn("changed", F.col("body") & F.left("line", F.lit(1)).isin("+", "-"))
+    rows = rows.withColumn("seen", F.sum(F.col("changed").cast("int")).over(running()))
+    rows = rows.withColumn("at_head", F.last(F.when(F.col("is_head"), F.col("seen")), ignorenulls=True).over(running()))
+    head = F.first(F.when(F.col("is_head"), F.struct("file", "h.start", "h.new")), ignorenulls=True)
+    few = F.collect_list(F.when(F.col("changed") & (F.col("seen") - F.col("at_head") <= HUNK_LINES), F.struct("line_no", "line")))
+    per = rows.filter("is_head OR changed").groupBy("path", "hunk").agg(head.alias("head"), F.transform(F.array_sort(few), lambda x: x["line"]).alias("few"), F.count_if("changed").alias("n")).select("path", "hunk", "head.*", "few", "n")
+    ahead = Window.partitionBy("path", "file").orderBy("hunk").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(FILE_LINES) - F.coalesce(F.sum(F.size("few")).over(ahead), F.lit(0)), F.lit(0)).cast("int")
+    per = per.withColumn("lines", F.slice("few", F.lit(1), room))
+    first = F.when(F.col("new") == 0, F.greatest("start", F.lit(1))).otherwise(F.col("start"))
+    last = F.when(F.col("new") == 0, F.greatest("start", F.lit(1))).otherwise(F.col("start") + F.col("new") - 1)
+    return per.select("path", "file", "hunk", first.alias("line_from"), last.alias("line_to"), "lines", (F.col("n") - F.size("lines")).alias("omitted"))
 
 
 def name_status(listings: DataFrame, text: str) -> DataFrame:
