@@ -143,22 +143,27 @@ def cycles(links: DataFrame) -> DataFrame:
     while not work.isEmpty():
         while True:
             n = work.count()
-            work = cut(work.join(work.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(work.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "work")
+            work = cut(work.join(_merged(work.select(F.col("target").alias("source")).distinct()), "source", "left_semi").join(_merged(work.select(F.col("source").alias("target")).distinct()), "target", "left_semi").select("source", "target"), "work")
             if work.count() == n:
                 break
         if not n:
             break
-        labels = _least(work, "source", "target").withColumnRenamed("label", "fw").join(_least(work, "target", "source").withColumnRenamed("label", "bw"), "id")
+        labels = _least(work, "source", "target").withColumnRenamed("label", "fw").join(_merged(_least(work, "target", "source").withColumnRenamed("label", "bw")), "id")
         labels = cut(labels, "labels")
         here = labels.filter("fw = bw").select("id", F.col("fw").alias("cycle"))
         done = here if done is None else done.unionByName(here)
         left = labels.filter("fw <> bw")
         same = left.select(F.col("id").alias("source"), F.struct("fw", "bw").alias("a")), left.select(F.col("id").alias("target"), F.struct("fw", "bw").alias("b"))
-        work = cut(work.join(same[0], "source").join(same[1], "target").filter("a = b").select("source", "target"), "work")
+        work = cut(work.join(_merged(same[0]), "source").join(_merged(same[1]), "target").filter("a = b").select("source", "target"), "work")
     if done is None:
         return loops
-    done = done.join(done.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1"), "cycle").select("id", "cycle")
-    return done.unionByName(loops.join(done.select("id"), "id", "left_anti"))
+    done = done.join(_merged(done.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1")), "cycle").select("id", "cycle")
+    return done.unionByName(loops.join(_merged(done.select("id")), "id", "left_anti"))
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """df for a shuffled join: over many rounds, tables small enough to be broadcast add up in the driver."""
+    return df.hint("merge")
 
 
 def _least(edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -166,9 +171,9 @@ def _least(edges: DataFrame, start: str, end: str) -> DataFrame:
     labels = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
     labels = cut(labels, "labels")
     while True:
-        sent = edges.join(labels, edges[start] == labels["id"]).select(F.col(end).alias("id"), "label")
+        sent = edges.join(_merged(labels), edges[start] == labels["id"]).select(F.col(end).alias("id"), "label")
         new = cut(labels.unionByName(sent).groupBy("id").agg(F.min("label").alias("label")), "labels")
-        if new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").isEmpty():
+        if new.join(_merged(labels.withColumnRenamed("label", "old")), "id").filter("label <> old").isEmpty():
             return new
         labels = new
 
