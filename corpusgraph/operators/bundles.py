@@ -109,4 +109,5 @@ def union_edges(parts: dict[str, DataFrame], raw: DataFrame) -> tuple[DataFrame,
     for name, part in parts.items():
         one = part.withColumn("language", F.lit(name))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    out = cut(out, "edges")  # read for the edges and for what is left
     return out, raw.join(out.select("raw_id").distinct(), "raw_id", "left_anti")

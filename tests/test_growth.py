@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
-from corpusgraph.operators import callers, collapse, graph, ignore, line_state, merges, reports, resolution, search, selectors
+from corpusgraph.operators import bundles, callers, collapse, graph, ignore, impact, line_state, merges, reports, resolution, search, selectors
 from corpusgraph.plans import registry
 from corpusgraph.sources import files, index
 
@@ -188,3 +188,14 @@ def test_rounds_of_cycles_broadcast_nothing(spark, monkeypatch):
     want = {(i, 0) for i in range(9)} | {(20, 20), (21, 20), (22, 20), (30, 30)}
     assert {(r.id, r.cycle) for r in found.collect()} == want
     assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in [*kept, found])
+
+
+def test_united_edges_resolve_each_part_once(spark):
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    raw = spark.createDataFrame([("1", "a/f", "a", "x"), ("2", "a/f", "a", "y"), ("3", "a/t", "a", "y"), ("4", "a/t", "a", "z"), ("5", "a/f", None, "x")], "raw_id string, file string, dir string, name string")
+    defs = spark.createDataFrame([("a/f#x", "a/f", "a", "x"), ("a/g#y", "a/g", "a", "y"), ("a/t#z", "a/t", "a", "z")], "id string, file string, dir string, name string")
+    found = selectors.resolve_values(raw, defs, spark.createDataFrame([("a/t", "a_test"), ("a/t", "a_test"), ("a/f", "a")], "file string, package string"))
+    assert scans(found) == 4  # raw names, definitions by file and by directory, packages
+    edges, left = bundles.union_edges({"x": found.select("raw_id", "target")}, raw.select("raw_id"))
+    assert scans(edges) == 0 and scans(left) == 1
+    assert {(r.raw_id, r.target) for r in edges.collect()} == {("1", "a/f#x"), ("2", "a/g#y"), ("4", "a/t#z"), ("5", "a/f#x")} and [r.raw_id for r in left.collect()] == ["3"]
