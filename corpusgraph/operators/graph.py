@@ -80,23 +80,52 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
     return scored.join(ids, "no").select("id", "score")
 
 
-def reach(edges: DataFrame, starts: DataFrame, incoming: bool = True, depth: int | None = None) -> DataFrame:
-    """(origin, id, depth, inferred) of all that starts(origin, id) reach along walk edges, starts themselves excluded.
+def folded(edges: DataFrame) -> DataFrame:
+    """Walk edges written once per pair: (source, target, guess, n); guess is 1 if all are inferred, n counts them."""
+    guess = F.when(F.col("confidence") == "inferred", 1).otherwise(0)
+    return cut(walk_edges(edges).groupBy("source", "target").agg(F.min(guess).alias("guess"), F.count("*").alias("n")), "steps")
 
-    depth is the least; inferred holds unless some shortest path has no guessed link. Many origins walk at once.
+
+def walked(steps: DataFrame, starts: DataFrame, incoming: bool = True, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((origin, no, depth, guess), (no, id)): what starts(origin, id) reach along folded edges, themselves included; once per origin.
+
+    Rounds move hashes of ids. Those of all ids are compared first, with the next seed should two ids share one.
     """
     a, b = ("target", "source") if incoming else ("source", "target")
-    step_edges = cut(walk_edges(edges).groupBy(F.col(a).alias("at"), F.col(b).alias("to")).agg(F.min(F.when(F.col("confidence") == "inferred", 1).otherwise(0)).alias("guess")), "steps")
-    seen = starts.select("origin", "id").distinct().withColumn("depth", F.lit(0)).withColumn("guess", F.lit(0))
-    frontier, seen, d = seen, cut(seen, "seen"), 0
+    kind = steps.schema[a].dataType
+    starts = cut(starts.select("origin", F.col("id").cast(kind).alias("id")).filter("id IS NOT NULL").distinct(), "starts")
+    every = steps.select(F.explode(F.array("source", "target")).alias("id")).unionByName(starts.select("id")).filter("id IS NOT NULL").distinct()
+    seed = 0
+    while True:
+        number = lambda c: F.xxhash64(F.lit(seed), c)
+        ids = cut(every.select(number(F.col("id")).alias("no"), "id"), "numbers")
+        if ids.groupBy("no").count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    pairs = steps.filter("source IS NOT NULL AND target IS NOT NULL").select(number(F.col(a)).alias("at"), number(F.col(b)).alias("to"), "guess")
+    seen = frontier = starts.select("origin", number(F.col("id")).alias("no"), F.lit(0).alias("depth"), F.lit(0).alias("guess"))
+    d = 0
     while depth is None or d < depth:
         d += 1
-        found = frontier.join(step_edges, frontier["id"] == step_edges["at"]).select("origin", F.col("to").alias("id"), F.greatest(frontier["guess"], step_edges["guess"]).alias("guess"))
-        frontier = cut(found.groupBy("origin", "id").agg(F.min("guess").alias("guess")).join(seen.select("origin", "id"), ["origin", "id"], "left_anti").select("origin", "id", F.lit(d).alias("depth"), "guess"), "frontier")
+        found = frontier.join(pairs.withColumnRenamed("guess", "own"), F.col("no") == F.col("at")).select("origin", F.col("to").alias("no"), F.greatest("guess", "own").alias("guess"))
+        found = found.groupBy("origin", "no").agg(F.min("guess").alias("guess"))
+        frontier = cut(found.join(seen.select("origin", "no"), ["origin", "no"], "left_anti").select("origin", "no", F.lit(d).alias("depth"), "guess"), "frontier")
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier), "seen")
-    return seen.filter("depth > 0").select("origin", "id", "depth", (F.col("guess") == 1).alias("inferred"))
+        # Rounds are only added; long walks are written together now and then.
+        seen = seen.unionByName(frontier)
+        if d % 10 == 0:
+            seen = cut(seen, "seen")
+    return seen, ids
+
+
+def reach(edges: DataFrame, starts: DataFrame, incoming: bool = True, depth: int | None = None) -> DataFrame:
+    """(origin, id, depth, inferred) of all that starts(origin, id) reach along walk edges, starts themselves excluded.
+
+    depth is the least; inferred holds unless some shortest path has no guessed link. Many origins walk at once.
+    """
+    seen, ids = walked(folded(edges), starts, incoming, depth)
+    return seen.filter("depth > 0").join(ids, "no").select("origin", "id", "depth", (F.col("guess") == 1).alias("inferred"))
 
 
 def rollup(rows: DataFrame, path: str, *sums: Column) -> DataFrame:

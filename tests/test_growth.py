@@ -199,3 +199,24 @@ def test_united_edges_resolve_each_part_once(spark):
     edges, left = bundles.union_edges({"x": found.select("raw_id", "target")}, raw.select("raw_id"))
     assert scans(edges) == 0 and scans(left) == 1
     assert {(r.raw_id, r.target) for r in edges.collect()} == {("1", "a/f#x"), ("2", "a/g#y"), ("4", "a/t#z"), ("5", "a/f#x")} and [r.raw_id for r in left.collect()] == ["3"]
+
+
+def test_spans_of_a_range_are_compared_without_pairs(spark):
+    spans = [("p", f"s{i:03}", i, 1000 - i) for i in range(300)] + [("q", "a", 1, 70), ("q", "a", 5, 6), ("q", "b", 1, 200), ("q", "c", 60, 66), ("q", "d", 60, 66), ("q", "n", None, None)]
+    spans = spark.createDataFrame(spans, "path string, id string, span_from long, span_to long")
+    ranges = spark.createDataFrame([("p", 500, 510), ("p", 500, 510), ("p", 100, 150), ("q", 2, 190), ("q", 10, 20), ("q", 62, 62), ("q", 300, 310)], "path string, line_from long, line_to long")
+    found = impact.innermost(ranges, spans)
+    assert sorted(tuple(r) for r in found.collect()) == [("p", 100, 150, "s150"), ("p", 500, 510, "s299"), ("q", 10, 20, "a")]
+    assert most_rows(found) < 10_000
+
+
+def test_walks_move_numbers_and_tell_equal_ones_apart(spark, monkeypatch):
+    plain, tables = F.xxhash64, []
+    monkeypatch.setattr(graph.F, "xxhash64", lambda seed, c: plain(seed, F.left(c, F.lit(1))) if str(seed) == str(F.lit(0)) else plain(seed, c))
+    monkeypatch.setattr(graph, "cut", lambda df, name: tables.append((name, df)) or cut(df, name))
+    edges = [("aa", "ab", "calls", "inferred", 1), ("aa", "ab", "calls", "inferred", 2), ("ab", "ac", "calls", "extracted", 1), ("ac", "aa", "calls", "extracted", 1), ("ac", None, "calls", "extracted", 1), ("ac", "ad", "contains", "extracted", 1)]
+    edges = spark.createDataFrame(edges, "source string, target string, relation string, confidence string, line int")
+    starts = spark.createDataFrame([("o", "aa"), ("o", "zz"), ("p", "ac"), ("p", None)], "origin string, id string")
+    got = {tuple(r) for r in graph.reach(edges, starts, False).collect()}
+    assert got == {("o", "ab", 1, True), ("o", "ac", 2, True), ("p", "aa", 1, False), ("p", "ab", 2, True)}
+    assert [n for n, _ in tables].count("numbers") == 2 and all("id" not in df.columns for n, df in tables if n in ("frontier", "seen"))
