@@ -81,9 +81,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
 
 
 def folded(edges: DataFrame) -> DataFrame:
-    """Walk edges written once per pair: (source, target, guess, n); guess is 1 if all are inferred, n counts them."""
-    guess = F.when(F.col("confidence") == "inferred", 1).otherwise(0)
-    return cut(walk_edges(edges).groupBy("source", "target").agg(F.min(guess).alias("guess"), F.count("*").alias("n")), "steps")
+    """Walk edges written once, for several readers: (source, target, guess); guess is 1 if inferred. Parallel ones stay."""
+    return cut(walk_edges(edges).select("source", "target", F.when(F.col("confidence") == "inferred", 1).otherwise(0).alias("guess")), "steps")
 
 
 def walked(steps: DataFrame, starts: DataFrame, incoming: bool = True, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +103,10 @@ def walked(steps: DataFrame, starts: DataFrame, incoming: bool = True, depth: in
         seed += 1
     pairs = steps.filter("source IS NOT NULL AND target IS NOT NULL").select(number(F.col(a)).alias("at"), number(F.col(b)).alias("to"), "guess")
     seen = frontier = starts.select("origin", number(F.col("id")).alias("no"), F.lit(0).alias("depth"), F.lit(0).alias("guess"))
+    if depth is None or depth > 3:
+        # A step leaves a start or what another step has entered; the others are not moved again each round.
+        left = pairs.select(F.col("to").alias("at")).unionByName(starts.select(number(F.col("id")).alias("at"))).distinct()
+        pairs = cut(pairs.join(left, "at", "left_semi").groupBy("at", "to").agg(F.min("guess").alias("guess")), "pairs")
     d = 0
     while depth is None or d < depth:
         d += 1

@@ -79,7 +79,7 @@ def audit(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, least: int) -> D
     weak = cut(_signal(cut(ranges.select("path").distinct(), "files"), nodes, steps).filter("signal IN ('none', 'stale')"), "weak")
     # Only ranges of files whose tests say nothing meet spans.
     seeds = innermost(ranges.join(weak.select("path"), "path", "left_semi"), nodes).select("path", "id").distinct()
-    degrees = steps.groupBy(F.col("target").alias("id")).agg(F.sum("n").alias("in_degree")).filter(F.col("in_degree") >= least)
+    degrees = steps.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree")).filter(F.col("in_degree") >= least)
     return seeds.join(weak, "path").join(degrees, "id").select("path", "signal", "id", "in_degree")
 
 

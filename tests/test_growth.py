@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
 from corpusgraph.operators import bundles, callers, collapse, graph, ignore, impact, line_state, merges, reports, resolution, search, selectors
-from corpusgraph.plans import registry
+from corpusgraph.plans import registry, views
 from corpusgraph.sources import files, index
 
 
@@ -220,3 +220,23 @@ def test_walks_move_numbers_and_tell_equal_ones_apart(spark, monkeypatch):
     got = {tuple(r) for r in graph.reach(edges, starts, False).collect()}
     assert got == {("o", "ab", 1, True), ("o", "ac", 2, True), ("p", "aa", 1, False), ("p", "ab", 2, True)}
     assert [n for n, _ in tables].count("numbers") == 2 and all("id" not in df.columns for n, df in tables if n in ("frontier", "seen"))
+
+
+def test_calls_are_looked_up_once_a_part_with_the_same_rows(spark, monkeypatch):
+    text = lambda name: sorted(str(tuple(r)) for r in views.view(spark, "/root/testdata/sf0.001", name).collect())
+    joins = lambda name: views.view(spark, "/root/testdata/sf0.001", name)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    names = ("g_calls", "g_sites", "g_lines")
+    light = {n: (text(n), joins(n)) for n in names}
+    monkeypatch.setattr(views, "LIGHT", {})
+    for n in names:
+        assert light[n][0] == text(n)
+    assert light["g_lines"][1] < joins("g_lines") and light["g_sites"][1] < joins("g_sites")
+
+
+def test_long_walks_keep_only_edges_that_can_be_walked(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(graph, "cut", lambda df, name: tables.setdefault(name, cut(df, name)) if name == "pairs" else cut(df, name))
+    edges = [("a", "b", "calls", "inferred", 1), ("b", "c", "calls", "extracted", 1)] + [(f"x{i}", "c", "calls", "extracted", 1) for i in range(50)]
+    edges = spark.createDataFrame(edges, "source string, target string, relation string, confidence string, line int")
+    got = {tuple(r) for r in graph.reach(edges, spark.createDataFrame([("o", "a")], "origin string, id string"), False).collect()}
+    assert got == {("o", "b", 1, True), ("o", "c", 2, True)} and tables["pairs"].count() == 2
