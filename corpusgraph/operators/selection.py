@@ -141,7 +141,7 @@ def resolve_symbols(asks: DataFrame, nodes: DataFrame, subtree: str | None = Non
     name, id_ = low(F.col("name")), low(F.col("id"))
     folder = F.lower(F.regexp_replace("path", "/?[^/]*$", ""))
     folders = F.concat(F.array(F.when(folder == "", ".").otherwise(folder)), _endings(folder, "/"))
-    symbol = F.concat(F.array(key("symbol", name), key("symbol", id_)), keys_of("symbol", _endings(id_, "#.")), F.transform(folders, lambda d: key("package", F.concat(d, F.lit("\n"), name))), F.array(key("name", name)))
+    symbol = F.concat(F.array(key("symbol", name), key("symbol", id_)), keys_of("symbol", _endings(id_, "#.")), F.transform(folders, lambda d: key("package", F.concat(d, F.lit("\n"), name))))
     path = F.lower("path")
     file = F.concat(F.array(key("name", name), key("file", name), key("file", path), key("file", F.lower("id"))), keys_of("file", _endings(path, "/")))
     keys = nodes.select("id", plain_name(F.col("name")).alias("plain"), "is_test", F.explode(F.array_distinct(F.when(F.col("kind") == "file", file).otherwise(symbol))).alias("k")).select("id", "plain", "is_test", F.col("k.kind").alias("by"), "k.k")
@@ -154,13 +154,15 @@ def resolve_symbols(asks: DataFrame, nodes: DataFrame, subtree: str | None = Non
     ask_key = lambda stage, by, k: F.struct(F.lit(stage).alias("stage"), F.lit(by).alias("by"), F.lower(k).alias("k"))
     wanted = F.array_compact(F.array(
         ask_key(0, "symbol", F.col("clean")), F.when(dotted, ask_key(1, "package", F.concat(first, F.lit("\n"), last))), F.when(file_like, ask_key(2, "file", F.col("clean"))),
-        F.when(dotted & ~file_like, ask_key(3, "name", last)), F.when(~file_like, ask_key(4, "file", F.col("clean"))),
+        F.when(dotted & ~file_like, ask_key(3, "name", last)), F.when(dotted & ~file_like, ask_key(3, "symbol", last)), F.when(~file_like, ask_key(4, "file", F.col("clean"))),
     ))
     asked = rows.select("ask", last.alias("said"), F.explode(wanted).alias("w")).select("ask", "said", "w.stage", "w.by", "w.k")
     score = F.when(F.col("stage").isin(2, 4), 0).otherwise(F.when(F.col("plain") != F.col("said"), 2).otherwise(0) + F.col("is_test").cast("int"))
-    hits = asked.join(keys, ["by", "k"]).select("ask", "id", "stage", score.alias("score"))
-    least = hits.groupBy("ask").agg(F.min("stage").alias("stage"))
-    return hits.join(least, ["ask", "stage"]).select("ask", "id", "stage", "score").distinct()
+    # Stage 3 takes files by the key of their name, symbols by the one they share with stage 0, there by the name alone.
+    hits = asked.join(keys, ["by", "k"]).filter("stage <> 3 OR by <> 'symbol' OR lower(plain) = k").select("ask", "id", "stage", score.alias("score"))
+    # The first stage comes with the hits of a question, so neither questions nor nodes are matched twice.
+    first = F.min("stage").over(Window.partitionBy("ask"))
+    return hits.withColumn("first", first).filter("stage = first").select("ask", "id", "stage", "score").distinct()
 
 
 def rank_candidates(nodes: DataFrame, name: str) -> DataFrame:

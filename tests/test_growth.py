@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
-from corpusgraph.operators import bundles, callers, collapse, graph, ignore, impact, line_state, merges, reports, resolution, search, selectors
+from corpusgraph.operators import bundles, callers, collapse, graph, ignore, impact, line_state, merges, reports, resolution, search, selection, selectors
 from corpusgraph.plans import registry, views
 from corpusgraph.sources import files, index
 
@@ -252,6 +252,13 @@ def test_source_of_spans_meets_lines_by_blocks(spark):
     assert got["s10"] == "\n".join("" if i in (50, 77) else f"l{i}" for i in range(10, 90)) and most_rows(found) < 1000
 
 
+def test_questions_match_nodes_once(spark):
+    nodes = [("a/f.py", "a/f.py", "a/f.py", "file", False), ("a/f.py#T.run", "run", "a/f.py", "method", False), ("a/f.py#go", "go", "a/f.py", "function", True), ("a/b.py#x", "no", "a/b.py", "function", False)]
+    found = selection.resolve_symbols(spark.createDataFrame([("gone.Run",), ("T.run",), ("gone.go",), ("gone.x",), ("a.go",)], "ask string"), spark.createDataFrame(nodes, "id string, name string, path string, kind string, is_test boolean"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    assert {tuple(r) for r in found.collect()} == {("gone.Run", "a/f.py#T.run", 3, 2), ("T.run", "a/f.py#T.run", 0, 0), ("a.go", "a/f.py#go", 1, 1)}
+
+
 def test_quotes_read_the_lines_of_quoted_files_once(spark, monkeypatch):
     kept = {}
     monkeypatch.setattr(callers, "cut", lambda df, name: kept.setdefault(name, cut(df, name)))
