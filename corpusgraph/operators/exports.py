@@ -12,24 +12,28 @@ from ..checkpoint import cut
 KEY = ["file", "name"]
 
 
-def _steps(keys: DataFrame, tops: DataFrame, imports: DataFrame) -> DataFrame:
-    """keys with what answers first: `id`, or `next` (file, name) to ask instead, or `stars` to ask; none of them: nothing.
-
-    Order: an export list's or a named re-export's entry, then an own exported name that no list renames, then stars.
-    """
-    imports = imports.withColumn("shown", F.coalesce("alias", "name"))
+def _tables(tops: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
+    """What a step looks up, written once for all rounds: by (file, name), by (file, local), by file."""
+    tops, imports = cut(tops.select("file", "name", "id", "exported"), "tops"), cut(imports.withColumn("shown", F.coalesce("alias", "name")), "imports")
     to = F.when(F.col("target").isNotNull() & (F.col("name") != "*"), F.struct(F.col("target").alias("file"), "name"))
     entry = F.struct("kind", "name", F.when((F.col("kind") == "reexport") & (F.col("name") == "*"), F.col("target")).alias("whole"), F.when(F.col("kind") == "reexport", to).alias("next"))
     explicit = imports.filter("kind = 'export' OR (kind = 'reexport' AND NOT (name = '*' AND alias IS NULL))").groupBy("file", F.col("shown").alias("asked")).agg(F.min_by(entry, "pos").alias("entry"))
-    rows = keys.join(explicit.withColumnRenamed("asked", "name"), KEY, "left")
     # A list names a local thing: a declaration, or what an import binds.
     bound = imports.filter("kind IN ('', 'require')").groupBy("file", F.col("shown").alias("local")).agg(F.min_by(F.struct(F.when(F.col("name") == "*", F.col("target")).alias("whole"), to.alias("next")), "pos").alias("bound"))
-    local = tops.select("file", F.col("name").alias("local"), F.col("id").alias("local_id"))
-    rows = rows.withColumn("local", F.when(F.col("entry.kind") == "export", F.col("entry.name"))).join(local, ["file", "local"], "left").join(bound, ["file", "local"], "left")
     renamed = imports.filter("kind = 'export'").select("file", "name").distinct().withColumn("listed", F.lit(True))
     own = tops.filter("exported").select("file", "name", F.col("id").alias("own_id")).join(renamed, KEY, "left").filter("listed IS NULL").drop("listed")
     stars = imports.filter("kind = 'reexport' AND name = '*' AND alias IS NULL AND target IS NOT NULL").groupBy("file").agg(F.collect_set("target").alias("targets"))
-    rows = rows.join(own, KEY, "left").join(stars, "file", "left")
+    local = tops.select("file", F.col("name").alias("local"), F.col("id").alias("local_id"))
+    return {"explicit": cut(explicit.withColumnRenamed("asked", "name"), "explicit"), "local": local, "bound": cut(bound, "bound"), "own": cut(own, "own"), "stars": cut(stars, "stars")}
+
+
+def _steps(keys: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """keys with what answers first: `id`, or `next` (file, name) to ask instead, or `stars` to ask; none of them: nothing.
+
+    Order: an export list's or a named re-export's entry, then an own exported name that no list renames, then stars.
+    """
+    rows = keys.join(t["explicit"], KEY, "left").withColumn("local", F.when(F.col("entry.kind") == "export", F.col("entry.name")))
+    rows = rows.join(t["local"], ["file", "local"], "left").join(t["bound"], ["file", "local"], "left").join(t["own"], KEY, "left").join(t["stars"], "file", "left")
     listed, passed_on = F.col("entry").isNotNull(), F.col("entry.kind") == "reexport"
     id_ = F.when(passed_on, F.col("entry.whole")).when(listed, F.coalesce("local_id", F.when(F.col("local_id").isNull(), F.col("bound.whole")))).otherwise(F.col("own_id"))
     next_ = F.when(passed_on, F.col("entry.next")).when(listed & F.col("local_id").isNull(), F.col("bound.next"))
@@ -49,14 +53,15 @@ def exported(asks: DataFrame, tops: DataFrame, imports: DataFrame) -> DataFrame:
     Rounds: one a step of the longest chain to find the names concerned, the logarithm of it to follow named
     re-exports (pointers double), one a level of stars. Each round's tables are as large as the names concerned.
     """
-    known = cut(_steps(asks.select(*KEY).distinct(), tops, imports), "exports")
+    tables = _tables(tops, imports)
+    known = cut(_steps(asks.select(*KEY).distinct(), tables), "exports")
     parts, new = [known], known
     while True:
         asked = new.filter("next IS NOT NULL").select("next.file", "next.name").unionByName(new.filter("stars IS NOT NULL").select(F.explode("stars").alias("file"), "name"))
         fresh = cut(asked.distinct().join(known.select(*KEY), KEY, "left_anti"), "exports")
         if fresh.isEmpty():
             break
-        new = cut(_steps(fresh, tops, imports), "exports")
+        new = cut(_steps(fresh, tables), "exports")
         parts.append(new)
         known = known.unionByName(new)
     known = cut(known, "exports")

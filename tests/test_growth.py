@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.checkpoint import CLEANUP, cut
 from corpusgraph.functions.text import grams
-from corpusgraph.operators import bundles, callers, collapse, graph, ignore, impact, line_state, merges, reports, resolution, search, selection, selectors
+from corpusgraph.operators import bundles, callers, collapse, exports, graph, ignore, impact, line_state, merges, reports, resolution, search, selection, selectors
 from corpusgraph.plans import registry, views
 from corpusgraph.sources import files, index
 
@@ -268,3 +268,13 @@ def test_quotes_read_the_lines_of_quoted_files_once(spark, monkeypatch):
     found, hidden = callers.neighbours(spark.createDataFrame([("q", "f0#s0")], "ask string, id string"), nodes, edges, lines, keep=F.col("path") != "f3")
     assert {(r.id, r.line, r.quote, r.inferred) for r in found.collect()} == {("f1#s1", 2, "s0 at 2", False), ("f2#s2", 1, "s0 at 1", True)} and hidden.first().hidden == 1
     assert kept["lines"].count() == 18 and "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_exports_read_tables_that_are_written_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(exports, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD"))) or cut(df, name))
+    tops = spark.createDataFrame([("c", "n", "c#n", True)], "file string, name string, id string, exported boolean")
+    imports = spark.createDataFrame([("a", 1, "reexport", "n", None, "b"), ("b", 1, "reexport", "*", None, "c")], "file string, pos int, kind string, name string, alias string, target string")
+    got = exports.exported(spark.createDataFrame([("a", "n")], "file string, name string"), tops, imports)
+    assert [tuple(r) for r in got.collect()] == [("a", "n", "c#n")]
+    assert sum(n for _, n in plans) == 3  # tops, imports and questions, once each
