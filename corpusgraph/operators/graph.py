@@ -7,15 +7,21 @@ shared checkpoint folder, so plans stay short and lost executors cost one round
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import struct
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
 from ..checkpoint import cut
+from . import blocks
 
 # Fixed values of the rank.
 RESTART = 0.25
 STEPS = 25
+#: At most so many edges of a rank's block, and nodes of its part, about.
+EDGES, PLACES = 12_000_000, 1_000_000
 
 
 def walk_edges(edges: DataFrame) -> DataFrame:
@@ -52,32 +58,85 @@ def with_loose_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float = RESTART, steps: int = STEPS) -> DataFrame:
     """Personalised rank from seeds(id, weight): (id, score), the largest score 1, nodes without mass absent.
 
-    Mass of nodes without edges is pooled and returned to the seeds. Parallel edges are summed into one weight
-    per pair, so that a step moves one row per neighbouring pair.
+    Mass of nodes without edges is pooled and returned to the seeds. Edges are laid out once in blocks that stay where they
+    are (see `blocks`); a round moves values and sums of the nodes that edges point to, once a block that names them.
     """
-    # Rounds move numbers of nodes, not their ids.
-    ids = cut(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("no")), "numbers")
-    known = walk_edges(edges).select("source", "target").join(ids.toDF("source", "src"), "source").join(ids.toDF("target", "dst"), "target")
-    both = known.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("pair"))
-    pairs = cut(both.groupBy("pair.src", "pair.dst").agg(F.count("*").alias("m")), "pairs")
-    degree = pairs.groupBy("src").agg(F.sum("m").alias("degree"))
-    adj = cut(pairs.join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("share")), "adjacency")
-    ok = seeds.filter("weight > 0").join(ids, "id").groupBy(F.col("no").alias("id")).agg(F.sum("weight").alias("weight"))
-    base = cut(ok.crossJoin(F.broadcast(ok.agg(F.sum("weight").alias("total")))).select("id", (F.col("weight") / F.col("total")).alias("r")), "restart")
-    # Links go both ways, so only seeds can hold mass without an edge; what they hold depends on their share of the restart alone.
-    lone = base.join(adj.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
-    pooled = lone
-    rank = base.select("id", F.col("r").alias("mass"))
-    for step in range(steps):
-        keep = 1 - restart
-        sent = rank.join(adj, rank["id"] == adj["src"]).select(F.col("dst").alias("id"), (F.col("mass") * F.col("share") * keep).alias("got"))
-        back = base.select("id", (F.col("r") * (restart + keep * pooled)).alias("got"))
-        rank, pooled = sent.unionByName(back).groupBy("id").agg(F.sum("got").alias("mass")), lone * (restart + keep * pooled)
-        if step % 5 == 4 or step == steps - 1:
-            rank = cut(rank, "rank")
-    top = rank.agg(F.max("mass").alias("top"))
-    scored = rank.crossJoin(F.broadcast(top)).filter("mass > 0").select(F.col("id").alias("no"), (F.col("mass") / F.col("top")).alias("score"))
-    return scored.join(ids, "no").select("id", "score")
+    spark, kind, keep = nodes.sparkSession, nodes.schema["id"].dataType, 1 - restart
+    seed = 0
+    while True:
+        # A node's number, and a second hash that tells a loose end with that number from it.
+        hashed = lambda c: (F.xxhash64(F.lit(seed), F.col(c).cast(kind)), F.hash(F.col(c).cast(kind)))
+        numbers = lambda df, *rest: df.filter("id IS NOT NULL").select(hashed("id")[0].alias("no"), hashed("id")[1].alias("check"), *rest)
+        every = numbers(nodes, F.lit(0.0).alias("weight"), F.lit(1).alias("here")).unionByName(numbers(seeds.filter("weight > 0"), F.col("weight").cast("double").alias("weight"), F.lit(0).alias("here")))
+        every = cut(every.groupBy("no").agg(F.sum("weight").alias("weight"), F.max("here").alias("here"), F.min("check").alias("check"), F.max("check").alias("other")), "numbers")
+        if every.filter("check <> other").isEmpty():
+            break
+        seed += 1
+    ids = every.filter("here = 1").select("no", "check", "weight")
+    total = ids.agg(F.sum("weight")).first()[0]
+    if not total:
+        return nodes.limit(0).select("id", F.lit(0.0).alias("score"))
+    ids = ids.select("no", "check", (F.col("weight") / total).alias("r"))
+    ends = walk_edges(edges).filter("source IS NOT NULL AND target IS NOT NULL")
+    ends = cut(ends.select(*[x.alias(n) for x, n in zip(hashed("source") + hashed("target"), ("no", "check", "to", "to_check"))]), "ends")
+    aims = cut(ends.select(F.col("to").alias("no"), F.col("to_check").alias("check")).distinct().join(ids, ["no", "check"]), "aims")
+    cores, n_ends, n_aims = spark.sparkContext.defaultParallelism, ends.count(), aims.count()
+    masses, lone = None, 1.0
+    if n_aims and steps:
+        of_block, of_part = (_dealt(spark, max(min(cores, n // least), -(-n // most), 1)) for n, least, most in ((n_ends, 100_000, EDGES), (n_aims, 50_000, PLACES)))
+        masses, lone = _ranked(ids, ends, aims, of_block, of_part, keep, steps)
+    again = F.col("r") * _returned(keep, lone, steps)[-1]
+    scored = ids.withColumn("mass", again) if masses is None else ids.join(masses, "no", "left").withColumn("mass", F.coalesce("mass", again))
+    scored = cut(scored.filter("mass > 0").select("no", "mass"), "masses")
+    scored = scored.crossJoin(F.broadcast(scored.agg(F.max("mass").alias("top")))).select("no", (F.col("mass") / F.col("top")).alias("score"))
+    return numbers(nodes, "id").drop("check").repartition("no").distinct().join(scored, "no").select("id", "score")
+
+
+def _returned(keep: float, lone: float, steps: int) -> list[float]:
+    """For each round the share of its restart that a node gets; lone, the restart of nodes without edges, comes back."""
+    out = [1.0]
+    for _ in range(steps):
+        out.append(1 - keep + keep * lone * out[-1])
+    return out
+
+
+def _dealt(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning deals to n partitions, one each, as far as it goes."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    found = {r.at: r.id for r in spark.range(30 * n).groupBy(at.alias("at")).agg(F.min("id").alias("id")).collect()}
+    spare = iter(sorted(set(range(30 * n)) - set(found.values())))
+    return sorted(found[i] if i in found else next(spare) for i in range(n))
+
+
+def _ranked(ids: DataFrame, ends: DataFrame, aims: DataFrame, of_block: list[int], of_part: list[int], keep: float, steps: int) -> tuple[DataFrame, float]:
+    """((no, mass) of the nodes with edges after all rounds, the restart of those without)."""
+    named = lambda keys, i: F.element_at(F.array(*[F.lit(k).cast("long") for k in keys]), (i + 1).cast("int"))
+    dealt = lambda df, by: df.repartition(len(of_block if by == "block" else of_part), by)
+    apply = lambda a, b, by, fn, schema=blocks.ROWS: a.groupBy(by).cogroup(dealt(b, by).groupBy(by)).applyInArrow(fn, schema)
+    at = aims.withColumn("i", F.pmod("no", F.lit(len(of_part)))).withColumn("row", F.row_number().over(Window.partitionBy("i").orderBy("no")) - 1)
+    at = cut(at.select("no", "check", "r", named(of_part, F.col("i")).alias("part"), "row", (F.shiftleft("i", 32) + F.col("row")).alias("at")), "places")
+    aimed = ends.join(at.select(F.col("no").alias("to"), F.col("check").alias("to_check"), F.col("at").alias("to_at")), ["to", "to_check"]).select("no", "check", "to_at")
+    placed = aimed.join(ids.join(at.select("no", "at"), "no", "left"), ["no", "check"])
+    block = F.pmod(F.when(F.col("at").isNull(), F.col("no")).otherwise(F.xxhash64("no", "to_at")), F.lit(len(of_block)))
+    laid = placed.select(named(of_block, block).alias("block"), "no", F.coalesce("at", F.lit(-1)).cast("long").alias("at"), "r", F.col("to_at").alias("to"))
+    laid = cut(dealt(laid, "block").sortWithinPartitions("no").mapInArrow(blocks.fold(of_part), blocks.ROWS), "blocks")
+    parts = cut(apply(dealt(at.select("part", "row", "no", "r"), "part"), laid.filter("endswith(kind, ' list')"), "part", blocks.own), "parts")
+    sums = [x.a for df in (laid, parts) for x in df.filter("kind = 'restart'").select("a").collect()]
+    lone = max(1 - sum(struct.unpack("d", x)[0] for x in sums), 0.0)
+    # These stay where they are over all rounds.
+    held = [dealt(df.filter(of), by).sortWithinPartitions(by).persist(StorageLevel.DISK_ONLY) for df, by, of in ((laid, "block", "kind IN ('plain', 'inner')"), (parts, "part", "kind = 'own' OR endswith(kind, ' list')"))]
+    moved = parts.filter("startswith(kind, 'first ')").withColumn("kind", F.expr("substring(kind, 7)"))
+    for step, again in enumerate(_returned(keep, lone, steps)[1:], 1):
+        if step == steps:
+            plain = apply(dealt(laid.filter("kind IN ('plain', 'ids')"), "block"), moved, "block", blocks.source_masses(keep, again), blocks.MASSES)
+        moved = apply(held[0], moved, "block", blocks.sums(keep, again))
+        moved = apply(held[1], moved, "part", blocks.settle(keep, again, step == steps), blocks.MASSES if step == steps else blocks.ROWS)
+        if step % 5 == 4 and step < steps or step == steps - 1:
+            moved = cut(moved, "moved")
+    masses = cut(plain.unionByName(moved), "rank")
+    for df in held:
+        df.unpersist()
+    return masses, lone
 
 
 def folded(edges: DataFrame) -> DataFrame:
